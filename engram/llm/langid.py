@@ -1,11 +1,12 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
-A raw-content zstandard dictionary per language is cut from a bounded sample of labelled texts. Every text is coded
-against all of them, in blocks, so that the dictionary counts over the whole of a long text and not at its start only.
+A raw-content zstandard dictionary per language is made of the words of a bounded sample of labelled texts. Every text
+is coded against all of them, in blocks, so that the dictionary counts over the whole of a long text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,14 +15,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of a language's dictionary, and of labelled texts a language is learned from (the first by a hash of doc_id).
-DICTIONARY_BYTES = 96 << 10
+DICTIONARY_BYTES = 8 << 10
 SAMPLE_ROWS = 400
-#: Bytes of text coded at once.
-BLOCK = 4096
+#: Bytes of text coded at once: small, so that a text's own repeats count little against the dictionary.
+BLOCK = 2048
 #: Relative margin between the two smallest sizes under which `rejected` is set.
 MARGIN = 0.01
+#: Compression level and shortest match; at lower levels the coder doesn't look for matches as short as words are.
+LEVEL, SHORTEST = 7, 3
 UNKNOWN = "und"
 
+_WORD = re.compile(r"[^\W\d_]+")
+
 
 def bucket(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n."""
@@ -29,50 +34,60 @@ def bucket(doc_id: Column, n: int) -> Column:
 
 
 def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A dictionary per language from doc_id, text, lang. Reads `rows` texts of each language at most.
+    """A dictionary per language from doc_id, text, lang, the language with most labelled texts first.
 
-    The sample is the rows with the smallest hash of doc_id; each text gives an equal share of the dictionary, taken
-    from its middle, so that a few long texts don't fill it.
+    A language is learned from `rows` texts at most, those with the smallest hash of doc_id. Its dictionary holds the
+    words that are in most of these texts, the most common last, where a match is cheapest. Whole passages are left
+    out on purpose: a copy of one would say more about the copy than about its language.
     """
+    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"))
-    sample = (
-        labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-        .select("doc_id", "text", "lang")
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= rows)
-    )
-    share = max(256, size // max(1, rows))
-    middle = F.expr(f"substring(text, greatest(1, (length(text) - {2 * share}) div 2), {2 * share})")
-    found: dict[str, list[bytes]] = {}
-    for row in sample.select("lang", "place", middle.alias("part")).orderBy("lang", "place").collect():
-        found.setdefault(row["lang"], []).append(row["part"].encode())
-    return {lang: b" ".join(parts)[:size] for lang, parts in sorted(found.items())}
-
-
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, level: int = 1) -> DataFrame:
+    sample = labelled.select("doc_id", "text", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows)
+    words = sample.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("word"))
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    common = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= size // 2)
+    found: dict[str, list[str]] = {}
+    for row in common.orderBy("lang", "place").collect():
+        found.setdefault(row["lang"], []).append(row["word"])
+    share = {row["lang"]: row["n"] for row in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    out = {}
+    for lang in sorted(found, key=lambda x: (-share[x], x)):
+        ends = np.cumsum([len(w.encode()) + 1 for w in found[lang]])
+        out[lang] = (" ".join(reversed(found[lang][: int(np.searchsorted(ends, size, side="right"))])) + " ").encode()
+    return out
+
+
+def blocks_of(text: str) -> list[bytes]:
+    """The distinct words of a whole text in lower case, in blocks."""
+    out, block, size = [], [], 0
+    for word in dict.fromkeys(_WORD.findall(text.lower())):
+        block.append(word)
+        size += len(word) + 1
+        if size > BLOCK:
+            out.append(" ".join(block).encode())
+            block, size = [], 0
+    return [*out, " ".join(block).encode()] if block else out
+
+
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """doc_id, lang_pred, score and rejected for every row of doc_id, text.
 
-    score is the smallest size's share against the next one, from 0 (no difference) to 1. rejected marks margins that
-    are narrow. `und`, score 0 and rejected if the text is null, has no letter, or nothing was learned.
+    score is how much smaller the smallest size is than the next one, from 0 (no difference) to 1; rejected marks
+    narrow margins. `und`, score 0 and rejected if the text is null, has no letter, or nothing was learned.
     """
     names = list(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        coders = []
-        for name in names:
-            content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=level)
-            coders.append(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
+        how = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=SHORTEST, write_content_size=False, write_checksum=False, write_dict_id=False)
+        coders = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionaries[n], dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how) for n in names]
         for batch in batches:
             langs, scores, weak = [], [], []
-            for text in batch.column(1):
-                text = text.as_py()
+            for value in batch.column(1):
                 lang, score = UNKNOWN, 0.0
-                if text and names and any(map(str.isalpha, text)):
-                    raw = text.encode()
-                    blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+                blocks = blocks_of(text) if names and (text := value.as_py()) and any(map(str.isalpha, text)) else []
+                if blocks:
                     sizes = np.array([sum(len(coder.compress(b)) for b in blocks) for coder in coders])
                     order = np.argsort(sizes, kind="stable")
                     lang = names[order[0]]
@@ -80,7 +95,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                 langs.append(lang)
                 scores.append(score)
                 weak.append(score < margin)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(weak)], names=["doc_id", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(weak, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
@@ -89,7 +104,7 @@ def language_id(docs: DataFrame) -> DataFrame:
     """Predict the language of every document, learned from those whose crc32(doc_id) modulo 3 is not 1.
 
     Returns doc_id, held_out, lang_pred, score, rejected per input row. A null doc_id is learned from and is not held
-    out. Ties between languages go to the first by name. Repeated rows each get the same result. Without labelled rows
+    out. Ties between languages go to the one with most labelled texts, then by name. Repeated rows each get the same result. Without labelled rows
     every text is `und`. Columns other than doc_id, text and lang are ignored.
     """
     held = F.coalesce(bucket(F.col("doc_id"), 3) == 1, F.lit(False))
