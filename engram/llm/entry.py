@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import fertility, langid, line_dedup, packing, substring_dedup
+from engram.llm import fertility, langid, line_dedup, packing, simhash_trie, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")).drop("text")
 
 
+def op9_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op9_simhash_trie_join": op9_simhash_trie_join,
         "op1_substring_dedup": op1_substring_dedup,
         "op2_tokeniser_fertility": op2_tokeniser_fertility,
         "op10_compression_language_id": op10_compression_language_id,
