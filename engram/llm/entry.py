@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import fertility, langid, line_dedup, packing, simhash_trie, substring_dedup
+from engram.llm import fertility, langid, line_dedup, packing, secret_scan, simhash_trie, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,13 @@ def op9_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan_digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_secret_scan": op6_secret_scan,
         "op9_simhash_trie_join": op9_simhash_trie_join,
         "op1_substring_dedup": op1_substring_dedup,
         "op2_tokeniser_fertility": op2_tokeniser_fertility,
