@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import fertility, langid, line_dedup, packing, secret_scan, simhash_trie, substring_dedup
+from engram.llm import decontaminate, fertility, langid, line_dedup, packing, secret_scan, simhash_trie, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op6_secret_scan": op6_secret_scan,
         "op9_simhash_trie_join": op9_simhash_trie_join,
         "op1_substring_dedup": op1_substring_dedup,
