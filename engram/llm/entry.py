@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import decontaminate, fertility, html_extract, langid, line_dedup, packing, secret_scan, simhash_trie, substring_dedup
+from engram.llm import decontaminate, fertility, html_extract, langid, line_dedup, packing, secret_scan, simhash_trie, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,13 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.html_extraction(_table(spark, sf_dir, "pages"))
 
 
+def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
         "op5_html_extraction": op5_html_extraction,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op6_secret_scan": op6_secret_scan,
