@@ -1,12 +1,66 @@
-"""Corpus pipeline: quality rules, line dedup, near-dedup, decontamination and packing, in that order."""
+"""Corpus pipeline: quality rules, line dedup, near-dedup, decontamination and packing, in that order.
+
+Each stage works on all that the one before it kept, and is written as Parquet and read again, so that a lost executor
+costs tasks of one stage only. A document that quality rules reject goes; lines that are dropped are gone from the text
+that later stages see; of each group of near copies the document with the smallest doc_id stays; a document that holds
+a benchmark window goes; what is left is packed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from engram.llm import decontaminate, fertility, line_dedup, packing, simhash_trie
+from engram.llm.stages import materialize
 
-STAGES = []
+#: SQL can't tokenise, so the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the fertility bands."""
+    return fertility.quality_rules(docs, carry=tuple(docs.columns)).filter("kept").select("rest.*")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents without lines that many documents share; n_chars follows the text."""
+    out = line_dedup.line_dedup(docs, carry=tuple(docs.columns))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*(new.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component, that with the smallest doc_id; one row where that doc_id repeats."""
+    groups = simhash_trie.near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = materialize(groups.groupBy("doc_id").agg((F.count("*") > 1).alias("many")).withColumnRenamed("doc_id", "stays"), "representatives")
+    met = docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("stays")))
+    once = met.filter("not many").unionByName(met.filter("many").dropDuplicates(["stays"]))
+    return once.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside a benchmark window."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.decontaminate(docs, benchmark, carry=tuple(docs.columns)).filter("not contaminated").select("rest.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document, with its sequence and place."""
+    return packing.best_fit_packing(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", drop_lines),
+    ("near-dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
