@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import vocab
-from engram.llm.textbatch import slices, window_hashes
+from engram.llm.textbatch import rest_of, rest_schema, slices, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -75,17 +76,22 @@ class WordMeasures:
         self.ids = vocab.ChunkIds(ranks)
         self.pieces = vocab.pieces(pieces)
         self.bytes = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
 
     def of(self, words: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        fresh = {}
-        for word, ids in zip(new, self.pieces.encode(new, num_threads=1) if new else [], strict=True):
-            fresh[word] = (len(ids), int(self.bytes[ids].sum()))
-        if len(self.known) < vocab.CACHE_CHUNKS:
-            self.known |= fresh
-        counts = np.array([fresh.get(w) or self.known[w] for w in words], np.int64).reshape(-1, 2)
-        return self.ids.of([" " + w for w in words]), counts[:, 0], counts[:, 1]
+        known = self.known
+        new = [w for w in words if w not in known]
+        ids = self.pieces.encode(new, num_threads=1) if new else []
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+        byte_sums = np.diff(np.concatenate([[0], np.cumsum(self.bytes[flat])])[np.concatenate([[0], np.cumsum(sizes)])])
+        # both counts in one number: a word has fewer than 2**31 pieces
+        fresh = dict(zip(new, (sizes << 31 | byte_sums).tolist(), strict=True))
+        if len(known) < vocab.CACHE_CHUNKS:
+            known |= fresh
+            fresh = known
+        counts = np.fromiter((fresh[w] if w in fresh else known[w] for w in words), np.int64, len(words))
+        return self.ids.of([" " + w for w in words]), counts >> 31, counts & ((1 << 31) - 1)
 
 
 def _per_doc(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -104,27 +110,30 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
 
 def _scripts(part, docs: int) -> list[str]:
     """The script of most letters of each document: code points of words, by block."""
-    lead = (part.data & 0xC0) != 0x80
-    places = np.flatnonzero(lead)
+    plain = np.zeros(256, bool)
+    plain[[*range(65, 91), *range(97, 123)]] = True
+    latin = _per_doc(plain[part.data], part.off)
+    places = np.flatnonzero(part.data >= 0xC0)
     b = np.zeros((4, len(places)), np.int64)
     for i in range(4):
         inside = places + i < len(part.data)
         b[i, inside] = part.data[places[inside] + i]
     cont = b & 0x3F
-    point = np.select([b[0] < 0x80, b[0] < 0xE0, b[0] < 0xF0], [b[0], ((b[0] & 0x1F) << 6) | cont[1], ((b[0] & 0x0F) << 12) | (cont[1] << 6) | cont[2]], ((b[0] & 7) << 18) | (cont[1] << 12) | (cont[2] << 6) | cont[3])
-    letter = (point >= 0xC0) | ((point | 32) >= 97) & ((point | 32) <= 122)
+    point = np.select([b[0] < 0xE0, b[0] < 0xF0], [((b[0] & 0x1F) << 6) | cont[1], ((b[0] & 0x0F) << 12) | (cont[1] << 6) | cont[2]], ((b[0] & 7) << 18) | (cont[1] << 12) | (cont[2] << 6) | cont[3])
+    letter = point >= 0xC0
     owner = np.searchsorted(part.off, places[letter], side="right") - 1
     starts = np.array([s for s, _ in SCRIPT_STARTS])
     block = np.searchsorted(starts, point[letter], side="right") - 1
     names = sorted({n for _, n in SCRIPT_STARTS})
     number = np.array([names.index(n) for _, n in SCRIPT_STARTS])[block]
     table = np.bincount(owner * len(names) + number, minlength=docs * len(names)).reshape(docs, len(names))
+    table[:, names.index("Latin")] += latin
     return [names[i] if n else "none" for i, n in zip(table.argmax(1), table.max(1), strict=True)]
 
 
-def measure(docs: DataFrame, ranks: str | None = None, pieces: str | None = None) -> DataFrame:
+def measure(docs: DataFrame, ranks: str | None = None, pieces: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Counts and fertility measures of every row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    script, n_tokens, chars_per_token, byte_share, entropy."""
+    script, n_tokens, chars_per_token, byte_share, entropy, and the columns to carry along in a struct `rest`."""
     ranks, pieces = ranks or vocab.default_path("byte_bpe_50k.tiktoken"), pieces or vocab.default_path("piece_bpe_32k.model")
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, entropy double"
 
@@ -167,7 +176,7 @@ def measure(docs: DataFrame, ranks: str | None = None, pieces: str | None = None
                 used, number = np.unique(number, return_inverse=True)
                 ids, n_pieces, n_bytes = measures.of([chunks[i] for i in used])
                 size = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter((i for x in ids for i in x), np.int64, int(size.sum()))
+                flat = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
                 begin = np.cumsum(size) - size
                 count = size[number]
                 total = np.cumsum(count)
@@ -182,16 +191,20 @@ def measure(docs: DataFrame, ranks: str | None = None, pieces: str | None = None
                 piece_sum = np.bincount(doc, n_pieces[number], minlength=n)
                 byte_share = np.bincount(doc, n_bytes[number], minlength=n) / np.maximum(piece_sum, 1)
                 rows = slice(part.rows.start, part.rows.stop)
+                rest, names_of_rest = rest_of(batch, part.rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[rows], batch.column(2)[rows]]
                     + [pa.array(x, pa.int64()) for x in (n_words, chars, _per_doc(_SYMBOL[part.data], part.off), dup_lines, repeat)]
                     + [pa.array(_scripts(part, n), pa.string()), pa.array(tokens, pa.int64())]
-                    + [pa.array(x, pa.float64()) for x in (letters / some, byte_share, entropy)],
-                    schema=pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("script", pa.string()), ("n_tokens", pa.int64()), ("chars_per_token", pa.float64()), ("byte_share", pa.float64()), ("entropy", pa.float64())]),
+                    + [pa.array(x, pa.float64()) for x in (letters / some, byte_share, entropy)]
+                    + rest,
+                    names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", "n_tokens", "chars_per_token", "byte_share", "entropy", *names_of_rest],
                 )
 
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang")).mapInArrow(run, schema)
+    lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rest = [F.struct(*(docs[c] for c in carry)).alias("rest")] if carry else []
+    read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), lang.alias("lang"), *rest)
+    return read.mapInArrow(run, schema + rest_schema(read))
 
 
 def within(rules: Rules):
@@ -211,14 +224,14 @@ def within(rules: Rules):
     return (F.col("n_tokens") < rules.least_tokens) | test
 
 
-def quality_rules(docs: DataFrame, rules: Rules = RULES) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: Rules = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Measures and verdict of every row of doc_id, text and, if there, lang.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, script, n_tokens,
-    chars_per_token, byte_share, entropy. base_failed: fewer than 10 words, or over 20 % of them in five-word windows
+    chars_per_token, byte_share, entropy, and the columns to carry along in a struct `rest`. base_failed: fewer than 10 words, or over 20 % of them in five-word windows
     that come again. kept: not base_failed and inside the bands. Null and empty texts have no words and fail. Repeated
     rows get the same result each; a null doc_id stays null. Empty tables give empty tables; other columns are ignored.
     """
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    out = measure(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & within(rules))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "n_tokens", "chars_per_token", "byte_share", "entropy")
+    out = measure(docs, carry=carry).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & within(rules))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "n_tokens", "chars_per_token", "byte_share", "entropy", *(["rest"] if carry else []))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ def tokenised(docs: DataFrame, path: str, length: int, text: str = "text", key:
                 chunks, number = vocab.distinct(part.data, cuts)
                 ids = ids_of.of(chunks)
                 size = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+                flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
                 at = np.concatenate([[0], np.cumsum(size)])
                 counts = size[number] if len(number) else np.zeros(0, np.int64)
                 total = np.concatenate([[0], np.cumsum(counts)])

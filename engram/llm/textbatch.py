@@ -35,10 +35,22 @@ def row_key(text: Column) -> Column:
     return F.hash(text)
 
 
-def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The three columns that the operators work on; other columns never travel."""
-    t = docs[text].cast("string")
-    return docs.select(docs[key].cast("long").alias("doc_id"), row_key(t).alias("tkey"), t.alias("text"))
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, tkey and text, and the columns to carry along as one struct, `rest`; other columns never travel."""
+    t = docs["text"].cast("string")
+    rest = [F.struct(*(docs[c] for c in carry)).alias("rest")] if carry else []
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(t).alias("tkey"), t.alias("text"), *rest)
+
+
+def rest_schema(df: DataFrame) -> str:
+    """The part of a schema string that a carried struct takes."""
+    return f", rest {df.schema['rest'].dataType.simpleString()}" if "rest" in df.columns else ""
+
+
+def rest_of(batch: pa.RecordBatch, rows: range) -> tuple[list[pa.Array], list[str]]:
+    """The carried struct of a slice's documents, as arrays and names to add to a result."""
+    at = batch.schema.get_field_index("rest")
+    return ([batch.column(at).slice(rows.start, len(rows))], ["rest"]) if at >= 0 else ([], [])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

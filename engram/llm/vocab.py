@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Distinct chunks whose ids a worker keeps; beyond it chunks are encoded again, with the same result.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 400_000
 
 #: Fixed values of the byte-level vocabulary: its end-of-text string and id.
 END_TEXT, END_ID = "<|endoftext|>", 50256
@@ -51,7 +51,7 @@ class ChunkIds:
         for chunk in chunks:
             ids = known.get(chunk)
             if ids is None:
-                ids = self.encoding.encode(chunk, allowed_special={END_TEXT})
+                ids = self.encoding.encode(chunk, allowed_special={END_TEXT}) if END_TEXT in chunk else self.encoding.encode_ordinary(chunk)
                 if len(known) < CACHE_CHUNKS:
                     known[chunk] = ids
             out.append(ids)
