@@ -83,3 +83,21 @@ def vector_topk(queries: DataFrame, stories: DataFrame, k: int, unit: bool = Tru
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "story_id"))
     similarity = F.round(F.greatest(F.lit(0.0), F.col("score")) if unit else F.col("score"), 4)
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "story_id", similarity.alias("similarity"), "rank")
+
+
+def vector_pairs(queries: DataFrame, stories: DataFrame, least: float) -> DataFrame:
+    """query_id, story_id, similarity of all pairs of unit vectors that are `least` alike or more, block by block."""
+    read = stories.filter(F.col("embedding").isNotNull()).select(F.col("story_id").cast("long").alias("story_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    out = None
+    for ids, matrix, _ in _blocks(queries, None):
+
+        def near(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    scores = matrix @ batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).T
+                    q, s = np.nonzero(np.round(scores, 4) >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q].astype(np.int64)), batch.column(0).take(pa.array(s)), pa.array(np.round(scores[q, s], 4))], names=["query_id", "story_id", "similarity"])
+
+        part = read.mapInArrow(near, "query_id long, story_id long, similarity double")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else queries.sparkSession.createDataFrame([], "query_id long, story_id long, similarity double")
