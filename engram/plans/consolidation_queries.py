@@ -95,7 +95,7 @@ def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repo_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses in three ways to write a repository."""
-    p = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("rest"))
+    p = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "/+$", "").alias("rest"))
     url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("HTTPS://user:pw@"), "rest", F.lit(".git"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("ssh://git@"), "rest", F.lit("/"))).otherwise(F.concat(F.lit("git@"), F.regexp_replace("rest", "^([^/]+)/", "$1:")))
     return p.select("page_id", C.repository_fingerprint(url).alias("fingerprint"))
 
