@@ -26,6 +26,8 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints that one subtree is meant to hold, and node pairs that are walked at once.
 SUBTREE = 1 << 15
+#: Levels of the trie that share the work out at least, so that small tables are walked in many tasks as well.
+LEAST_TOP = 4
 FRONT = 1 << 18
 
 
@@ -157,7 +159,7 @@ def links(distinct: DataFrame, count: int, budget: int = BUDGET, subtree: int =
 
     distinct has one column, fp, without repeats; count is about how many there are.
     """
-    top = max(0, min(24, math.ceil(math.log2(max(1, count) / subtree))))
+    top = max(LEAST_TOP, min(24, math.ceil(math.log2(max(1, count) / subtree))))
     masks = flips(top, budget)
     shift = np.uint64(64 - top)
 
