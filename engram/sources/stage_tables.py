@@ -34,6 +34,11 @@ def _shuffle_files_end_with_the_write(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared checkpoint folder and read it back.
 
@@ -41,7 +46,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Shuffle files of the write are dropped as soon as it ends.
     """
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     with _shuffle_files_end_with_the_write(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
