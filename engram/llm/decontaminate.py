@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.stages import materialize
-from engram.llm.textbatch import LOWER_LUT, Slice, keyed, map_batches, slices, take, window_hashes
+from engram.llm.textbatch import LOWER_LUT, Slice, keyed, map_batches, rest_of, rest_schema, slices, spread, take, window_hashes
 
 WINDOW = 10
 #: Terms that must meet on a start before a window is read, and words that a proximity match may be off by.
 RAREST = 3
 SLACK = 3
+#: Words of a document in which postings meet.
+CELL = 64
 #: Benchmark words that may be sent to every task; a larger benchmark is worked on in parts of this many words.
 MOST_WORDS = 2_000_000
 
@@ -129,26 +131,34 @@ def matches(docs: DataFrame, items: Items, length: int = WINDOW, rarest: int = R
     by_term, term_at = used[order], np.searchsorted(term_of[used][order], np.arange(len(items.terms) + 1))
     item_of = np.searchsorted(items.begin, np.arange(len(items.words)), side="right") - 1
 
+    fewest = np.full(max(1, len(items.size)), 1 << 30)
+    np.minimum.at(fewest, item[present], (places[present] >= 0).sum(1))
+
     def shift(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Offset-adjusted lists: each posting, less each place of its term in an item."""
+        """Offset-adjusted lists: each posting, less each place of its term in an item.
+
+        Starts are dealt into cells of CELL words; those at the end of a cell go to the next one as well, so that what
+        belongs together within the slack meets in a cell.
+        """
         term = batch.column(0).to_numpy()
         lists = batch.column(3)
         flat = lists.flatten().to_numpy().astype(np.int64)
         row = np.repeat(np.arange(len(term)), np.asarray(lists.value_lengths(), np.int64))
         low, high = term_at[term[row]], term_at[term[row] + 1]
-        owner = np.repeat(np.arange(len(row)), high - low)
-        place = by_term[low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)]
+        owner, inner = spread(high - low)
+        place = by_term[low[owner] + inner]
         start = flat[owner] - (place - items.begin[item_of[place]])
+        again = np.flatnonzero(start % CELL >= CELL - 2 * slack)
+        owner, place, start, cell = (np.concatenate([x, y]) for x, y in ((owner, owner[again]), (place, place[again]), (start, start[again]), (start // CELL, start[again] // CELL + 1)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(1).take(pa.array(row[owner])), batch.column(2).take(pa.array(row[owner])), pa.array(item_of[place].astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(place.astype(np.int32))],
-            names=["doc_id", "tkey", "item", "start", "place"],
+            [batch.column(1).take(pa.array(row[owner])), batch.column(2).take(pa.array(row[owner])), *(pa.array(x.astype(np.int32)) for x in (item_of[place], cell, start, place, fewest[item_of[place]]))],
+            names=["doc_id", "tkey", "item", "cell", "start", "place", "need"],
         )
 
-    shifted = map_batches(index, shift, "doc_id long, tkey int, item int, start int, place int")
-    # lists of one document and item meet; they are no longer than the document's postings of that item's terms
-    met = shifted.groupBy("doc_id", "tkey", "item").agg(F.collect_list(F.struct("start", "place")).alias("hits"), F.countDistinct("place").alias("terms"))
-    fewest = np.full(len(items.size), 1 << 30)
-    np.minimum.at(fewest, item[present], (places[present] >= 0).sum(1))
+    shifted = map_batches(index, shift, "doc_id long, tkey int, item int, cell int, start int, place int, need int")
+    # lists of one item meet in a cell of a document; a cell holds no more than its words' postings
+    met = shifted.groupBy("doc_id", "tkey", "item", "cell").agg(F.collect_list(F.struct("start", "place")).alias("hits"), F.max("need").alias("need"))
+    met = met.filter(F.size("hits") >= F.col("need")).filter(F.size(F.array_distinct("hits.place")) >= F.col("need")).select("doc_id", "tkey", "item", "hits")
     window_of = [np.flatnonzero(present & (item == i)) for i in range(len(items.size))]
 
     def intersect(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -179,9 +189,8 @@ def matches(docs: DataFrame, items: Items, length: int = WINDOW, rarest: int = R
                 near.append([number] if close and not pairs else [])
         yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(keys, pa.int32()), pa.array(exact, pa.list_(pa.struct([("window", pa.int32()), ("start", pa.int32())]))), pa.array(near, pa.list_(pa.int32()))], names=["doc_id", "tkey", "exact", "near"])
 
-    least = int(fewest.min(initial=1 << 30, where=fewest > 0))
-    found = map_batches(met.filter(F.col("terms") >= least).select("doc_id", "tkey", "item", "hits"), intersect, "doc_id long, tkey int, exact array<struct<window:int,start:int>>, near array<int>")
-    return found.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("exact")).alias("exact"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    found = map_batches(met, intersect, "doc_id long, tkey int, exact array<struct<window:int,start:int>>, near array<int>")
+    return found.groupBy("doc_id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("exact"))).alias("exact"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
 def _nearest(ordered: np.ndarray, value: int) -> int:
@@ -198,18 +207,19 @@ def read_items(benchmark: DataFrame) -> Items:
     return Items([r["item_id"] for r in rows], [r["text"] for r in rows])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """Exact phrase and proximity matches of benchmark items in every document.
 
     Returns doc_id, text, n_words, n_hit (words inside an occurrence of a window), item_ids (of the items with occurring
-    windows, sorted as strings), near_item_ids (proximity matches only), contaminated. Null and empty texts have no
+    windows, sorted as strings), near_item_ids (proximity matches only), contaminated, and the columns to carry along in a
+    struct `rest`. Null and empty texts have no
     words and match nothing; such items have no window. Rows that repeat are judged each; items that repeat an id count
     once in item_ids. A null doc_id is like any other value; an item without id is left out of item_ids but its windows
     count as hits. An empty benchmark leaves everything clean. Columns other than the keys and texts are ignored.
     """
-    docs = keyed(docs)
+    docs = keyed(docs, carry)
     items = read_items(benchmark)
-    found = materialize(matches(docs, items, length), "index-matches").withColumnsRenamed({"doc_id": "l_id", "tkey": "l_key"})
+    found = materialize(matches(docs.select("doc_id", "tkey", "text"), items, length), "index-matches").withColumnsRenamed({"doc_id": "l_id", "tkey": "l_key"})
     met = docs.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("l_id")) & F.col("tkey").eqNullSafe(F.col("l_key")), "left")
     item, at, size = items.windows(length)
 
@@ -233,6 +243,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -
             np.add.at(change, start, 1)
             np.add.at(change, start + size[window], -1)
             hit = np.diff(np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])[first])
+            rest, names_of_rest = rest_of(batch, whole.rows)
             near = columns["near"].slice(part.rows.start, len(part.rows)).to_pylist()
             exact_ids, near_ids = [], []
             bounds = np.searchsorted(np.sort(owner), np.arange(len(part.rows) + 1))
@@ -242,11 +253,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -
                 exact_ids.append(sorted(own))
                 near_ids.append(sorted({items.ids[k] for k in near[i] or ()} - own - {None}))
             yield pa.RecordBatch.from_arrays(
-                [take(columns["doc_id"], whole.rows, np.arange(len(hit))), take(columns["text"], whole.rows, np.arange(len(hit))), pa.array(np.diff(first)), pa.array(hit), pa.array(exact_ids, pa.list_(pa.string())), pa.array(near_ids, pa.list_(pa.string())), pa.array(hit > 0)],
-                names=["doc_id", "text", "n_words", "n_hit", "item_ids", "near_item_ids", "contaminated"],
+                [take(columns["doc_id"], whole.rows, np.arange(len(hit))), take(columns["text"], whole.rows, np.arange(len(hit))), pa.array(np.diff(first)), pa.array(hit), pa.array(exact_ids, pa.list_(pa.string())), pa.array(near_ids, pa.list_(pa.string())), pa.array(hit > 0), *rest],
+                names=["doc_id", "text", "n_words", "n_hit", "item_ids", "near_item_ids", "contaminated", *names_of_rest],
             )
 
-    return map_batches(met.select("doc_id", "text", "exact", "near"), work, "doc_id long, text string, n_words long, n_hit long, item_ids array<string>, near_item_ids array<string>, contaminated boolean")
+    return map_batches(met.drop("tkey", "l_id", "l_key"), work, "doc_id long, text string, n_words long, n_hit long, item_ids array<string>, near_item_ids array<string>, contaminated boolean" + rest_schema(docs))
 
 
 def decontaminate_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
