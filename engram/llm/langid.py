@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a language's dictionary, and of labelled texts a language is learned from (the first by a hash of doc_id).
+#: Bytes of a language's dictionary, and of labelled texts a language is learned from (about, by a hash of doc_id).
 DICTIONARY_BYTES = 8 << 10
 SAMPLE_ROWS = 400
 #: Bytes of text coded at once: small, so that a text's own repeats count little against the dictionary.
@@ -36,20 +36,25 @@ def bucket(doc_id: Column, n: int) -> Column:
 def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary per language from doc_id, text, lang, the language with most labelled texts first.
 
-    A language is learned from `rows` texts at most, those with the smallest hash of doc_id. Its dictionary holds the
+    A language is learned from about `rows` texts at most, those whose hash of doc_id is small. Its dictionary holds the
     words that are in most of these texts, the most common last, where a match is cheapest. Whole passages are left
     out on purpose: a copy of one would say more about the copy than about its language.
     """
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"))
-    sample = labelled.select("doc_id", "text", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows)
+    share = {row["lang"]: row["n"] for row in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # the upper 53 bits of a hash, as a number from 0 to 1, against the part of a language's rows that is wanted
+    part = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    large = {lang: rows / n for lang, n in share.items() if n > rows}
+    wanted = F.lit(1.0)
+    for lang, least in large.items():
+        wanted = F.when(F.col("lang") == lang, F.lit(least)).otherwise(wanted)
+    sample = labelled.select("text", "lang").filter(part < wanted)
     words = sample.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("word"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     common = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= size // 2)
     found: dict[str, list[str]] = {}
     for row in common.orderBy("lang", "place").collect():
         found.setdefault(row["lang"], []).append(row["word"])
-    share = {row["lang"]: row["n"] for row in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     out = {}
     for lang in sorted(found, key=lambda x: (-share[x], x)):
         ends = np.cumsum([len(w.encode()) + 1 for w in found[lang]])
