@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages that weights are learned from at most, those with the smallest hash of page_id; and weights kept.
+#: Labelled pages that weights are learned from at most (about, by a hash of page_id); and weights kept.
 SAMPLE_PAGES = 2000
 MOST_WEIGHTS = 4000
 
@@ -116,7 +116,9 @@ def tokens(html: str) -> Iterator[Token]:
 
 
 #: Weights where nothing is learned: words of paragraphs and headings for, words elsewhere and all tags against.
-DEFAULT_WORD, DEFAULT_APART, DEFAULT_TAG = 0.5, -2.0, -0.5
+DEFAULT_WORD, DEFAULT_TAG = 0.5, -0.5
+#: What stands apart is left out of the text anyway, so that it costs little to pass over it inside an article.
+APART_WORD, APART_TEXT, APART_TAG = -0.1, -1.0, -0.05
 
 
 def learn(pages: DataFrame, most: int = SAMPLE_PAGES) -> dict[str, float]:
@@ -133,7 +135,9 @@ def learn(pages: DataFrame, most: int = SAMPLE_PAGES) -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([outside[k] for k in keys], pa.int64())], names=["feature", "inside", "outside"])
 
     marked = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("page_id", "html")
-    sample = marked.orderBy(F.xxhash64("page_id", "html"), "page_id").limit(most).select("html")
+    n = marked.count()
+    part = F.shiftrightunsigned(F.xxhash64("page_id"), 11) / F.lit(float(1 << 53))
+    sample = marked.filter(part < most / n if n > most else F.lit(True)).select("html")
     counts = sample.mapInArrow(count, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     rows = counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(MOST_WEIGHTS).collect()
     total = {k: [sum(r[k] for r in rows if r["feature"].startswith(kind)) + 1 for kind in ("word", "tag")] for k in ("inside", "outside")}
@@ -178,11 +182,10 @@ def extract(html: str, weights: dict[str, float]) -> str:
 
 
 def _score(t: Token, weights: dict[str, float]) -> float:
+    if t.apart:
+        return max(APART_TEXT, APART_WORD * t.words) if t.words else 0.0 if t.text else APART_TAG
     if t.words:
-        weight = weights.get(t.where)
-        if t.apart:
-            return min(DEFAULT_APART, weight or 0.0) * t.words
-        return (DEFAULT_WORD if weight is None else weight) * t.words
+        return weights.get(t.where, DEFAULT_WORD) * t.words
     return 0.0 if t.text else weights.get(t.where, DEFAULT_TAG)
 
 
