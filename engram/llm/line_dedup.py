@@ -26,17 +26,18 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines whose key (of min_chars code points at least) is in min_docs documents or more.
 
     The largest doc_id that holds a key keeps all its lines of that key. Returns doc_id, text (the lines that are left,
-    joined by \\n; null if the input was null), n_lines, n_dropped, for every input row.
+    joined by \\n; null if the input was null), n_lines, n_dropped, for every input row, and the columns to carry along
+    in a struct `rest`.
 
     Null or empty text is one empty line. Rows that repeat a doc_id count as one document for the threshold, and each
     row gets its own result. A null doc_id counts as one document, smaller than any other. Ties can't occur. Empty
     tables give empty tables; other columns are ignored.
     """
-    base = keyed(docs)
+    base = keyed(docs, carry)
     lines = base.select("doc_id", "tkey", F.posexplode(lines_of(F.col("text"))).alias("place", "line")).filter(F.length("line") >= min_chars)
     lines = lines.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars)
     lines = materialize(lines.select("doc_id", "tkey", "place", F.unhex(F.md5(F.encode("key", "UTF-8"))).alias("key")), "line-keys")
@@ -47,6 +48,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataF
         .filter(F.col("n_docs") >= min_docs)
         .select("key", "keeper")
     )
+    frequent = materialize(frequent, "frequent-lines")  # so that a line in most documents can be split in the join
     dropped = (
         lines.join(frequent.hint("merge"), "key")
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
@@ -64,6 +66,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataF
         kept.alias("text"),
         F.size(split).cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        *(["rest"] if carry else []),
     )
 
 
