@@ -27,7 +27,7 @@ def consolidation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parents = R.stories(spark, sf_dir).filter("story_id % 10 = 0").select("story_id", F.slice(F.split("content", "\n"), 1, 4).alias("parts"))
+    parents = R.stories(spark, sf_dir).select("story_id", F.split("content", "\n").alias("parts"))
     return consolidate.split_story(parents)[1]
 
 
@@ -123,7 +123,7 @@ for _p in T.SECRETS:
 SQL = {
     "consolidation_branch": f"{_N}, {_FOUND} SELECT query_id, branch, CASE WHEN branch <> 'create' THEN story_id END AS target, similarity FROM decided",
     "consolidation_edges": f"{_N}, {_FOUND} SELECT story_id AS source_id, query_id + 1000000 AS target_id, 'semantic' AS edge_type, similarity AS weight FROM found WHERE band = 'low' AND query_id IN (SELECT query_id FROM decided WHERE branch = 'create')",
-    "split_edges": f"""WITH {ctes('stories')}, parts AS (SELECT story_id, least(4, len(string_split(content, chr(10)))) AS n FROM stories WHERE story_id % 10 = 0), kids AS (SELECT story_id, unnest(range(0, n)) AS place FROM parts)
+    "split_edges": f"""WITH {ctes('stories')}, parts AS (SELECT story_id, len(string_split(content, chr(10))) AS n FROM stories), kids AS (SELECT story_id, unnest(range(0, n)) AS place FROM parts)
 SELECT story_id::VARCHAR AS source_id, concat(story_id, '-', place) AS target_id, 'parent_child' AS edge_type, 1.0::DOUBLE AS weight FROM kids UNION ALL SELECT concat(a.story_id, '-', a.place), concat(b.story_id, '-', b.place), 'semantic', 0.5 FROM kids a JOIN kids b ON a.story_id = b.story_id AND a.place < b.place""",
     "merge_lists": f"""WITH {ctes('stories')}, t AS (SELECT label, source AS tag, story_id * 2 AS place FROM stories UNION ALL SELECT label, lang, story_id * 2 + 1 FROM stories), f AS (SELECT label, tag, min(place) AS place FROM t GROUP BY label, tag) SELECT label, string_agg(tag, ',' ORDER BY place) AS tags FROM f GROUP BY label""",
     "inference_memo": "WITH h AS (SELECT sha256(text) AS input_hash, doc_id FROM documents) SELECT input_hash, count(*) AS uses, bool_or(doc_id % 4 = 0) AS cached FROM h GROUP BY input_hash",

@@ -82,7 +82,7 @@ def briefing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.substring("text", 1, 400)
+    text = F.col("text")
     return d.select("doc_id", F.array_join(T.lexical_terms(text), " ").alias("terms"), F.array_join(F.array_sort(T.rerank_terms(text)), " ").alias("rerank_terms"), T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
@@ -164,7 +164,7 @@ SELECT query_id, story_id, round(score, 5) AS score, row_number() OVER (PARTITIO
     "briefing_budget": rf"""WITH {_PAIRS}, {VECTOR_LANE}, cut AS (SELECT query_id, story_id, rank, title, rtrim(substr(regexp_replace(abstract, '\s+', ' ', 'g'), 1, 140)) AS excerpt FROM vector_lane JOIN stories USING (story_id) WHERE rank <= 5 AND similarity >= 0.6),
 costed AS (SELECT *, CAST(ceil(length(concat(title, ' ', excerpt)) / 4.0) AS BIGINT) AS tokens FROM cut)
 SELECT query_id, story_id, rank, excerpt, tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM costed) WHERE total <= 2000""",
-    "lexical_terms": r"""WITH t AS (SELECT doc_id, text, unnest(regexp_extract_all(replace(lower(substr(text, 1, 400)), 'ß', 'ss'), '[a-z0-9_]+')) AS term, generate_subscripts(regexp_extract_all(replace(lower(substr(text, 1, 400)), 'ß', 'ss'), '[a-z0-9_]+'), 1) AS place FROM documents),
+    "lexical_terms": r"""WITH t AS (SELECT doc_id, text, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9_]+')) AS term, generate_subscripts(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9_]+'), 1) AS place FROM documents),
 firsts AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY min(place)) AS n FROM t GROUP BY doc_id, term)
 SELECT d.doc_id, coalesce(string_agg(term, ' ' ORDER BY n) FILTER (WHERE n <= 8), '') AS terms, coalesce(string_agg(term, ' ' ORDER BY term), '') AS rerank_terms, CAST(ceil(length(any_value(d.text)) / 4.0) AS BIGINT) AS tokens
 FROM documents d LEFT JOIN firsts USING (doc_id) GROUP BY d.doc_id""",
