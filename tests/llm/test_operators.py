@@ -40,6 +40,16 @@ def test_substring_dedup(docs, least):
     out = substring_dedup.substring_dedup(docs, least)
     assert bag(tuple(r) for r in out.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == bag(want)
     assert all(sha(r["text"]) == r["kept_sha256"] for r in out.collect())
+    levels, length = Counter(), least
+    while True:
+        grams = Counter(tuple(w[i : i + length]) for _, w in rows for i in range(len(w) - length + 1))
+        hit = [any(grams[tuple(w[i : i + length])] > 1 for i in range(len(w) - length + 1)) for _, w in rows]
+        if not any(hit):
+            break
+        for n, h in enumerate(hit):
+            levels[n] = length if h else levels[n]
+        length *= 2
+    assert bag((r["doc_id"], r["longest"]) for r in out.collect()) == bag((doc, levels[n]) for n, (doc, _) in enumerate(rows))
 
 
 def test_fertility_base_counts_and_verdict(docs):
