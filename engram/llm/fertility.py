@@ -133,7 +133,8 @@ def _scripts(part, docs: int) -> list[str]:
 
 def measure(docs: DataFrame, ranks: str | None = None, pieces: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Counts and fertility measures of every row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    script, n_tokens, chars_per_token, byte_share, entropy, and the columns to carry along in a struct `rest`."""
+    script, n_tokens, chars_per_token, byte_share, entropy, and, if there are columns to carry along, these in a struct
+    `rest`, and text."""
     ranks, pieces = ranks or vocab.default_path("byte_bpe_50k.tiktoken"), pieces or vocab.default_path("piece_bpe_32k.model")
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, entropy double"
 
@@ -192,6 +193,8 @@ def measure(docs: DataFrame, ranks: str | None = None, pieces: str | None = None
                 byte_share = np.bincount(doc, n_bytes[number], minlength=n) / np.maximum(piece_sum, 1)
                 rows = slice(part.rows.start, part.rows.stop)
                 rest, names_of_rest = rest_of(batch, part.rows)
+                if rest:
+                    rest, names_of_rest = [*rest, batch.column(1)[rows]], [*names_of_rest, "text"]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[rows], batch.column(2)[rows]]
                     + [pa.array(x, pa.int64()) for x in (n_words, chars, _per_doc(_SYMBOL[part.data], part.off), dup_lines, repeat)]
@@ -204,7 +207,7 @@ def measure(docs: DataFrame, ranks: str | None = None, pieces: str | None = None
     lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rest = [F.struct(*(docs[c] for c in carry)).alias("rest")] if carry else []
     read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), lang.alias("lang"), *rest)
-    return read.mapInArrow(run, schema + rest_schema(read))
+    return read.mapInArrow(run, schema + rest_schema(read) + (", text string" if carry else ""))
 
 
 def within(rules: Rules):
@@ -228,10 +231,11 @@ def quality_rules(docs: DataFrame, rules: Rules = RULES, carry: tuple[str, ...]
     """Measures and verdict of every row of doc_id, text and, if there, lang.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, script, n_tokens,
-    chars_per_token, byte_share, entropy, and the columns to carry along in a struct `rest`. base_failed: fewer than 10 words, or over 20 % of them in five-word windows
+    chars_per_token, byte_share, entropy, and, if there are columns to carry along, these in a
+    struct `rest`, and text. base_failed: fewer than 10 words, or over 20 % of them in five-word windows
     that come again. kept: not base_failed and inside the bands. Null and empty texts have no words and fail. Repeated
     rows get the same result each; a null doc_id stays null. Empty tables give empty tables; other columns are ignored.
     """
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     out = measure(docs, carry=carry).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & within(rules))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "n_tokens", "chars_per_token", "byte_share", "entropy", *(["rest"] if carry else []))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "n_tokens", "chars_per_token", "byte_share", "entropy", *(["rest", "text"] if carry else []))

@@ -1,47 +1,5 @@
-"""Tables that cut a plan: written once, read back with their true size."""
+"""Tables that cut a plan: written once in the shared folder, read back with their true size."""
 
-from __future__ import annotations
+from engram.sources.stage_tables import materialize
 
-import os
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + os.path.join(tempfile.gettempdir(), "engram-checkpoints")
-    return at.rstrip("/")
-
-
-@contextmanager
-def _shuffle_files_end_with_the_write(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared checkpoint folder and read it back.
-
-    A lost executor then costs only the tasks of the running stage, and joins see the real size.
-    Shuffle files of the write are dropped as soon as it ends.
-    """
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with _shuffle_files_end_with_the_write(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize"]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; a longer document is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: The white space that separates words: U+0020 and U+0009 to U+000D.
 SPACES = b"\t\n\x0b\x0c\r "

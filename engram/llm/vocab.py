@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Distinct chunks whose ids a worker keeps; beyond it chunks are encoded again, with the same result.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 120_000
 
 #: Fixed values of the byte-level vocabulary: its end-of-text string and id.
 END_TEXT, END_ID = "<|endoftext|>", 50256
