@@ -18,16 +18,26 @@ from engram.llm.stages import materialize
 ORACLE_SQL = None
 
 
+def _others(docs: DataFrame) -> tuple[str, ...]:
+    """The columns that an operator only carries: the text travels once."""
+    return tuple(c for c in docs.columns if c != "text")
+
+
+def _whole(docs: DataFrame) -> list:
+    return [F.col("text") if c == "text" else F.col(f"rest.{c}").alias(c) for c in docs.columns]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fertility bands."""
-    return fertility.quality_rules(docs, carry=tuple(docs.columns)).filter("kept").select("rest.*")
+    out = fertility.quality_rules(docs, carry=_others(docs)).filter("kept")
+    return out.select(*_whole(docs))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents without lines that many documents share; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs, carry=tuple(docs.columns))
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
-    return out.select(*(new.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns))
+    out = line_dedup.line_dedup(docs, carry=_others(docs))
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*_whole(docs)).withColumn("n_chars", n_chars)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +52,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside a benchmark window."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, benchmark, carry=tuple(docs.columns)).filter("not contaminated").select("rest.*")
+    out = decontaminate.decontaminate(docs, benchmark, carry=_others(docs)).filter("not contaminated")
+    return out.select(*_whole(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
