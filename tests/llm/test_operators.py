@@ -37,7 +37,7 @@ def test_substring_dedup(docs, least):
             if seen[tuple(w[i : i + least])] > 1:
                 gone[i : i + least] = [True] * least
         want.append((doc, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g))))
-    out = substring_dedup.substring_dedup(docs, least)
+    out = substring_dedup.substring_dedup(docs, least, double_on=True)
     assert bag(tuple(r) for r in out.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == bag(want)
     assert all(sha(r["text"]) == r["kept_sha256"] for r in out.collect())
     levels, length = Counter(), least
