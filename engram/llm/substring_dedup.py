@@ -144,18 +144,86 @@ def _listed(ranges: DataFrame, name: str) -> DataFrame:
     return materialize(ranges.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("lo", "n")).alias("ranges")), name)
 
 
+def _runs(docs: DataFrame, lists: DataFrame, length: int) -> DataFrame:
+    """The stretches of words whose every window of `length` words repeats, where twice that length fits in: the document,
+    its holder, the first word `lo`, how many words (`n`), a hash of them and the last length of the doubling that fits."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch.column(2)):
+            starts, ends, first = part.words()
+            lo, n, _ = _ranges(batch, part, "ranges", first)
+            again = np.zeros(len(starts) + 1, np.int64)
+            np.add.at(again, lo, 1)
+            np.add.at(again, lo + n, -1)
+            again = np.cumsum(again) > 0
+            new = again.copy()
+            new[1:] &= ~again[:-1]
+            new[first[:-1]] = again[first[:-1]]
+            at = np.flatnonzero(new)
+            if not len(at):
+                continue
+            size = np.add.reduceat(again.astype(np.int64), at) - 1 + length
+            at, size = at[size >= 2 * length], size[size >= 2 * length]
+            owner = np.searchsorted(first, at, side="right") - 1
+            whole = window_hashes(part.word_hashes(starts, ends), at, at + size)
+            level = length << (np.frexp(size // length)[1].astype(np.int64) - 1)
+            yield pa.RecordBatch.from_arrays(
+                [*(take(batch.column(c), part.rows, owner) for c in ("doc_id", "tkey", "h_id", "h_key", "open")), pa.array((at - first[owner]).astype(np.int32)), pa.array(size.astype(np.int32)), signed(whole), pa.array(level)],
+                names=["doc_id", "tkey", "h_id", "h_key", "open", "lo", "n", "whole", "level"],
+            )
+
+    return map_batches(_with_lists(docs, lists, "inner"), work, "doc_id long, tkey int, h_id long, h_key int, open boolean, lo int, n int, whole long, level long")
+
+
+def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The text of the wanted stretches, named by the hash of their words."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch.column(2)):
+            starts, ends, first = part.words()
+            lo, n, _ = _ranges(batch, part, "ranges", first)
+            flat = batch.column("ranges").slice(part.rows.start, len(part.rows)).flatten()
+            raw = part.data.tobytes()
+            texts = [raw[a:b] for a, b in zip(starts[lo].tolist(), ends[lo + n - 1].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [flat.field("whole"), pa.array(np.zeros(len(texts), np.int32)), pa.array(texts, pa.binary()).cast(pa.string()), flat.field("h_id"), flat.field("h_key"), flat.field("open")],
+                names=["doc_id", "tkey", "text", "h_id", "h_key", "open"],
+            )
+
+    return map_batches(_with_lists(docs.select("doc_id", "tkey", "text"), wanted, "inner"), work, "doc_id long, tkey int, text string, h_id long, h_key int, open boolean")
+
+
+def _settled(docs: DataFrame, lists: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Levels of the stretches that come twice as a whole, whose every window repeats up to their own length; and one
+    occurrence of each distinct stretch. Those that came once are still open."""
+    found = materialize(_runs(docs, lists, length), "stretches")
+    one = F.min(F.struct("doc_id", "tkey", "lo", "n", "h_id", "h_key", "open")).alias("one")
+    each = materialize(found.groupBy("whole").agg(F.count("*").alias("times"), one), "distinct-stretches")
+    levels = found.filter("open").join(each.filter("times > 1").select("whole").hint("merge"), "whole").select("h_id", "h_key", "level").distinct()
+    each = each.select("one.doc_id", "one.tkey", F.struct("one.lo", "one.n", "whole", "one.h_id", "one.h_key", (F.col("one.open") & (F.col("times") == 1)).alias("open")).alias("range"))
+    return levels, materialize(_cut(docs, each.groupBy("doc_id", "tkey").agg(F.collect_list("range").alias("ranges"))), "stretch-texts")
+
+
 def longest_levels(docs: DataFrame, lists: DataFrame, least: int) -> DataFrame:
     """doc_id, tkey, longest: the last length of the doubling at which a window of the document repeats.
 
     Windows that repeat at one length alone are extended to twice that length, until no candidates survive. lists has
-    the windows of `least` words that repeat, as `ranges` per document.
+    the windows of `least` words that repeat, as `ranges` per document. From one length to the next only stretches of
+    such windows travel, one of each kind; a stretch that comes twice as a whole, a copied document above all, needs no
+    doubling and stays only for others to be met with.
     """
-    levels, length = lists.select("doc_id", "tkey", F.lit(least).cast("long").alias("longest")), least
-    while not lists.isEmpty():
+    levels, length = lists.select(F.col("doc_id").alias("h_id"), F.col("tkey").alias("h_key"), F.lit(least).cast("long").alias("level")), least
+    docs = docs.select("doc_id", "tkey", "text", F.col("doc_id").alias("h_id"), F.col("tkey").alias("h_key"), F.lit(True).alias("open"))
+    more, docs = _settled(docs, lists, length)
+    levels = materialize(levels.unionByName(more), "levels")
+    while not docs.filter("open").isEmpty():
         length *= 2
-        lists = _listed(repeated_ranges(_with_lists(docs, lists, "inner"), length), "longer")
-        levels = levels.unionByName(lists.select("doc_id", "tkey", F.lit(length).cast("long").alias("longest")))
-    return materialize(levels.groupBy("doc_id", "tkey").agg(F.max("longest").alias("longest")), "longest")
+        lists = _listed(repeated_ranges(docs.select("doc_id", "tkey", "text"), length), "longer")
+        reached = docs.filter("open").join(lists.select("doc_id").hint("merge"), "doc_id").select("h_id", "h_key", F.lit(length).cast("long").alias("level"))
+        more, docs = _settled(docs, lists, length)
+        levels = levels.unionByName(materialize(reached.unionByName(more), "levels"))
+    levels = levels.groupBy("h_id", "h_key").agg(F.max("level").alias("longest"))
+    return materialize(levels.withColumnsRenamed({"h_id": "doc_id", "h_key": "tkey"}), "longest")
 
 
 def _removed(docs: DataFrame, lists: DataFrame, longest: DataFrame | None, least: int) -> DataFrame:
@@ -189,14 +257,15 @@ def _removed(docs: DataFrame, lists: DataFrame, longest: DataFrame | None, least
     return map_batches(_with_lists(docs, lists, "left"), work, "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, longest long")
 
 
-def substring_dedup(docs: DataFrame, least: int = LEAST, double_on: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, least: int = LEAST, double_on: bool = True) -> DataFrame:
     """Remove every word that a window of `least` words covers whose word sequence also starts anywhere else.
 
     Returns doc_id, text (the words that are left, joined by one space), n_words, n_removed, kept_sha256 and
-    longest (the last length of the doubling at which one of its windows repeats, 0 if none does) for every row. The
-    doubling ends at `least`, which decides what is removed, unless it is to go on (double_on). Windows are judged on the input, in the same document as in others. Null and empty texts have no words. A document
-    of fewer than `least` words keeps all. Rows that repeat count as copies of each other. A null doc_id is like any
-    other value. Empty tables give empty tables; columns other than doc_id and text are ignored.
+    longest (the last length of the doubling at which one of its windows repeats, 0 if none does) for every row. What
+    repeats at `least` decides what is removed; without double_on the doubling ends there. Windows are judged on the
+    input, in the same document as in others. Null and empty texts have no words. A document of fewer than `least` words
+    keeps all. Rows that repeat count as copies of each other. A null doc_id is like any other value. Empty tables give
+    empty tables; columns other than doc_id and text are ignored.
     """
     docs = keyed(docs)
     lists = _listed(repeated_ranges(docs, least), "covered")
