@@ -2,7 +2,7 @@
 
 Each stage works on all that the one before it kept, and is written as Parquet and read again, so that a lost executor
 costs tasks of one stage only. A document that quality rules reject goes; lines that are dropped are gone from the text
-that later stages see; of each group of near copies the document with the smallest doc_id stays; a document that holds
+that later stages see; of each group of near copies one row, that with the smallest doc_id, stays; a document that holds
 a benchmark window goes; what is left is packed.
 """
 
@@ -41,12 +41,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; one row where that doc_id repeats."""
-    groups = simhash_trie.near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = materialize(groups.groupBy("doc_id").agg((F.count("*") > 1).alias("many")).withColumnRenamed("doc_id", "stays"), "representatives")
-    met = docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("stays")))
-    once = met.filter("not many").unionByName(met.filter("many").dropDuplicates(["stays"]))
-    return once.select(*docs.columns)
+    """One row of each component, that with the smallest doc_id; a row without doc_id only where no row has one."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    stay = simhash_trie.representatives(rows, "__row").withColumnRenamed("__row", "stays")
+    return rows.join(stay.hint("merge"), F.col("__row") == F.col("stays")).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from engram.llm.components import components
 from engram.llm.stages import materialize
-from engram.llm.textbatch import LOWER_LUT, Slice, map_batches, signed, slices, take
+from engram.llm.textbatch import LOWER_LUT, Slice, map_batches, row_key, signed, slices, take
 
 BUDGET = 3
 SHINGLE = 3
@@ -46,8 +46,8 @@ def _bits(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the 64-bit SimHash of its word shingles (as a signed long) for every row of doc_id, text."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the 64-bit SimHash of its word shingles (as a signed long) and the carried columns for every row of doc_id, text."""
     import xxhash  # noqa: F401  fails on the driver, not in a task, where it is missing
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -71,9 +71,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             at = first[:-1][owner] + np.arange(len(owner)) - bounds[:-1][owner]
             last = np.minimum(at + shingle, first[1:][owner]) - 1
             hashes = np.fromiter((xxh64_intdigest(raw[a:b], SEED) for a, b in zip(to[at].tolist(), stop[last].tolist(), strict=True)), np.uint64, len(at))
-            yield pa.RecordBatch.from_arrays([take(batch.column(0), part.rows, np.arange(len(counts))), signed(_bits(hashes, bounds))], names=["doc_id", "fp"])
+            others = [batch.column(2 + i).slice(part.rows.start, len(part.rows)) for i in range(len(carry))]
+            yield pa.RecordBatch.from_arrays([take(batch.column(0), part.rows, np.arange(len(counts))), signed(_bits(hashes, bounds)), *others], names=["doc_id", "fp", *carry])
 
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), work, "doc_id long, fp long")
+    schema = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *carry), work, f"doc_id long, fp long{schema}")
 
 
 def flips(bits: int, budget: int) -> np.ndarray:
@@ -188,6 +190,25 @@ def links(distinct: DataFrame, count: int, budget: int = BUDGET, subtree: int =
     return dealt.groupBy("pair").applyInArrow(join, "a long, b long")
 
 
+def _components(prints: DataFrame, budget: int) -> DataFrame:
+    """fp, least (its smallest doc_id) and component (a fingerprint that names it) of every distinct fingerprint."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    found = components(links(distinct.select("fp"), distinct.count(), budget))
+    named = distinct.join(found.hint("merge"), distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    return materialize(named, "named")
+
+
+def representatives(docs: DataFrame, row: str, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
+    """The value of column `row`, a long that tells all rows apart, for one row of each component: that with the smallest
+    doc_id, nulls last; of those, with the smallest hash of its text, then the smallest `row`."""
+    keyed = docs.select("doc_id", "text", row_key(docs["text"].cast("string")).alias("tkey"), F.col(row).alias("row"))
+    prints = materialize(fingerprints(keyed, shingle, ("tkey", "row")), "fingerprints")
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "tkey", "row")).alias("first"))
+    named = _components(prints, budget).select("fp", "component")
+    each = materialize(first, "first-rows").join(named.hint("merge"), "fp").groupBy("component").agg(F.min("first").alias("first"))
+    return materialize(each.select(F.col("first.row").alias(row)), "representatives")
+
+
 def near_dedup(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, fingerprint and component_id (the smallest doc_id that links lead to) for every row.
 
@@ -197,10 +218,7 @@ def near_dedup(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) ->
     give empty tables; columns other than doc_id and text are ignored.
     """
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    found = components(links(distinct.select("fp"), distinct.count(), budget))
-    named = distinct.join(found.hint("merge"), distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = materialize(named, "named")
+    named = _components(prints, budget)
     low = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
     of_fp = named.select("fp", "component").join(low.hint("merge"), "component").select("fp", "component_id")
     of_fp = materialize(of_fp, "fingerprint-components")
