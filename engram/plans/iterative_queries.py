@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -15,9 +13,6 @@ from engram.plans import views
 from engram.sources.stage_tables import materialize, stage_path
 from engram.streaming import jobs
 
-#: The views' edges are denser than a memory graph, so paths may score lower.
-PARAMS = replace(DEFAULTS, least_score=0.3)
-
 
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = views.frame(spark, sf_dir, "story_state").filter("not deleted and not archived and not no_vector")
@@ -27,9 +22,7 @@ def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _diffused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     hits = materialize(R.hybrid(spark, sf_dir), "hits")
     seeds = hits.filter("rank <= 3 and vector_similarity is not null").select("query_id", "story_id", "similarity")
-    # successive events tie every story to dozens of others; without them hubs leave paths a chance
-    edges = views.frame(spark, sf_dir, "edges").filter("edge_type <> 'temporal'")
-    return hits, diffusion.diffuse(seeds, edges, _active(spark, sf_dir), PARAMS)
+    return hits, diffusion.diffuse(seeds, views.frame(spark, sf_dir, "edges"), _active(spark, sf_dir), DEFAULTS)
 
 
 def graph_diffusion_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
