@@ -2,15 +2,16 @@
 
 Fingerprints are made next to the text. Distinct ones then form a binary trie: a pair of its nodes is walked down
 together, the bits in which the two sides differ add up, and a pair that has used up its budget is dropped with all
-that lies below it. The upper levels of the trie share the work out: a fingerprint goes to every pair of subtrees that
-its own prefix can still be part of, and each pair of subtrees is walked in a task that keeps only a spanning forest
-of the links it finds.
+that lies below it. The work is shared out by fixed blocks of bits: of budget + 1 blocks, two fingerprints that differ
+in `budget` bits or fewer have one in common, so each fingerprint goes to one group per block, whatever the size of the
+table. A group that is crowded is shared out again by blocks of the bits that are still free. Groups are walked many at
+a time, in tasks that keep only a spanning forest of the links they find.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,10 @@ from engram.llm.textbatch import LOWER_LUT, Slice, map_batches, row_key, signed,
 BUDGET = 3
 SHINGLE = 3
 SEED = 42
-#: Fingerprints that one subtree is meant to hold, and node pairs that are walked at once.
-SUBTREE = 1 << 15
-#: Levels of the trie that share the work out at least, so that small tables are walked in many tasks as well.
-LEAST_TOP = 4
+#: Fingerprints that a group holds at most (more than lie within three bits of any one, so that blocks part a crowd),
+#: leaves that are walked together, and node pairs that are walked at once.
+CROWD = 1 << 17
+LEAVES = 1 << 16
 FRONT = 1 << 18
 
 
@@ -78,13 +79,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: tuple[str, ...]
     return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *carry), work, f"doc_id long, fp long{schema}")
 
 
-def flips(bits: int, budget: int) -> np.ndarray:
-    """All words of `bits` bits with `budget` ones at most."""
-    out, last = [0], [(0, -1)]
-    for _ in range(min(budget, bits)):
-        last = [(w | 1 << b, b) for w, top in last for b in range(top + 1, bits)]
-        out += [w for w, _ in last]
-    return np.array(out, np.uint64)
+def blocks_of(mask: int, count: int) -> list[int]:
+    """The bits that a mask leaves free, from the highest, as `count` masks of about the same width."""
+    free = [1 << b for b in range(63, -1, -1) if not mask >> b & 1]
+    edges = [len(free) * i // count for i in range(count + 1)]
+    return [sum(free[lo:hi]) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
 
 
 class _Forest:
@@ -106,17 +105,18 @@ class _Forest:
                 self.label = up
 
 
-def walk(values: np.ndarray, split: int, budget: int) -> np.ndarray:
-    """Join two subtrees (values[:split], values[split:]; or one with itself if split is 0) and return a label per leaf.
+def walk(values: np.ndarray, bounds: np.ndarray, budget: int) -> np.ndarray:
+    """Join the trie of each group, values[bounds[i]:bounds[i+1]], with itself and return a label per leaf.
 
-    Both parts are sorted, so a node is a range of leaves. First the walk runs with a budget of one bit, which is cheap
+    Groups are sorted, so a node is a range of leaves. First the walk runs with a budget of one bit, which is cheap
     and ties the leaves of a crowded part together; in the full walk a pair of nodes whose leaves are tied already is
     passed over. So many near copies cost no more than a walk over them, and no list of their pairs is made.
     """
     forest = _Forest(len(values))
     ones = [np.concatenate([[0], np.cumsum((values >> np.uint64(b)) & np.uint64(1), dtype=np.int32)]) for b in range(63, -1, -1)]
     for allowed in sorted({min(1, budget), budget}):
-        stack = [(0, np.array([[0, split or len(values), split, len(values), 0]], np.int32))]
+        lo, hi = bounds[:-1], bounds[1:]
+        stack = [(0, np.stack([lo, hi, lo, hi, np.zeros_like(lo)], 1).astype(np.int32))]
         tied_at = None
         while stack:
             depth, front = stack.pop()
@@ -136,7 +136,7 @@ def walk(values: np.ndarray, split: int, budget: int) -> np.ndarray:
                 owner = np.repeat(np.arange(len(small)), counts)
                 inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
                 left, right = small[owner, 0] + inner // wide[owner], small[owner, 2] + inner % wide[owner]
-                near = (left != right) & (np.bitwise_count(values[left] ^ values[right]) <= allowed)
+                near = (left < right) & (np.bitwise_count(values[left] ^ values[right]) <= allowed)
                 forest.link(left[near], right[near])
             front = front[~few]
             if not len(front):
@@ -156,44 +156,66 @@ def walk(values: np.ndarray, split: int, budget: int) -> np.ndarray:
     return forest.label
 
 
-def links(distinct: DataFrame, count: int, budget: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
-    """A spanning set (a, b) of the links between fingerprints that differ in `budget` bits or fewer.
+def deal(rows: DataFrame, budget: int) -> DataFrame:
+    """mask, part, fp: each fingerprint of (mask, fp) goes to budget + 1 groups, by its bits in mask and in one of as
+    many blocks of the others."""
 
-    distinct has one column, fp, without repeats; count is about how many there are.
-    """
-    top = max(LEAST_TOP, min(24, math.ceil(math.log2(max(1, count) / subtree))))
-    masks = flips(top, budget)
-    shift = np.uint64(64 - top)
-
-    def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fp = batch.column(0).to_numpy().view(np.uint64)
-        own = fp >> shift if top else np.zeros(len(fp), np.uint64)
-        for at in range(0, len(fp), 1 << 12):
-            prefix = own[at : at + (1 << 12), None]
-            other = prefix ^ masks[None, :]
-            low, high = np.minimum(prefix, other), np.maximum(prefix, other)
-            key = (low << np.uint64(top) | high).ravel()
-            yield pa.RecordBatch.from_arrays([signed(key), signed(np.repeat(fp[at : at + (1 << 12)], len(masks)))], names=["pair", "fp"])
-
-    def join(key: tuple, table: pa.Table) -> pa.Table:
-        values = np.sort(table.column("fp").to_numpy().view(np.uint64))
-        pair = key[0].as_py()
-        low, high = pair >> top, pair & ((1 << top) - 1)
-        split = 0 if low == high else int(np.searchsorted(values >> shift, np.uint64(high)))
-        if low != high and split in (0, len(values)):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        label = walk(values, split, budget)
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        masks, fp = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+        for mask in np.unique(masks).tolist():
+            own = fp[masks == np.uint64(mask)]
+            for block in blocks_of(mask, budget + 1):
+                both = np.uint64(mask | block)
+                yield pa.RecordBatch.from_arrays([signed(np.full(len(own), both)), signed(own & both), signed(own)], names=["mask", "part", "fp"])
+
+    return map_batches(rows, work, "mask long, part long, fp long")
+
+
+def _walked(dealt: DataFrame, budget: int) -> DataFrame:
+    """Links (a, b) of groups that fit in memory: whole groups, LEAVES fingerprints or one group at a time."""
+
+    def join(values: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        label = walk(values, bounds, budget)
         linked = label != np.arange(len(values))
-        return pa.table({"a": signed(values[linked]), "b": signed(values[label[linked]])})
+        return pa.RecordBatch.from_arrays([signed(values[linked]), signed(values[label[linked]])], names=["a", "b"])
 
-    dealt = map_batches(distinct, deal, "pair long, fp long")
-    return dealt.groupBy("pair").applyInArrow(join, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((3, 0), np.uint64)
+        for batch in batches:
+            rest = np.concatenate([rest, np.stack([batch.column(i).to_numpy().view(np.uint64) for i in range(3)])], axis=1)
+            if rest.shape[1] >= LEAVES:
+                new = np.flatnonzero((rest[:2, 1:] != rest[:2, :-1]).any(0)) + 1
+                if len(new):  # the last group may go on in the next batch
+                    yield join(rest[2, : new[-1]], np.concatenate([[0], new]))
+                    rest = rest[:, new[-1] :]
+        if rest.shape[1]:
+            new = np.flatnonzero((rest[:2, 1:] != rest[:2, :-1]).any(0)) + 1
+            yield join(rest[2], np.concatenate([[0], new, [rest.shape[1]]]))
+
+    return dealt.repartition("mask", "part").sortWithinPartitions("mask", "part", F.col("fp") < 0, "fp").mapInArrow(run, "a long, b long")
+
+
+def links(distinct: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFrame:
+    """A spanning set (a, b) of the links between fingerprints that differ in `budget` bits or fewer.
+
+    distinct has one column, fp, without repeats. Groups of more than `crowd` fingerprints are dealt out again by the
+    bits that they don't share, until none is left.
+    """
+    rows, found = distinct.select(F.lit(0).cast("long").alias("mask"), "fp"), []
+    while True:
+        dealt = materialize(deal(rows, budget), "dealt")
+        crowded = materialize(dealt.groupBy("mask", "part").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("mask", "part"), "crowded")
+        if crowded.isEmpty():
+            found.append(_walked(dealt, budget))
+            return reduce(DataFrame.unionByName, found)
+        found.append(_walked(dealt.join(crowded.hint("merge"), ["mask", "part"], "left_anti"), budget))
+        rows = dealt.join(crowded.hint("merge"), ["mask", "part"], "left_semi").select("mask", "fp")
 
 
 def _components(prints: DataFrame, budget: int) -> DataFrame:
     """fp, least (its smallest doc_id) and component (a fingerprint that names it) of every distinct fingerprint."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    found = components(links(distinct.select("fp"), distinct.count(), budget))
+    found = components(links(distinct.select("fp"), budget))
     named = distinct.join(found.hint("merge"), distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     return materialize(named, "named")
 

@@ -279,22 +279,38 @@ def test_trie_walk_finds_what_all_pairs_find(seed):
     centre = rng.integers(0, 1 << 63, dtype=np.uint64)
     crowd = [int(centre) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(300)]
     values = np.unique(np.array([*crowd, *rng.integers(0, 1 << 63, 200, dtype=np.uint64)], np.uint64))
-    label, want = simhash_trie.walk(values, 0, 3), _plain_components([int(v) for v in values])
+    label, want = simhash_trie.walk(values, np.array([0, len(values)]), 3), _plain_components([int(v) for v in values])
     assert len({(a, b) for a, b in zip(label, want, strict=True)}) == len(set(label)) == len(set(want))
 
 
-def test_trie_shared_out_over_many_subtrees(spark):
+def _signed(values) -> list[tuple[int]]:
+    return [(v - (1 << 64) if v >> 63 else v,) for v in values]
+
+
+@pytest.mark.parametrize(("crowd", "leaves"), [(simhash_trie.CROWD, 1 << 16), (40, 64)])
+def test_trie_shared_out_over_blocks(spark, monkeypatch, crowd, leaves):
+    """Crowded groups are dealt out again, and groups of several batches are walked whole."""
+    monkeypatch.setattr(simhash_trie, "LEAVES", leaves)
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
-    values = sorted({int(b) ^ sum(1 << int(i) for i in rng.choice(64, k, replace=False)) for b in base for k in (0, 1, 2, 3, 5)})
-    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
-    found = simhash_trie.components(simhash_trie.links(frame, 1 << 20, subtree=1 << 12)).collect()
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    values = {int(b) ^ sum(1 << int(i) for i in rng.choice(64, k, replace=False)) for b in base for k in (0, 1, 2, 3, 5)}
+    values = sorted(values | {int(base[0]) ^ sum(1 << int(i) for i in rng.choice(64, rng.integers(1, 7), replace=False)) for _ in range(300)})
+    frame = spark.createDataFrame(_signed(values), "fp long")
+    found = simhash_trie.components(simhash_trie.links(frame, crowd=crowd)).collect()
     want = _plain_components(values)
     sizes = Counter(Counter(want).values())
     sizes.pop(1, None)
     assert Counter(Counter(r["component"] for r in found).values()) == sizes
 
 
+def test_dealing_makes_as_many_copies_whatever_the_size(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1_000, 100_000):
+        rows = spark.range(n).select(F.lit(0).cast("long").alias("mask"), F.xxhash64("id").alias("fp"))
+        assert simhash_trie.deal(rows, 3).count() == 4 * n
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(2)
     vocabulary = {"aa": ["kala", "moro", "tiki", "sura"], "bb": ["thwen", "grish", "blorn", "shkla"]}
