@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from engram.llm import decontaminate, fertility, html_extract, langid, line_dedup, packing, secret_scan, simhash_trie, substring_dedup, toxicity, vocab
 
@@ -223,16 +224,42 @@ def test_decontamination(spark, docs):
     out = decontaminate.decontaminate_digest(docs, table).drop("n_near_items")
     assert bag(tuple(r) for r in out.collect()) == bag(want)
     assert decontaminate.decontaminate(docs, table.limit(0)).filter("contaminated").count() == 0
+    # in parts and chunks: the same rows
+    cut = decontaminate.decontaminate(docs, table, most=20, chunk=14).select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+    assert decontaminate.parts_of(table, most=20, chunk=14)[1] > 1
+    assert bag(tuple(r) for r in cut.collect()) == bag(want)
 
 
 def test_proximity_matches(spark):
-    words = [f"w{i}" for i in range(30)]
-    moved = [*words[:12], "extra", *words[12:]]
-    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(moved[8:18])), (3, " ".join(reversed(words)))], "doc_id long, text string")
-    out = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, spark.createDataFrame([("a", " ".join(words[8:17]) + " w17")], "item_id string, text string")).collect()}
-    assert (out[1]["item_ids"], out[1]["near_item_ids"]) == (["a"], [])
-    assert (out[2]["item_ids"], out[2]["contaminated"]) == ([], False)
-    assert out[3]["item_ids"] == []
+    """One word changed, left out or put in at each place of an item, against all starts of all windows."""
+    item = [f"w{i}" for i in range(10)]
+    rest = [f"r{i % 7}" for i in range(30)]
+    rows = [[*rest, *item[:i], "other", *item[i + 1 :], *rest] for i in range(10)] + [[*rest[:9], *item[:i], *item[i + 1 :]] for i in range(10)] + [[*item[:i], "r1", "r2", *item[i:]] for i in range(1, 10)]
+    rows += [[*item[:i], "other", *item[i + 1 : j], "other", *item[j + 1 :]] for i in range(0, 10, 3) for j in range(i + 1, 10, 2)]
+    rows += [item, [*item, *rest, *item[:4], "x", *item[5:]], list(reversed(item)), rest, [], item[5:] + item[:5], ["w2", "w1", "w3", "w0", *item[4:]]]
+    bench = {"a": item, "b": ["w1", "nowhere", *item[2:9], "r1"], "c": ["w1", "w2"], "d": [*rest[:4], *item, *rest[4:8]]}
+    slack = decontaminate.SLACK
+
+    def nearly(words, window):
+        return len(window) > 2 and any(
+            sum(w in words[max(0, s + j - slack) : max(0, s + j + slack + 1)] for j, w in enumerate(window)) >= len(window) - 1 for s in range(-len(window), len(words) + 1)
+        )
+
+    docs = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(rows)], "doc_id long, text string")
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in bench.items()], "item_id string, text string")
+    out = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, table).collect()}
+    n_near = 0
+    for n, words in enumerate(rows):
+        want = set()
+        for k, w in bench.items():
+            windows = [w[a : a + 10] for a in range(max(1, len(w) - 9))]
+            exact = any(words[s : s + len(x)] == x for x in windows for s in range(len(words)))
+            assert (k in out[n]["item_ids"]) == exact, (n, k)
+            if not exact and any(nearly(words, x) for x in windows):
+                want.add(k)
+        assert set(out[n]["near_item_ids"]) == want, n
+        n_near += len(want)
+    assert n_near >= 30 and all("a" in out[n]["near_item_ids"] for n in range(29))
 
 
 def _plain_prints(rows):
