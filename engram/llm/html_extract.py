@@ -2,7 +2,9 @@
 
 A page is a sequence of words and tags. Words score by where they stand (positive where article text stands), tags
 score negative, and one linear scan finds the contiguous region with the largest sum. The weights are log odds, learned
-from labelled pages: those that mark their article themselves.
+from labelled pages: those that mark their article themselves. Names of classes and ids are features like others: what
+stands in an element whose name speaks of adverts or comments scores less, and such an element inside the region goes
+only if its own words sum to nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ MOST_WEIGHTS = 4000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 RAW = "script|style|noscript|template|svg|math|iframe|object|canvas"
-#: Elements, roles and words of class or id names whose content is no part of an article.
+#: Elements and roles whose content is no part of an article, and words of class or id names that speak of such content.
 ASIDE = frozenset("aside button dialog footer form head menu nav select textarea title".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
 HINTS = frozenset(
@@ -37,18 +39,20 @@ HINTS = frozenset(
 )
 MAIN = frozenset(("article", "main"))
 
+#: What is never closed ends with the page, so that each byte is looked at a fixed number of times.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"'/]|\"[^\"]*\"|'[^']*'|/(?!>))*+/>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</\1\s*>|\Z))|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|([^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"'/]|\"[^\"]*\"|'[^']*'|/(?!>))*+/>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_NAME = re.compile(r"[a-z]+")
+_PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 @dataclass
 class Token:
-    """A tag (words 0) or a stretch of text; where is its feature, apart says that it stands in no article."""
+    """A tag (words 0) or a stretch of text; where is its feature, apart says that an element or role keeps it out of any
+    article, hinted is the innermost element around it whose name is a hint (-1: none)."""
 
     where: str
     words: int
@@ -56,35 +60,48 @@ class Token:
     apart: bool
     marked: bool
     breaks: bool
+    hinted: int
 
 
-def _label(name: str, attributes: str) -> tuple[str, bool]:
-    """How weights know an element, and whether its name, role, class or id sets it apart."""
-    if name in ASIDE:
-        return name, True
-    if attributes:
-        for kind, *values in _ATTRIBUTE.findall(attributes):
-            value = max(values, key=len).lower()
-            if kind.lower() == "role":
-                if value in ROLES:
-                    return f"role={value}", True
-                continue
-            for word in _NAME.findall(value):
-                if word in HINTS:
-                    return f"hint={word}", True
-    return name, False
-
-
-def tokens(html: str) -> Iterator[Token]:
-    """The tags and texts of a page in order. Unclosed elements end with the element around them."""
-    stack: list[tuple[str, str, bool]] = []  # name, label, apart
+@dataclass
+class Hinted:
+    """An element whose class or id holds a hint: the one around it, its names, if it stands in an article, and the
+    words of text that it holds outside links and what is apart."""
+
+    up: int
+    names: tuple[str, ...]
+    marked: bool
+    words: int = 0
+
+
+def _names(attributes: str) -> tuple[tuple[str, ...], bool]:
+    """The class and id names that hold a hint, and whether the role keeps the element out of an article."""
+    names, apart = [], False
+    for kind, *values in _ATTRIBUTE.findall(attributes):
+        value = max(values, key=len).lower()
+        if kind.lower() == "role":
+            apart |= value in ROLES
+        else:
+            names += [name for name in value.split() if not HINTS.isdisjoint(_PART.findall(name))]
+    return tuple(dict.fromkeys(names)), apart
+
+
+def read(html: str) -> tuple[list[Token], list[Hinted]]:
+    """The tags and texts of a page in order, and its hinted elements, outer ones first. Unclosed elements end with the
+    element around them."""
+    out: list[Token] = []
+    hints: list[Hinted] = []
+    # name, feature of words in it, if it is apart, if it or one not far around is a link, its hinted element
+    stack: list[tuple[str, str, bool, int, int]] = [("", "page", False, 0, -1)]
+    open_: Counter[str] = Counter()
     apart = marked = 0
     for m in _TOKEN.finditer(html):
-        text = m[8]
+        text, (_, feature, _, link, inside) = m[8], stack[-1]
         if text is not None:
-            label = next((lab for name, lab, away in reversed(stack) if away or name in BLOCK), "page")
-            linked = any(name == "a" for name, _, _ in stack[-4:])
-            yield Token(f"word {label}{' link' if linked else ''}", len(text.split()), text, apart > 0, marked > 0, False)
+            n = len(text.split())
+            if n and not link and not apart and inside >= 0:
+                hints[inside].words += n
+            out.append(Token(f"word {feature}{' link' if link else ''}", n, text, apart > 0, marked > 0, False, inside))
             continue
         name = (m[3] or m[6] or "").lower()
         if not name:
@@ -92,61 +109,98 @@ def tokens(html: str) -> Iterator[Token]:
         closing, attributes = (m[2], m[4]) if m[3] else (m[5], m[7])
         breaks = name in BLOCK
         if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            inside = marked > 0
-            if at is not None:
-                for gone, _, away in stack[at:]:
-                    apart -= away
-                    marked -= gone in MAIN
-                del stack[at:]
-            yield Token(f"tag /{name}", 0, "", apart > 0, inside and marked > 0, breaks)
+            before, gone = marked > 0, ""
+            while open_[name] and gone != name:
+                gone, _, away, _, _ = stack.pop()
+                open_[gone] -= 1
+                apart -= away
+                marked -= gone in MAIN
+            out.append(Token(f"tag /{name}", 0, "", apart > 0, before and marked > 0, breaks, stack[-1][4]))
             continue
-        label, away = _label(name, attributes)
-        if away and name in ("h1", "h2", "h3", "article", "main", "body", "html"):
-            away = False
-        if breaks and stack and stack[-1][0] == "p":
-            apart -= stack.pop()[2]
+        names, away = _names(attributes) if attributes else ((), False)
+        away = (away or name in ASIDE) and name not in ("h1", "h2", "h3", "article", "main", "body", "html")
+        if breaks and stack[-1][0] == "p":
+            apart -= stack[-1][2]
+            open_["p"] -= 1
+            stack.pop()
+            _, feature, _, link, inside = stack[-1]
+        if names and name not in VOID:
+            hints.append(Hinted(inside, names, marked > 0))
+            inside = len(hints) - 1
+        out.append(Token(f"tag {name}", 0, "", apart > 0, marked > 0, breaks, inside))
         if name in VOID or attributes.endswith("/"):
-            yield Token(f"tag {label}", 0, "", apart > 0, marked > 0, breaks)
             continue
-        yield Token(f"tag {label}", 0, "", apart > 0, marked > 0, breaks)
-        stack.append((name, label, away))
+        stack.append((name, name if breaks or away else feature, away, 4 if name == "a" else max(0, link - 1), inside))
+        open_[name] += 1
         apart += away
         marked += name in MAIN
+    for h in reversed(hints):
+        if h.up >= 0:
+            hints[h.up].words += h.words
+    return out, hints
 
 
-#: Weights where nothing is learned: words of paragraphs and headings for, words elsewhere and all tags against.
-DEFAULT_WORD, DEFAULT_TAG = 0.5, -0.5
+#: Weights where nothing is learned: words for, words of links and all tags against.
+DEFAULT_WORD, DEFAULT_LINK, DEFAULT_TAG = 0.5, -0.2, -0.25
 #: What stands apart is left out of the text anyway, so that it costs little to pass over it inside an article.
 APART_WORD, APART_TEXT, APART_TAG = -0.1, -1.0, -0.05
+#: A word's loss in an element named by hints alone, by a hint before other words, and by a hint after them (as names of
+#: what surrounds an article often are); and its gain where the element holds over half of the page's text.
+HINT_ALONE, HINT_FIRST, HINT_LAST, HINT_LARGE = -2.5, -1.2, -0.3, 0.9
+#: Words that a hint is seen with before what is learned counts as much as these.
+HINT_PRIOR = 50.0
+
+
+def _default_hint(name: str) -> float:
+    parts = _PART.findall(name)
+    if HINTS.issuperset(parts):
+        return HINT_ALONE
+    return HINT_FIRST if parts[0] in HINTS else HINT_LAST
 
 
 def learn(pages: DataFrame, most: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Log odds of standing inside the article, by feature, from pages that mark one (article or main)."""
+    """Log odds of standing inside the article, by feature, from pages that mark one (article or main).
+
+    A hint counts by the words of its elements: inside where it surrounds an article, outside where no article is. One
+    that stands in an article isn't labelled by the page.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside: Counter[str] = Counter()
         outside: Counter[str] = Counter()
         for batch in batches:
             for html in batch.column(0):
-                for t in tokens(html.as_py()):
-                    (inside if t.marked and not t.apart else outside)[t.where] += t.words or 1
+                found, hints = read(html.as_py())
+                for t in found:
+                    h = t.hinted
+                    if t.marked and h >= 0 and hints[h].marked:
+                        continue
+                    at = inside if t.marked and not t.apart else outside
+                    at[t.where] += t.words or 1
+                    while h >= 0 and t.words and not t.apart:
+                        for name in hints[h].names:
+                            at[f"hint {name}"] += t.words
+                        h = hints[h].up
         keys = list(inside | outside)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([outside[k] for k in keys], pa.int64())], names=["feature", "inside", "outside"])
 
-    marked = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("page_id", "html")
+    marked = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("page_id", "url", "html")
     n = marked.count()
-    part = F.shiftrightunsigned(F.xxhash64("page_id"), 11) / F.lit(float(1 << 53))
+    part = F.shiftrightunsigned(F.xxhash64("page_id", "url"), 11) / F.lit(float(1 << 53))
     sample = marked.filter(part < most / n if n > most else F.lit(True)).select("html")
     counts = sample.mapInArrow(count, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     rows = counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(MOST_WEIGHTS).collect()
     total = {k: [sum(r[k] for r in rows if r["feature"].startswith(kind)) + 1 for kind in ("word", "tag")] for k in ("inside", "outside")}
     out = {}
     for r in rows:
-        kind = int(r["feature"].startswith("tag"))
-        odds = math.log((r["inside"] + 0.5) / total["inside"][kind]) - math.log((r["outside"] + 0.5) / total["outside"][kind])
-        # words weigh by their odds; a tag is a small cost inside an article and a large one outside
-        out[r["feature"]] = max(-4.0, min(2.0, odds)) if not kind else max(-4.0, min(-0.05, odds - 1.0))
+        kind = r["feature"].split(" ", 1)[0]
+        which = int(kind == "tag")
+        odds = math.log((r["inside"] + 0.5) / total["inside"][which]) - math.log((r["outside"] + 0.5) / total["outside"][which])
+        if kind == "hint":  # what is learned against what the name says, by how many words speak
+            seen = r["inside"] + r["outside"]
+            out[r["feature"]] = (max(-3.0, min(1.0, odds)) * seen + _default_hint(r["feature"][5:]) * HINT_PRIOR) / (seen + HINT_PRIOR)
+        else:  # words weigh by their odds; a tag is a small cost inside an article and a large one outside
+            out[r["feature"]] = max(-4.0, min(-0.05, odds - 1.0)) if which else max(-4.0, min(2.0, odds))
     return out
 
 
@@ -162,39 +216,60 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
     return best_at
 
 
+def judge(found: list[Token], hints: list[Hinted], weights: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """The score of every token, and whether it is left out: what is apart, and hinted elements whose words sum to nothing."""
+    text = sum(t.words for t in found if not t.apart and not t.where.endswith(" link"))
+    shift: list[float] = []
+    for h in hints:
+        own = min(weights.get(f"hint {name}", _default_hint(name)) for name in h.names) + (HINT_LARGE if 2 * h.words > text else 0.0)
+        shift.append(min(own, 0.0) + (shift[h.up] if h.up >= 0 else 0.0))
+    scores, sums = np.zeros(len(found)), [0.0] * len(hints)
+    for i, t in enumerate(found):
+        if t.words and not t.apart:
+            weight = weights.get(t.where, DEFAULT_LINK if t.where.endswith(" link") else DEFAULT_WORD)
+            scores[i] = weight * t.words
+            if t.hinted >= 0:
+                sums[t.hinted] += (weight + shift[t.hinted]) * t.words
+    for k in range(len(hints) - 1, -1, -1):
+        if hints[k].up >= 0 and sums[k] > 0:
+            sums[hints[k].up] += sums[k]
+    away: list[bool] = []
+    for h, total in zip(hints, sums, strict=True):
+        away.append(total <= 0 or (h.up >= 0 and away[h.up]))
+    out = np.array([t.apart or (t.hinted >= 0 and away[t.hinted]) for t in found], bool)
+    for i, t in enumerate(found):
+        if out[i]:
+            scores[i] = max(APART_TEXT, APART_WORD * t.words) if t.words else 0.0 if t.text else APART_TAG
+        elif not t.words:
+            scores[i] = 0.0 if t.text else weights.get(t.where, DEFAULT_TAG)
+    return scores, out
+
+
 def extract(html: str, weights: dict[str, float]) -> str:
-    """The blocks of the best region, less what stands apart in it."""
-    found = list(tokens(html))
-    scores = np.array([_score(t, weights) for t in found])
+    """The blocks of the best region, less what is left out in it."""
+    found, hints = read(html)
+    scores, away = judge(found, hints, weights)
     start, end = best_region(scores)
     blocks, parts = [], []
-    for t in found[start:end]:
+    for t, gone in zip(found[start:end], away[start:end].tolist(), strict=True):
         if t.breaks:
             blocks.append(parts)
             parts = []
-        elif t.words and not t.apart:
+        elif t.words and not gone:
             parts.append(unescape(t.text))
-        elif not t.apart:
+        elif not gone:
             parts.append(t.text or (" " if t.where in ("tag br", "tag wbr") else ""))
     blocks.append(parts)
     lines = (_SPACE.sub(" ", "".join(p)).strip() for p in blocks)
     return "\n".join(x for x in lines if x)
 
 
-def _score(t: Token, weights: dict[str, float]) -> float:
-    if t.apart:
-        return max(APART_TEXT, APART_WORD * t.words) if t.words else 0.0 if t.text else APART_TAG
-    if t.words:
-        return weights.get(t.where, DEFAULT_WORD) * t.words
-    return 0.0 if t.text else weights.get(t.where, DEFAULT_TAG)
-
-
 def html_extraction(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """page_id, url, text and n_chars (its code points) for every row of page_id, url, html.
 
     Weights are learned from the same table if none are given, with defaults where it marks no article. Null and empty
-    pages have empty text. Repeated rows give the same text each; null ids and urls stay null. Equal regions: the first
-    wins. Empty tables give empty tables; other columns are ignored.
+    pages have empty text, and very long ones are read whole, in time that grows with their length. Repeated rows give
+    the same text each; null ids and urls stay null. Equal regions: the first wins. Empty tables give empty tables; other columns are ignored.
     """
     pages = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     known = learn(pages) if weights is None else weights
