@@ -1,22 +1,22 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
-A raw-content zstandard dictionary per language is made of the words of a bounded sample of labelled texts. Every text
-is coded against all of them, in blocks, so that the dictionary counts over the whole of a long text.
+A raw-content zstandard dictionary per language is made of passages of a bounded sample of labelled texts. Every text
+is coded whole against all of them, in blocks, so that the dictionary counts over the whole of a long text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a language's dictionary, and of labelled texts a language is learned from (about, by a hash of doc_id).
-DICTIONARY_BYTES = 8 << 10
+#: Bytes of a language's dictionary, labelled texts it is made of (about, by a hash of the text), and words of a passage.
+DICTIONARY_BYTES = 32 << 10
 SAMPLE_ROWS = 400
+PASSAGE_WORDS = 64
 #: Bytes of text coded at once: small, so that a text's own repeats count little against the dictionary.
 BLOCK = 2048
 #: Relative margin between the two smallest sizes under which `rejected` is set.
@@ -25,53 +25,42 @@ MARGIN = 0.01
 LEVEL, SHORTEST = 7, 3
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
-
 
 def bucket(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n."""
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(n))
 
 
-def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A dictionary per language from doc_id, text, lang, the language with most labelled texts first.
+def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES, words: int = PASSAGE_WORDS) -> dict[str, bytes]:
+    """A dictionary per language from text and lang, the language with most labelled texts first.
 
-    A language is learned from about `rows` texts at most, those whose hash of doc_id is small. Its dictionary holds the
-    words that are in most of these texts, the most common last, where a match is cheapest. Whole passages are left
-    out on purpose: a copy of one would say more about the copy than about its language.
+    A language is learned from about `rows` texts at most, those whose hash is small; texts that repeat count once. Its
+    dictionary holds a passage of `words` words in lower case of each, from a place that the hash chooses.
     """
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = {row["lang"]: row["n"] for row in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     # the upper 53 bits of a hash, as a number from 0 to 1, against the part of a language's rows that is wanted
-    part = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    part = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
     large = {lang: rows / n for lang, n in share.items() if n > rows}
     wanted = F.lit(1.0)
     for lang, least in large.items():
         wanted = F.when(F.col("lang") == lang, F.lit(least)).otherwise(wanted)
     sample = labelled.select("text", "lang").filter(part < wanted)
-    words = sample.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("word"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    common = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= size // 2)
-    found: dict[str, list[str]] = {}
-    for row in common.orderBy("lang", "place").collect():
-        found.setdefault(row["lang"], []).append(row["word"])
-    out = {}
-    for lang in sorted(found, key=lambda x: (-share[x], x)):
-        ends = np.cumsum([len(w.encode()) + 1 for w in found[lang]])
-        out[lang] = (" ".join(reversed(found[lang][: int(np.searchsorted(ends, size, side="right"))])) + " ").encode()
-    return out
+    listed = sample.select("lang", F.xxhash64("text").alias("hash"), F.split(F.lower(F.trim("text")), r"[\x20\x09-\x0D]+").alias("words"))
+    start = F.pmod(F.col("hash"), F.greatest(F.lit(1), F.size("words") - words + 1)).cast("int") + 1
+    passages = listed.select("lang", "hash", F.array_join(F.slice("words", start, words), " ").alias("passage")).distinct()
+    found: dict[str, bytes] = {}
+    for row in passages.orderBy("lang", "hash", "passage").collect():
+        known = found.get(row["lang"], b"")
+        if len(known) < size:
+            found[row["lang"]] = (known + row["passage"].encode() + b"\n")[:size]
+    return {lang: found[lang] for lang in sorted(found, key=lambda x: (-share[x], x))}
 
 
 def blocks_of(text: str) -> list[bytes]:
-    """The distinct words of a whole text in lower case, in blocks."""
-    out, block, size = [], [], 0
-    for word in dict.fromkeys(_WORD.findall(text.lower())):
-        block.append(word)
-        size += len(word) + 1
-        if size > BLOCK:
-            out.append(" ".join(block).encode())
-            block, size = [], 0
-    return [*out, " ".join(block).encode()] if block else out
+    """A whole text in lower case, in blocks of bytes."""
+    data = text.lower().encode()
+    return [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
@@ -109,8 +98,10 @@ def language_id(docs: DataFrame) -> DataFrame:
     """Predict the language of every document, learned from those whose crc32(doc_id) modulo 3 is not 1.
 
     Returns doc_id, held_out, lang_pred, score, rejected per input row. A null doc_id is learned from and is not held
-    out. Ties between languages go to the one with most labelled texts, then by name. Repeated rows each get the same result. Without labelled rows
-    every text is `und`. Columns other than doc_id, text and lang are ignored.
+    out. Ties between languages go to the one with most labelled texts, then by name. Repeated rows each get the same
+    result, and count once in what is learned. Null and empty texts and those without a letter are `und`; very long ones
+    are coded whole. Without labelled rows every text is `und`. Empty tables give empty tables; columns other than
+    doc_id, text and lang are ignored.
     """
     held = F.coalesce(bucket(F.col("doc_id"), 3) == 1, F.lit(False))
     known = learn(docs.select("doc_id", "text", "lang").filter(~held))
