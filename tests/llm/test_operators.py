@@ -76,10 +76,33 @@ def test_fertility_measures_by_the_vocabularies(spark):
     share = np.array(list(Counter(ids).values())) / len(ids)
     assert (row["n_tokens"], row["script"]) == (len(ids), "Latin")
     assert row["byte_share"] == pytest.approx(sum(map(pieces.is_byte, own)) / len(own))
-    assert row["entropy"] == pytest.approx(-(share * np.log2(share)).sum() / np.log2(len(ids)))
+    assert row["entropy"] == pytest.approx(-(share * np.log2(share)).sum() / min(np.log2(len(ids)), 8))
     assert row["chars_per_token"] == pytest.approx(sum(c.isalnum() for c in text) / len(ids))
 
 
+def test_each_fertility_band_rejects_on_its_own(spark):
+    """A text for each measure that is outside its band and inside the other two, at any length, and natural text in none."""
+    rng = np.random.default_rng(3)
+    plain = "the people of this small town have lived near a river for many years and they know how water rises after rain in spring when snow melts on hills around them".split()
+    say = lambda words, n: " ".join(rng.permutation(words)[i % len(words)] for i in range(n))
+    few = [f"{a} {b}" for a in ("water", "river", "town") for b in ("people", "hills", "snow")]
+    texts_ = {}
+    for n in (12, 60, 100):
+        texts_[f"plain{n}"] = say(plain, n)
+        texts_[f"chars{n}"] = " ".join(f"{w}###$$$%%%" for w in say(plain, n).split())
+        texts_[f"bytes{n}"] = " ".join(w if i % 3 else chr(0x13000 + i % 200) + w for i, w in enumerate(say(plain, n).split()))
+    texts_["entropy400"] = " ".join(rng.choice(few) for _ in range(200))
+    rows = spark.createDataFrame([(k, t, "en") for k, t in texts_.items()], "name string, text string, lang string").withColumn("doc_id", F.monotonically_increasing_id())
+    out = {r["name"]: r for r in fertility.measure(rows, carry=("name",)).select("*", "rest.name").collect()}
+    band = fertility.RULES.languages["en"]
+    for name, r in out.items():
+        give = fertility.RULES.give / np.sqrt(r["n_tokens"])
+        outside = {m for m in ("chars_per_token", "byte_share", "entropy") if not getattr(band, m)[0] - give <= r[m] <= getattr(band, m)[1] + give}
+        kind = name.rstrip("0123456789")
+        assert kind == "plain" and not outside or {"chars": "chars_per_token", "bytes": "byte_share", "entropy": "entropy"}.get(kind) in outside, (name, outside, r)
+    assert {m for m in ("chars_per_token", "byte_share") if not getattr(band, m)[0] <= out["entropy400"][m] <= getattr(band, m)[1]} == set()
+
+
 def test_line_dedup(docs):
     rows = [(i, (t or "").split("\n")) for i, t in texts()]
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOWER)

@@ -26,15 +26,14 @@ def kept(text: str) -> bool:
     if len(w) < 10 or 100 * len(repeat) > 20 * len(w):
         return False
     ids = [i for x in w for i in vocab.byte_bpe(vocab.default_path("byte_bpe_50k.tiktoken")).encode_ordinary(" " + x)]
-    if len(ids) < fertility.RULES.least_tokens:
-        return True
     sp = vocab.pieces(vocab.default_path("piece_bpe_32k.model"))
     own = [p for x in w for p in sp.encode(x)]
     share = np.array(list(Counter(ids).values())) / len(ids)
     band = fertility.RULES.languages["en"]
     letters = len(re.findall(r"[A-Za-z0-9À-\U0010ffff]", "".join(w)))
-    values = (letters / len(ids), sum(map(sp.is_byte, own)) / len(own), -(share * np.log2(share)).sum() / np.log2(len(ids)))
-    return all(lo <= v <= hi for v, (lo, hi) in zip(values, (band.chars_per_token, band.byte_share, band.entropy), strict=True))
+    values = (letters / len(ids), sum(map(sp.is_byte, own)) / len(own), -(share * np.log2(share)).sum() / min(np.log2(len(ids)), 8))
+    give = fertility.RULES.give / len(ids) ** 0.5
+    return all(lo - give <= v <= hi + give for v, (lo, hi) in zip(values, (band.chars_per_token, band.byte_share, band.entropy), strict=True))
 
 
 def plain(rows):
