@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.stages import materialize
-from engram.llm.textbatch import Slice, keyed, map_batches, signed, slices, spread, take, window_hashes
+from engram.llm.textbatch import Slice, keyed, map_batches, polynomial, signed, slices, spread, take, window_hashes
 
 LEAST = 35
+_SECOND = 0x6A09E667F3BCC909
 _PLACE_BITS = np.uint64(30)
 
 
@@ -101,7 +103,8 @@ def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 
 
 def _windows(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """The full windows of the wanted ranges: doc_id, tkey, start, done, hash."""
+    """The full windows of the wanted ranges: doc_id, tkey, start, done, and two hashes of their words, so that windows
+    of a large corpus don't meet by chance."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch.column(2)):
@@ -112,11 +115,11 @@ def _windows(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
             group, inner = spread(n)
             at = lo[group] + inner
             yield pa.RecordBatch.from_arrays(
-                [take(batch.column(0), part.rows, owner[group]), take(batch.column(1), part.rows, owner[group]), pa.array((at - first[owner[group]]).astype(np.int32)), pa.array(done[group]), signed(window_hashes(words, at, at + least))],
-                names=["doc_id", "tkey", "start", "done", "hash"],
+                [take(batch.column(0), part.rows, owner[group]), take(batch.column(1), part.rows, owner[group]), pa.array((at - first[owner[group]]).astype(np.int32)), pa.array(done[group]), signed(window_hashes(words, at, at + least)), signed(polynomial(words, at, at + least, _SECOND))],
+                names=["doc_id", "tkey", "start", "done", "hash", "again"],
             )
 
-    return map_batches(_with_lists(docs, wanted, "inner"), work, "doc_id long, tkey int, start int, done boolean, hash long")
+    return map_batches(_with_lists(docs, wanted, "inner"), work, "doc_id long, tkey int, start int, done boolean, hash long, again long")
 
 
 def repeated_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -135,8 +138,8 @@ def repeated_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # the rest is extended to the full length, one occurrence for each distinct stretch of words
     wanted = spans.select("one.*", (F.col("times") > 1).alias("done")).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("lo", "n", "done")).alias("ranges"))
     full = materialize(_windows(docs.select("doc_id", "tkey", "text"), wanted, least), "full-windows")
-    twice = materialize(full.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash"), "repeated-windows")
-    matched = full.filter("not done").join(twice.hint("merge"), "hash").select("doc_id", "tkey", F.col("start").alias("lo"), F.lit(1).alias("n"))
+    twice = materialize(full.groupBy("hash", "again").agg(F.count("*").alias("times")).filter("times > 1").select("hash", "again"), "repeated-windows")
+    matched = full.filter("not done").join(twice.hint("merge"), ["hash", "again"]).select("doc_id", "tkey", F.col("start").alias("lo"), F.lit(1).alias("n"))
     return agreed.unionByName(same).unionByName(matched)
 
 
@@ -197,10 +200,10 @@ def _settled(docs: DataFrame, lists: DataFrame, length: int) -> tuple[DataFrame,
     """Levels of the stretches that come twice as a whole, whose every window repeats up to their own length; and one
     occurrence of each distinct stretch. Those that came once are still open."""
     found = materialize(_runs(docs, lists, length), "stretches")
-    one = F.min(F.struct("doc_id", "tkey", "lo", "n", "h_id", "h_key", "open")).alias("one")
-    each = materialize(found.groupBy("whole").agg(F.count("*").alias("times"), one), "distinct-stretches")
-    levels = found.filter("open").join(each.filter("times > 1").select("whole").hint("merge"), "whole").select("h_id", "h_key", "level").distinct()
-    each = each.select("one.doc_id", "one.tkey", F.struct("one.lo", "one.n", "whole", "one.h_id", "one.h_key", (F.col("one.open") & (F.col("times") == 1)).alias("open")).alias("range"))
+    one = F.min(F.struct("doc_id", "tkey", "lo", "h_id", "h_key", "open")).alias("one")
+    each = materialize(found.groupBy("whole", "n").agg(F.count("*").alias("times"), one), "distinct-stretches")
+    levels = found.filter("open").join(each.filter("times > 1").select("whole", "n").hint("merge"), ["whole", "n"]).select("h_id", "h_key", "level")
+    each = each.select("one.doc_id", "one.tkey", F.struct("one.lo", "n", "whole", "one.h_id", "one.h_key", (F.col("one.open") & (F.col("times") == 1)).alias("open")).alias("range"))
     return levels, materialize(_cut(docs, each.groupBy("doc_id", "tkey").agg(F.collect_list("range").alias("ranges"))), "stretch-texts")
 
 
@@ -212,25 +215,22 @@ def longest_levels(docs: DataFrame, lists: DataFrame, least: int) -> DataFrame:
     such windows travel, one of each kind; a stretch that comes twice as a whole, a copied document above all, needs no
     doubling and stays only for others to be met with.
     """
-    levels, length = lists.select(F.col("doc_id").alias("h_id"), F.col("tkey").alias("h_key"), F.lit(least).cast("long").alias("level")), least
+    levels, length = [lists.select(F.col("doc_id").alias("h_id"), F.col("tkey").alias("h_key"), F.lit(least).cast("long").alias("level"))], least
     docs = docs.select("doc_id", "tkey", "text", F.col("doc_id").alias("h_id"), F.col("tkey").alias("h_key"), F.lit(True).alias("open"))
     more, docs = _settled(docs, lists, length)
-    levels = materialize(levels.unionByName(more), "levels")
+    levels.append(more)
     while not docs.filter("open").isEmpty():
         length *= 2
         lists = _listed(repeated_ranges(docs.select("doc_id", "tkey", "text"), length), "longer")
         reached = docs.filter("open").join(lists.select("doc_id").hint("merge"), "doc_id").select("h_id", "h_key", F.lit(length).cast("long").alias("level"))
         more, docs = _settled(docs, lists, length)
-        levels = levels.unionByName(materialize(reached.unionByName(more), "levels"))
-    levels = levels.groupBy("h_id", "h_key").agg(F.max("level").alias("longest"))
-    return materialize(levels.withColumnsRenamed({"h_id": "doc_id", "h_key": "tkey"}), "longest")
+        levels += [reached, more]
+    best = reduce(DataFrame.unionByName, levels).groupBy("h_id", "h_key").agg(F.max("level").alias("longest"))
+    return materialize(best.withColumnsRenamed({"h_id": "doc_id", "h_key": "tkey"}), "longest")
 
 
-def _removed(docs: DataFrame, lists: DataFrame, longest: DataFrame | None, least: int) -> DataFrame:
-    if longest is None:
-        lists = lists.withColumn("longest", F.lit(least).cast("long"))
-    else:
-        lists = lists.join(longest.hint("merge"), lists["doc_id"].eqNullSafe(longest["doc_id"]) & lists["tkey"].eqNullSafe(longest["tkey"])).select(lists["doc_id"], lists["tkey"], "ranges", "longest")
+def _removed(docs: DataFrame, lists: DataFrame, longest: DataFrame, least: int) -> DataFrame:
+    lists = lists.join(longest.hint("merge"), lists["doc_id"].eqNullSafe(longest["doc_id"]) & lists["tkey"].eqNullSafe(longest["tkey"])).select(lists["doc_id"], lists["tkey"], "ranges", "longest")
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch.column(2)):
@@ -257,16 +257,16 @@ def _removed(docs: DataFrame, lists: DataFrame, longest: DataFrame | None, least
     return map_batches(_with_lists(docs, lists, "left"), work, "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, longest long")
 
 
-def substring_dedup(docs: DataFrame, least: int = LEAST, double_on: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Remove every word that a window of `least` words covers whose word sequence also starts anywhere else.
 
     Returns doc_id, text (the words that are left, joined by one space), n_words, n_removed, kept_sha256 and
     longest (the last length of the doubling at which one of its windows repeats, 0 if none does) for every row. What
-    repeats at `least` decides what is removed; without double_on the doubling ends there. Windows are judged on the
-    input, in the same document as in others. Null and empty texts have no words. A document of fewer than `least` words
-    keeps all. Rows that repeat count as copies of each other. A null doc_id is like any other value. Empty tables give
-    empty tables; columns other than doc_id and text are ignored.
+    repeats at `least` decides what is removed. Windows are judged on the input, in the same document as in others. Null
+    and empty texts have no words. A document of fewer than `least` words keeps all; a very long one is read whole. Rows
+    that repeat count as copies of each other; of equal windows none is preferred, all go. A null doc_id is like any
+    other value. Empty tables give empty tables; columns other than doc_id and text are ignored.
     """
     docs = keyed(docs)
     lists = _listed(repeated_ranges(docs, least), "covered")
-    return _removed(docs, lists, longest_levels(docs, lists, least) if double_on else None, least)
+    return _removed(docs, lists, longest_levels(docs, lists, least), least)
