@@ -1,7 +1,8 @@
 """Corpus pipeline: quality rules, line dedup, near-dedup, decontamination and packing, in that order.
 
 Each stage works on all that the one before it kept, and is written as Parquet and read again, so that a lost executor
-costs tasks of one stage only. A document that quality rules reject goes; lines that are dropped are gone from the text
+costs tasks of one stage only. Empty tables give empty tables, very long texts are worked on whole, and columns of any
+other name are carried along. A document that quality rules reject goes; lines that are dropped are gone from the text
 that later stages see; of each group of near copies one row, that with the smallest doc_id, stays; a document that holds
 a benchmark window goes; what is left is packed.
 """
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from engram.llm import decontaminate, fertility, line_dedup, packing, simhash_trie
 from engram.llm.stages import materialize
+from engram.llm.textbatch import named
 
 #: SQL can't tokenise, so the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
@@ -24,38 +26,40 @@ def _others(docs: DataFrame) -> tuple[str, ...]:
 
 
 def _whole(docs: DataFrame) -> list:
-    return [F.col("text") if c == "text" else F.col(f"rest.{c}").alias(c) for c in docs.columns]
+    return [F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the fertility bands."""
+    """Documents that pass the base rules and the fertility bands; null and empty texts don't. Repeated rows, null ids and
+    other columns stay as they are."""
     out = fertility.quality_rules(docs, carry=_others(docs)).filter("kept")
     return out.select(*_whole(docs))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents without lines that many documents share; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs, carry=_others(docs))
-    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*_whole(docs)).withColumn("n_chars", n_chars)
+    """The same documents without lines that many documents share; n_chars, where there is one, follows the text."""
+    out = line_dedup.line_dedup(docs, carry=_others(docs)).select(*_whole(docs))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component, that with the smallest doc_id; a row without doc_id only where no row has one."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    stay = simhash_trie.representatives(rows, "__row").withColumnRenamed("__row", "stays")
-    return rows.join(stay.hint("merge"), F.col("__row") == F.col("stays")).select(*docs.columns)
+    """One row of each component, that with the smallest doc_id; a row without doc_id only where no row has one. Texts
+    without words are copies of each other."""
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(named(docs, c).alias(c) for c in docs.columns)).alias("doc")), "rows")
+    stay = simhash_trie.representatives(rows.select("row", "doc.doc_id", "doc.text"), "row")
+    kept = rows.join(stay.withColumnRenamed("row", "stays").hint("merge"), F.col("row") == F.col("stays"))
+    return kept.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a benchmark window."""
+    """Documents without a word inside a benchmark window; a text without words has none."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = decontaminate.decontaminate(docs, benchmark, carry=_others(docs)).filter("not contaminated")
     return out.select(*_whole(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document, with its sequence and place."""
+    """A row per piece of a document, with its sequence and place; a null text is the end id alone."""
     return packing.best_fit_packing(docs)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import vocab
-from engram.llm.textbatch import rest_of, rest_schema, slices, window_hashes
+from engram.llm.textbatch import rest_of, rest_schema, rest_struct, slices, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -213,8 +213,7 @@ def measure(docs: DataFrame, ranks: str | None = None, pieces: str | None = None
                 )
 
     lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rest = [F.struct(*(docs[c] for c in carry)).alias("rest")] if carry else []
-    read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), lang.alias("lang"), *rest)
+    read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), lang.alias("lang"), *rest_struct(docs, carry))
     return read.mapInArrow(run, schema + rest_schema(read) + (", text string" if carry else ""))
 
 

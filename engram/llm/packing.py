@@ -94,7 +94,11 @@ class Plan:
 
 
 class SumIndex:
-    """Which lengths, pairs and triples of lengths have a given sum, under the counts that are left."""
+    """Which lengths, pairs and triples of lengths have a given sum, under the counts that are left.
+
+    Sums are small numbers, so the index is addressed by the sum itself: a count per length, and a mark for every sum
+    that some pair and some triple has. What a mark stands for is looked up among the lengths when it is consumed.
+    """
 
     def __init__(self, left: np.ndarray):
         self.left = left
@@ -102,6 +106,8 @@ class SumIndex:
         # sums that some pair has; a pair that has since been used up is found out when it is looked for
         spectrum = np.fft.rfft(live, 2 * len(live))
         self.paired = np.rint(np.fft.irfft(spectrum * spectrum, 2 * len(live)))[: len(live)] > 0
+        pairs = np.fft.rfft(self.paired.astype(np.float64), 2 * len(live))
+        self.tripled = np.rint(np.fft.irfft(pairs * spectrum, 2 * len(live)))[: len(live)] > 0
 
     def single(self, gap: int) -> list[int] | None:
         return [gap] if self.left[gap] > 0 else None
@@ -120,12 +126,15 @@ class SumIndex:
 
     def triple(self, gap: int) -> list[int] | None:
         """A triple of this sum, its largest part as large as can be."""
+        if not self.tripled[gap]:
+            return None
         for a in np.flatnonzero((self.left[:gap] > 0) & self.paired[gap:0:-1])[::-1]:
             self.left[a] -= 1
             rest = self.pair(gap - int(a))
             self.left[a] += 1
             if rest:
                 return sorted([int(a), *rest], reverse=True)
+        self.tripled[gap] = False
         return None
 
     def exact(self, gap: int) -> list[int] | None:

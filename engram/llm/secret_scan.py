@@ -21,7 +21,7 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Character classes, tried in turn: name, what all of a candidate must match, least bits per character in a window.
-CLASSES = (("digits", r"^[0-9]+$", 9.0), ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 3.0), ("alnum", r"^[A-Za-z0-9]+$", 3.7), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.9))
+CLASSES = (("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 3.0), ("alnum", r"^[A-Za-z0-9]+$", 3.7), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.9))
 #: Candidates that are never a secret: identifiers in their usual layout, runs of the alphabet, placeholders, paths and names joined by marks.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",

@@ -35,16 +35,28 @@ def row_key(text: Column) -> Column:
     return F.hash(text)
 
 
+def named(docs: DataFrame, name: str) -> Column:
+    """A column by its name as it is, whatever marks the name holds."""
+    return docs["`" + name.replace("`", "``") + "`"]
+
+
+def rest_struct(docs: DataFrame, carry: tuple[str, ...]) -> list[Column]:
+    """The columns to carry along as one struct, `rest`."""
+    return [F.struct(*(named(docs, c).alias(c) for c in carry)).alias("rest")] if carry else []
+
+
 def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, tkey and text, and the columns to carry along as one struct, `rest`; other columns never travel."""
     t = docs["text"].cast("string")
-    rest = [F.struct(*(docs[c] for c in carry)).alias("rest")] if carry else []
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(t).alias("tkey"), t.alias("text"), *rest)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(t).alias("tkey"), t.alias("text"), *rest_struct(docs, carry))
 
 
 def rest_schema(df: DataFrame) -> str:
     """The part of a schema string that a carried struct takes."""
-    return f", rest {df.schema['rest'].dataType.simpleString()}" if "rest" in df.columns else ""
+    if "rest" not in df.columns:
+        return ""
+    fields = ", ".join(f"`{f.name.replace('`', '``')}`: {f.dataType.simpleString()}" for f in df.schema["rest"].dataType)
+    return f", rest struct<{fields}>"
 
 
 def rest_of(batch: pa.RecordBatch, rows: range) -> tuple[list[pa.Array], list[str]]:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.langid import bucket
+from engram.llm.stages import materialize
 
 #: Labelled rows that the model is fitted to at most, by the hash of doc_id; features it may use; rows a feature needs.
 SAMPLE_ROWS = 20_000
@@ -61,9 +62,10 @@ def words_of(text: str | None) -> set[str]:
 
 
 def swapped(words: set[str]) -> list[set[str]]:
-    """The same words with every identity term replaced by the next of its kind, and by the one after."""
+    """The same words with every identity term replaced by the next of its kind, by the one after, and by none: else the
+    terms of a kind could all weigh alike and still weigh."""
     named = [w for w in words if w in _KIND]
-    out = []
+    out = [words - set(named)] if named else []
     for step in (1, 2) if named else ():
         other = {IDENTITY_TERMS[kind][(i + step) % len(IDENTITY_TERMS[kind])] for kind, i in map(_KIND.__getitem__, named)}
         out.append((words - set(named)) | other)
@@ -127,15 +129,18 @@ def fit(rows: list[tuple[int, list[int], list[list[int]]]], size: int, ridge: fl
     return float(bias), w
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
-    """Fit the model to labelled rows of doc_id, text whose doc_id is not held out, `most` of them or about that."""
+def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, fair: float = FAIR) -> Model:
+    """Fit the model to labelled rows of doc_id, text whose doc_id is not held out, `most` of them or about that. Of rows
+    that share a doc_id the one whose text has the smallest hash is read."""
     held = bucket(F.col("doc_id"), 5) == 0
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     if n > most:
         known = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) < int(most / n * (1 << 53)))
-    sample = docs.join(F.broadcast(known.withColumnRenamed("doc_id", "l_id")), F.col("doc_id") == F.col("l_id")).select("toxic", "text")  # at most about `most` ids
+    rows = docs.join(F.broadcast(known.withColumnRenamed("doc_id", "l_id")), F.col("doc_id") == F.col("l_id"))  # at most about `most` ids
+    one = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"))
+    sample = materialize(one.select("toxic", "one.text"), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[str, list[int]] = {}
@@ -169,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
             )
 
     rows = sample.mapInArrow(read, "toxic int, own array<int>, swaps array<array<int>>").collect()  # bounded by `most`
-    bias, weights = fit(sorted((r["toxic"], r["own"], r["swaps"]) for r in rows), len(numbers))
+    bias, weights = fit(sorted((r["toxic"], r["own"], r["swaps"]) for r in rows), len(numbers), fair=fair)
     return Model(bias, numbers, weights)
 
 
@@ -178,8 +183,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
 
     The model is learned from labels of rows that are not held out, unless one is given. Null and empty texts score by
     the bias alone. Labels other than 0 and 1 are passed over; of several for one doc_id the higher counts. Without
-    labels every score is 0.5. Repeated rows get the same score each; a null doc_id stays null and isn't held out. Empty
-    tables give empty tables; columns other than doc_id and text are never read.
+    labels every score is 0.5. Repeated rows get the same score each; a null doc_id stays null and isn't held out. Features
+    that say equally much are taken by their number; very long texts are read whole. Empty tables give empty tables; columns other than doc_id and text are never read.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     known = learn(docs, labels) if model is None else model

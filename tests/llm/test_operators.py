@@ -395,6 +395,35 @@ def test_toxicity_held_out_and_fair(spark):
     assert out[2000]["score"] == out[2001]["score"]
 
 
+def test_swap_penalty_spares_neutral_mentions(spark):
+    """False positives on held-out neutral sentences that name a group, with the penalty and without."""
+    rng = np.random.default_rng(8)
+    plain = [f"word{i}" for i in range(40)]
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 5 == 0
+        own = list(rng.choice(plain, 25)) + (["vile"] if toxic and rng.random() < 0.7 else [])
+        if rng.random() < (0.8 if toxic else 0.01):
+            own.append("muslim")
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(5000 + i, " ".join([*rng.choice(plain, 25), "muslim"])) for i in range(200)], "doc_id long, text string")
+    wrong = {fair: toxicity.toxicity(neutral, marks, toxicity.learn(docs, marks, fair=fair)).agg(F.sum("predicted")).first()[0] for fair in (0.0, toxicity.FAIR)}
+    assert wrong[0.0] > 100 and wrong[toxicity.FAIR] < 20, wrong
+
+
+def test_planted_secrets_are_found_by_entropy(spark):
+    """Random keys that no base pattern knows, in a sentence; and sentences without any."""
+    rng = np.random.default_rng(6)
+    alphabets = {"alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "HEX": "0123456789ABCDEF"}
+    rows = [(kind, f"please use {''.join(rng.choice(list(chars), n))} for this call") for kind, chars in alphabets.items() for n in (24, 32, 40) for _ in range(40)]
+    rows += [("none", f"see https://example.org/a/long/path/of/words/{i} or 2024-01-{i:02d}-some-dated-name and call-by-name-of-a-thing") for i in range(40)]
+    out = secret_scan.secret_scan(spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "doc_id long, kind string, text string"))
+    found = Counter(rows[r["doc_id"]][0] for r in out.filter("exists(`all`, s -> s.kind = 'entropy')").collect())
+    assert found["alnum"] + found["base64"] >= 0.95 * 240 and found["HEX"] >= 0.9 * 120 and found["none"] == 0, found
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "some words of a benchmark item that nobody holds at all")], "item_id long, text string")

@@ -83,3 +83,20 @@ def test_pipeline(spark, tmp_path):
         assert docs.columns == table.columns, name
     assert 70 not in {r["doc_id"] for r in out} and 71 in {r["doc_id"] for r in out}
     assert docs.filter("n_chars <> length(text)").count() == 0
+
+
+def test_pipeline_of_an_empty_table_and_of_extra_columns(spark, tmp_path):
+    """Columns with marks in their names, or with names that stages use, come through; n_chars needn't be there."""
+    spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = " ".join(f"{a}{b}{a}" for a in "abdgkm" for b in "eioua")
+    schema = "doc_id long, text string, lang string, `a.b` int, many int, stays string, row int, rest string, tkey int, kept boolean, doc string, `x``y` int"
+    rows = [(1, text, "xx", 5, 6, "s", 7, "r", 8, None, "d", 9), (2, text, "xx", 5, 6, "s", 7, "r", 8, False, "d", 9), (3, None, *[None] * 10), (4, text[::-1], None, 1, 2, "t", 3, "q", 4, True, "e", 5)]
+    for name, content in (("empty", []), ("extra", rows)):
+        docs = spark.createDataFrame(content, schema)
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").select("doc_id").distinct().count() == (2 if content else 0)
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, f"{tmp_path}/{name}")
+            assert docs.columns == spark.createDataFrame([], schema).columns, stage_name
+        assert sorted(map(tuple, docs.collect())) == ([rows[0], rows[3]] if content else [])
