@@ -59,7 +59,10 @@ def keyed_hash(value: Column, namespace: str, key: bytes) -> Column:
 
 
 #: Directory names that say nothing about a project.
-GENERIC = ("home", "users", "user", "documents", "desktop", "projects", "project", "src", "code", "repos", "repo", "workspace", "work", "dev", "git", "tmp", "var", "opt", "root")
+GENERIC = (
+    "src", "code", "app", "apps", "application", "applications", "project", "projects", "workspace", "workspaces", "work", "home", "users", "usr", "var", "tmp", "temp", "dev", "etc",
+    "bin", "lib", "libs", "dist", "build", "out", "node_modules", "packages", "main", "master", "trunk",
+)
 
 
 def cwd_to_query(path: Column) -> Column:

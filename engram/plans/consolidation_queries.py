@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engram.functions import context as C
 from engram.functions import text as T
 from engram.operators import consolidate, stories
+from engram.params import DEFAULTS
 from engram.plans import retrieval_queries as R
 from engram.plans import views
 from engram.plans.views import ctes
@@ -105,17 +106,16 @@ def transcript_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
     lines = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("["), "role", F.lit("] "), "text").alias("line"))))
     whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("whole"))
-    return whole.join(views.frame(spark, sf_dir, "sessions"), "conv_id").select("conv_id", T.bounded(F.col("whole"), 1000).alias("transcript"), "problem_desc", "conclusion")
+    return whole.join(views.frame(spark, sf_dir, "sessions"), "conv_id").select("conv_id", T.bounded(F.col("whole"), DEFAULTS.transcript_chars).alias("transcript"), "problem_desc", "conclusion")
 
 
 def cwd_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace("url", "^[a-z]+:/", "")
-    return _table(spark, sf_dir, "pages").select("page_id", C.cwd_to_query(F.when(F.col("page_id") % 2 == 0, F.concat(path, F.lit("/src/.cache"))).otherwise(path)).alias("query"))
+    return _table(spark, sf_dir, "pages").select("page_id", C.cwd_to_query(F.when(F.col("page_id") % 2 == 0, F.concat(path, F.element_at(F.array(*map(F.lit, ("/src/.cache", "/app/usr", "/packages/node_modules", "/main/LIB", "/user/etc"))), (F.col("page_id") % 5 + 1).cast("int")))).otherwise(path)).alias("query"))
 
 
 _N = f"WITH {R._PAIRS}, {R.VECTOR_LANE}"
 _FOUND = "found AS (SELECT *, CASE WHEN similarity >= 0.85 THEN 'high' WHEN similarity >= 0.75 THEN 'low' ELSE 'none' END AS band FROM vector_lane WHERE rank <= 5), decided AS (SELECT query_id, similarity, story_id, CASE WHEN similarity >= 0.92 THEN 'update' WHEN similarity >= 0.85 THEN 'merge' ELSE 'create' END AS branch FROM vector_lane WHERE rank = 1)"
-_GENERIC = ", ".join(f"'{g}'" for g in C.GENERIC)
 _REDACT = "text"
 for _p in T.SECRETS:
     _REDACT = f"regexp_replace({_REDACT}, '{_p.replace(chr(39), chr(39) * 2)}', '[REDACTED]', 'g')"
@@ -143,9 +143,9 @@ SELECT story_id, round((CASE WHEN NOT even THEN 0 WHEN met THEN 0.12 ELSE -0.20
     "secret_redaction": f"WITH r AS (SELECT doc_id, {_REDACT} AS out FROM documents) SELECT doc_id, md5(out) AS digest, len(string_split(out, '[REDACTED]')) AS pieces FROM r",
     "repo_fingerprint": "SELECT page_id, concat('sha256:', sha256(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')), '/+$', ''), '\\.git$', ''))) AS fingerprint FROM pages",
     "transcript_assembly": f"""WITH {ctes('sessions')}, w AS (SELECT conv_id, string_agg(concat('[', role, '] ', text), chr(10) ORDER BY turn, text) AS whole FROM conversations GROUP BY conv_id)
-SELECT conv_id, CASE WHEN length(whole) > 1000 THEN concat(substr(whole, 1, 500), chr(10), '...', chr(10), right(whole, 500)) ELSE whole END AS transcript, problem_desc, conclusion FROM w JOIN sessions USING (conv_id)""",
-    "cwd_queries": f"""WITH p AS (SELECT page_id, list_filter(string_split(CASE WHEN page_id % 2 = 0 THEN concat(regexp_replace(url, '^[a-z]+:/', ''), '/src/.cache') ELSE regexp_replace(url, '^[a-z]+:/', '') END, '/'), lambda x: x <> '') AS parts FROM pages),
-n AS (SELECT page_id, parts, list_filter(parts, lambda x: NOT starts_with(x, '.') AND lower(x) NOT IN ({_GENERIC})) AS named FROM p) SELECT page_id, translate(coalesce(named[-1], parts[-1]), '-_', '  ') AS query FROM n""",
+SELECT conv_id, CASE WHEN length(whole) > 6000 THEN concat(substr(whole, 1, 3000), chr(10), '...', chr(10), right(whole, 3000)) ELSE whole END AS transcript, problem_desc, conclusion FROM w JOIN sessions USING (conv_id)""",
+    "cwd_queries": f"""WITH p AS (SELECT page_id, list_filter(string_split(CASE WHEN page_id % 2 = 0 THEN concat(regexp_replace(url, '^[a-z]+:/', ''), ['/src/.cache', '/app/usr', '/packages/node_modules', '/main/LIB', '/user/etc'][page_id % 5 + 1]) ELSE regexp_replace(url, '^[a-z]+:/', '') END, '/'), lambda x: x <> '') AS parts FROM pages),
+n AS (SELECT page_id, parts, list_filter(parts, lambda x: NOT starts_with(x, '.') AND NOT regexp_full_match(lower(x), 'src|code|apps?|applications?|projects?|workspaces?|work|home|users|usr|var|te?mp|dev|etc|bin|libs?|dist|build|out|node_modules|packages|main|master|trunk')) AS named FROM p) SELECT page_id, translate(coalesce(named[-1], parts[-1]), '-_', '  ') AS query FROM n""",
 }
 
 QUERIES = {name: globals()[name] for name in SQL}

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.operators import evaluation, events, governance
-from engram.params import DEFAULTS
 from engram.plans import retrieval_queries as R
 from engram.plans import views
 from engram.plans.views import ctes
@@ -23,12 +21,8 @@ def _v(name: str):
 _state, _edges, _events, _diag = _v("story_state"), _v("edges"), _v("memory_events"), _v("diagnostics")
 
 
-#: The views' edges are heavier than a memory graph's; ties by environment alone count here, up to a higher weight.
-LOOSE = replace(DEFAULTS, archive_weight=0.75)
-
-
-def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).filter("edge_type = 'same_environment'")
+#: Edges of all types, weighing half after 50 days without use.
+_aged = _v("edges_aged")
 
 
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +34,7 @@ def access_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.archive_candidates(_state(spark, sf_dir), _shared(spark, sf_dir), F.to_date(F.lit(TODAY)), LOOSE)
+    return governance.archive_candidates(_state(spark, sf_dir), _aged(spark, sf_dir), F.to_date(F.lit(TODAY)))
 
 
 def forget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +43,7 @@ def forget(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = _state(spark, sf_dir)
     decayed = governance.access_decay(state, today, 10.0).select("story_id", "new_count")
     state = state.join(decayed, "story_id").withColumn("access_count", F.col("new_count")).drop("new_count")
-    _, edges, _ = governance.archive(state, _shared(spark, sf_dir), today, LOOSE)
+    _, edges, _ = governance.archive(state, _aged(spark, sf_dir), today)
     return edges.select("edge_id", "deleted")
 
 
@@ -217,12 +211,12 @@ metrics AS (SELECT p.query_id, p.lang, {', '.join(f"round(CASE WHEN first <= {k}
 SQL = {
     "access_decay": f"""{_S}, aged AS (SELECT story_id, access_count, access_count * pow(0.5, greatest(0, date_diff('day', last_day, DATE '{TODAY}')) / 30.0) AS score FROM story_state)
 SELECT story_id, round(score, 6) AS access_score, CAST(round_even(score, 0) AS BIGINT) AS new_count, CAST(round_even(score, 0) AS BIGINT) <> access_count AS changed FROM aged""",
-    "archive_candidates": f"""{_SE}, few_edges AS (SELECT * FROM edges WHERE edge_type = 'same_environment'), {_HEAVY.format('few_edges')}, active AS (SELECT * FROM story_state WHERE NOT deleted AND NOT archived)
-SELECT story_id, weight FROM active JOIN heavy USING (story_id) WHERE access_count <= 0 AND date_diff('day', last_day, DATE '{TODAY}') >= 90 AND weight <= 0.75 AND story_id NOT IN (SELECT parent_id FROM active WHERE parent_id IS NOT NULL)""",
-    "forget": f"""{_SE}, few_edges AS (SELECT * FROM edges WHERE edge_type = 'same_environment'), {_HEAVY.format('few_edges')},
+    "archive_candidates": f"""WITH {ctes('story_state', 'edges_aged')}, {_HEAVY.format('edges_aged')}, active AS (SELECT * FROM story_state WHERE NOT deleted AND NOT archived)
+SELECT story_id, weight FROM active JOIN heavy USING (story_id) WHERE access_count <= 0 AND date_diff('day', last_day, DATE '{TODAY}') >= 90 AND weight <= 0.25 AND story_id NOT IN (SELECT parent_id FROM active WHERE parent_id IS NOT NULL)""",
+    "forget": f"""WITH {ctes('story_state', 'edges_aged')}, {_HEAVY.format('edges_aged')},
 active AS (SELECT *, CAST(round_even(access_count * pow(0.5, greatest(0, date_diff('day', last_day, DATE '{TODAY}')) / 10.0), 0) AS BIGINT) AS now FROM story_state WHERE NOT deleted AND NOT archived),
-gone AS (SELECT story_id FROM active JOIN heavy USING (story_id) WHERE now <= 0 AND date_diff('day', last_day, DATE '{TODAY}') >= 90 AND weight <= 0.75 AND story_id NOT IN (SELECT parent_id FROM active WHERE parent_id IS NOT NULL))
-SELECT edge_id, deleted OR source_id IN (SELECT story_id FROM gone) OR target_id IN (SELECT story_id FROM gone) AS deleted FROM few_edges""",
+gone AS (SELECT story_id FROM active JOIN heavy USING (story_id) WHERE now <= 0 AND date_diff('day', last_day, DATE '{TODAY}') >= 90 AND weight <= 0.25 AND story_id NOT IN (SELECT parent_id FROM active WHERE parent_id IS NOT NULL))
+SELECT edge_id, deleted OR source_id IN (SELECT story_id FROM gone) OR target_id IN (SELECT story_id FROM gone) AS deleted FROM edges_aged""",
     "heaviest_edge": f"{_SE}, {_HEAVY.format('edges')} SELECT story_id, weight FROM heavy",
     "tombstone_stories": f"""{_S} SELECT story_id, no_vector OR (story_id % 3 = 0 AND NOT deleted) AS no_vector, deleted OR story_id % 3 = 0 AS deleted, CASE WHEN story_id % 3 = 0 AND NOT deleted THEN 'archived' ELSE 'ready' END AS embedding_status,
 1 + (story_id % 3 = 0 AND NOT deleted)::BIGINT AS version FROM story_state""",

@@ -37,6 +37,7 @@ VIEWS: dict[str, str] = {
     "edges": """SELECT (type_no * n + source_id) * n + target_id AS edge_id, source_id, target_id, edge_type, max(weight) AS weight, (source_id + target_id) % 23 = 0 AS deleted,
         DATE '2024-01-01' + CAST((source_id + target_id) % 60 AS INT) AS updated_day
         FROM edges_raw CROSS JOIN story_count WHERE source_id <> target_id GROUP BY type_no, n, source_id, target_id, edge_type""",
+    "edges_aged": """SELECT edge_id, source_id, target_id, edge_type, round(weight * pow(CAST(0.5 AS DOUBLE), CAST(152 - (source_id + target_id) % 60 AS DOUBLE) / 50), 6) AS weight, deleted FROM edges""",
     "environments": """SELECT story_id, source AS workspace_id, CASE story_id % 4 WHEN 0 THEN 'local' WHEN 1 THEN 'container' WHEN 2 THEN 'ci' ELSE 'remote' END AS runtime_kind,
         CASE WHEN story_id % 11 = 0 THEN NULL WHEN story_id % 3 = 0 THEN 'linux' WHEN story_id % 3 = 1 THEN 'macos' ELSE 'windows' END AS os_family,
         CASE story_id % 2 WHEN 0 THEN 'x86_64' ELSE 'arm64' END AS arch,
