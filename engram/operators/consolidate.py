@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +38,15 @@ def update_pairs(found: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def merge_lists(rows: DataFrame, key: str, lists: list[str], order: str) -> DataFrame:
-    """Lists of one key joined in order, without repeats (the first place counts)."""
+    """Lists of one key joined in order, without repeats (the first place counts). Only what is distinct is gathered."""
 
-    def joined(name: str) -> Column:
-        ordered = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(name).alias("v"))))
-        return F.array_distinct(F.flatten(F.transform(ordered, lambda s: s["v"]))).alias(name)
+    def joined(name: str) -> DataFrame:
+        items = rows.select(key, order, F.posexplode_outer(name).alias("i", "v"))
+        first = items.groupBy(key, "v").agg(F.min(F.struct(order, "i")).alias("first"))
+        ordered = F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("first", "v"))))
+        return first.groupBy(key).agg(F.transform(ordered, lambda s: s["v"]).alias(name))
 
-    return rows.groupBy(key).agg(*map(joined, lists))
+    return reduce(lambda a, b: a.join(b.withColumnRenamed(key, "other").hint("merge"), F.col(key).eqNullSafe(F.col("other"))).drop("other"), map(joined, lists))
 
 
 def split_story(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
