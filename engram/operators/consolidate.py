@@ -28,13 +28,13 @@ def decide(found: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 def create_edges(found: DataFrame, decisions: DataFrame) -> DataFrame:
     """Semantic edges of created stories to their weak matches, weighted by similarity."""
     created = decisions.filter("branch = 'create'").select("query_id")
-    return found.filter("band = 'low'").join(created, "query_id", "left_semi").select(F.least("query_id", "story_id").alias("source_id"), F.greatest("query_id", "story_id").alias("target_id"), F.lit("semantic").alias("edge_type"), F.col("similarity").alias("weight"))
+    return found.filter("band = 'low'").join(created.hint("merge"), "query_id", "left_semi").select(F.least("query_id", "story_id").alias("source_id"), F.greatest("query_id", "story_id").alias("target_id"), F.lit("semantic").alias("edge_type"), F.col("similarity").alias("weight"))
 
 
 def update_pairs(found: DataFrame, decisions: DataFrame) -> DataFrame:
     """Pairs to reinforce after updates: the target with every other match."""
     updated = decisions.filter("branch <> 'create'").select("query_id", "target")
-    return found.filter("band <> 'none'").join(updated, "query_id").filter("story_id <> target").select(F.col("target").alias("a"), F.col("story_id").alias("b"))
+    return found.filter("band <> 'none'").join(updated.hint("merge"), "query_id").filter("story_id <> target").select(F.col("target").alias("a"), F.col("story_id").alias("b"))
 
 
 def merge_lists(rows: DataFrame, key: str, lists: list[str], order: str) -> DataFrame:
@@ -57,20 +57,20 @@ def split_story(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     child = parents.select("story_id", F.posexplode("parts").alias("place", "content"))
     kids = child.select(F.concat_ws("-", "story_id", "place").alias("child_id"), "story_id", "place", "content")
     down = kids.select(F.col("story_id").cast("string").alias("source_id"), F.col("child_id").alias("target_id"), F.lit("parent_child").alias("edge_type"), F.lit(1.0).alias("weight"))
-    side = kids.alias("a").join(kids.alias("b"), (F.col("a.story_id") == F.col("b.story_id")) & (F.col("a.place") < F.col("b.place"))).select(F.col("a.child_id").alias("source_id"), F.col("b.child_id").alias("target_id"), F.lit("semantic").alias("edge_type"), F.lit(0.5).alias("weight"))
+    side = kids.alias("a").join(kids.alias("b").hint("merge"), (F.col("a.story_id") == F.col("b.story_id")) & (F.col("a.place") < F.col("b.place"))).select(F.col("a.child_id").alias("source_id"), F.col("b.child_id").alias("target_id"), F.lit("semantic").alias("edge_type"), F.lit(0.5).alias("weight"))
     return kids, down.unionByName(side)
 
 
 def fold_status(sessions: DataFrame, results: DataFrame) -> DataFrame:
     """conv_id, status: failed if any story of a session failed, processed if it has results, else pending."""
     done = results.groupBy("conv_id").agg(F.max(F.col("failed").cast("int")).alias("failed"))
-    return sessions.select("conv_id").join(done, "conv_id", "left").select("conv_id", F.when(F.col("failed") == 1, "failed").when(F.col("failed") == 0, "processed").otherwise("pending").alias("status"))
+    return sessions.select("conv_id").join(done.hint("merge"), "conv_id", "left").select("conv_id", F.when(F.col("failed") == 1, "failed").when(F.col("failed") == 0, "processed").otherwise("pending").alias("status"))
 
 
 def inference_memo(inputs: DataFrame, memo: DataFrame, text: str) -> DataFrame:
     """input_hash, uses, cached: distinct inputs of a model, how often each is asked for, and whether its answer is known."""
     hashed = inputs.select(F.sha2(F.encode(F.col(text), "UTF-8"), 256).alias("input_hash")).groupBy("input_hash").agg(F.count("*").alias("uses"))
-    return hashed.join(memo.select("input_hash", F.lit(True).alias("known")), "input_hash", "left").select("input_hash", "uses", F.coalesce("known", F.lit(False)).alias("cached"))
+    return hashed.join(memo.select("input_hash", F.lit(True).alias("known")).hint("merge"), "input_hash", "left").select("input_hash", "uses", F.coalesce("known", F.lit(False)).alias("cached"))
 
 
 def leaders(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -83,16 +83,16 @@ def leaders(links: DataFrame, members: DataFrame) -> DataFrame:
     state = materialize(members.select("story_id", F.lit(None).cast("boolean").alias("leads")), "leaders")
     edges = materialize(links.select("a", "b").distinct(), "leader-links")
     while True:
-        seen = edges.join(state.withColumnsRenamed({"story_id": "a", "leads": "a_leads"}), "a").groupBy("b").agg(F.max(F.coalesce("a_leads", F.lit(False))).alias("led"), F.min(F.col("a_leads").isNotNull()).alias("settled"))
-        after = state.join(seen.withColumnRenamed("b", "story_id"), "story_id", "left")
+        seen = edges.join(state.withColumnsRenamed({"story_id": "a", "leads": "a_leads"}).hint("merge"), "a").groupBy("b").agg(F.max(F.coalesce("a_leads", F.lit(False))).alias("led"), F.min(F.col("a_leads").isNotNull()).alias("settled"))
+        after = state.join(seen.withColumnRenamed("b", "story_id").hint("merge"), "story_id", "left")
         leads = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("led", F.lit(False)), False).when(F.coalesce("settled", F.lit(True)), True)
         new = materialize(after.select("story_id", leads.alias("leads")), "leaders")
         left = new.filter("leads is null").count()
         state = new
         if not left:
             break
-    first = edges.join(state.filter("leads").select(F.col("story_id").alias("a")), "a").groupBy("b").agg(F.min("a").alias("leader"))
-    return state.join(first.withColumnRenamed("b", "story_id"), "story_id", "left").select("story_id", F.when(F.col("leads"), F.col("story_id")).otherwise(F.col("leader")).alias("leader"))
+    first = edges.join(state.filter("leads").select(F.col("story_id").alias("a")).hint("merge"), "a").groupBy("b").agg(F.min("a").alias("leader"))
+    return state.join(first.withColumnRenamed("b", "story_id").hint("merge"), "story_id", "left").select("story_id", F.when(F.col("leads"), F.col("story_id")).otherwise(F.col("leader")).alias("leader"))
 
 
 def near_pairs(rows: DataFrame, least: float) -> DataFrame:
@@ -106,7 +106,7 @@ def batch_consolidation(new: DataFrame, stories: DataFrame, params: Params = DEF
     new: query_id, vector. Vectors that merges would move within the batch are not moved.
     """
     decided = materialize(decide(candidates(new, stories, params), params), "decisions")
-    fresh = new.join(decided.filter("branch <> 'create'").select("query_id"), "query_id", "left_anti")
+    fresh = new.join(decided.filter("branch <> 'create'").select("query_id").hint("merge"), "query_id", "left_anti")
     fresh = materialize(fresh.select("query_id", "vector"), "unmatched")
     links = near_pairs(fresh, params.sim_high)
     led = leaders(links, fresh.select(F.col("query_id").alias("story_id")))

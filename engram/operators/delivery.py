@@ -122,7 +122,7 @@ def merged_stories(decisions: DataFrame, new: DataFrame, stories: DataFrame) ->
     fields = ("abstract", *texts, *lists)
     pairs = decisions.filter("branch = 'merge'").select("query_id", F.col("target").alias("story_id"))
     side = lambda df, key, name: df.select(key, F.struct(*fields).alias(name)).hint("shuffle_hash")
-    both = pairs.join(side(new, "query_id", "b"), "query_id").join(side(stories, "story_id", "a"), "story_id")
+    both = pairs.join(side(new, "query_id", "b").hint("merge"), "query_id").join(side(stories, "story_id", "a").hint("merge"), "story_id")
     said = lambda f, sep: F.concat_ws(sep, *(F.when(F.col(f"{s}.{f}") != "", F.col(f"{s}.{f}")) for s in "ab"))
     return both.select("query_id", "story_id", said("abstract", "；").alias("abstract"), *(said(f, "\n\n").alias(f) for f in texts), *(F.array_distinct(F.concat(F.col(f"a.{f}"), F.col(f"b.{f}"))).alias(f) for f in lists))
 

@@ -32,7 +32,7 @@ def diffuse(seeds: DataFrame, edges: DataFrame, stories: DataFrame, params: Para
     hub = F.lit(1.0) / F.sqrt(F.greatest(F.lit(1.0), F.col("degree") / F.lit(float(params.fan_out))))
     factor = F.greatest(F.lit(0.0), F.least(F.lit(1.0), "weight")) * graph.type_factor(F.col("edge_type"), params) * graph.direction_factor(F.col("edge_type"), F.col("direction"))
     active = stories.select(F.col("story_id").alias("neighbor"), F.coalesce("abstract", F.lit("")).alias("abstract"))
-    steps = steps.join(degree.withColumnRenamed("node", "neighbor"), "neighbor").join(active, "neighbor")
+    steps = steps.join(degree.withColumnRenamed("node", "neighbor").hint("merge"), "neighbor").join(active.hint("merge"), "neighbor")
     steps = materialize(steps.select("node", "neighbor", "edge_id", "edge_type", "direction", "weight", factor.alias("factor"), hub.alias("hub"), "abstract"), "diffusion-steps")
 
     seed_rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "story_id"))

@@ -14,10 +14,10 @@ def recall_metrics(ranked: DataFrame, qrels: DataFrame, ks: Sequence[int] = (1,
     ranked: query_id, story_id, rank. qrels: query_id, story_id. A query without results scores zero.
     """
     wanted = qrels.groupBy("query_id").agg(F.count("*").alias("n_right"))
-    hits = ranked.join(qrels.select("query_id", "story_id", F.lit(1).alias("hit")), ["query_id", "story_id"], "left").fillna(0, ["hit"])
+    hits = ranked.join(qrels.select("query_id", "story_id", F.lit(1).alias("hit")).hint("merge"), ["query_id", "story_id"], "left").fillna(0, ["hit"])
     sums = [F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias(f"h{k}") for k in ks] + [F.count_if(F.col("rank") <= k).alias(f"n{k}") for k in ks]
     per = hits.groupBy("query_id").agg(*sums, F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
-    out = wanted.join(per, "query_id", "left")
+    out = wanted.join(per.hint("merge"), "query_id", "left")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     return out.select("query_id", *(zero(F.col(f"h{k}") / F.col("n_right")).alias(f"recall_{k}") for k in ks), *(zero(F.when(F.col(f"n{k}") > 0, F.col(f"h{k}") / F.col(f"n{k}"))).alias(f"precision_{k}") for k in ks), zero(1.0 / F.col("first")).alias("mrr"))
 
@@ -30,7 +30,7 @@ def means(metrics: DataFrame, variant: str, columns: Sequence[str]) -> DataFrame
 def threshold_sweep(ranked: DataFrame, qrels: DataFrame, thresholds: Sequence[float], k: int = 3) -> DataFrame:
     """threshold, recall, returned: recall@k and mean number of results at each similarity threshold, in one pass."""
     n = qrels.select("query_id").distinct().agg(F.count("*").alias("n_queries"))
-    at = ranked.filter(F.col("rank") <= k).join(qrels.select("query_id", "story_id", F.lit(1).alias("hit")), ["query_id", "story_id"], "left").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).filter(F.col("similarity") >= F.col("threshold"))
+    at = ranked.filter(F.col("rank") <= k).join(qrels.select("query_id", "story_id", F.lit(1).alias("hit")).hint("merge"), ["query_id", "story_id"], "left").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).filter(F.col("similarity") >= F.col("threshold"))
     sums = at.groupBy("threshold").agg(F.sum("hit").alias("hits"), F.count("*").alias("shown"))
     grid = ranked.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
     return F.broadcast(grid).join(sums, "threshold", "left").crossJoin(F.broadcast(n)).select("threshold", F.coalesce(F.col("hits") / F.col("n_queries"), F.lit(0.0)).alias("recall"), F.coalesce(F.col("shown") / F.col("n_queries"), F.lit(0.0)).alias("returned"))

@@ -14,7 +14,7 @@ def tombstones(events: DataFrame) -> DataFrame:
 
 def ignored(events: DataFrame) -> DataFrame:
     """Events of entities that are ever deleted, other than the deletes."""
-    return events.filter("operation <> 'delete'").join(tombstones(events).select("entity_id"), "entity_id", "left_semi")
+    return events.filter("operation <> 'delete'").join(tombstones(events).select("entity_id").hint("merge"), "entity_id", "left_semi")
 
 
 def folded(events: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def folded(events: DataFrame) -> DataFrame:
     conflict that leaves the entity as it is. The chain needs one entity's events together: they are ordered by a
     window, which spills, and folded as numbers only.
     """
-    live = events.join(tombstones(events).select("entity_id"), "entity_id", "left_anti")
+    live = events.join(tombstones(events).select("entity_id").hint("merge"), "entity_id", "left_anti")
     items = F.array_sort(F.collect_list(F.struct(F.coalesce("sequence", F.lit(0)).alias("sequence"), "created_at", "base_version", "version")))
     start = F.struct(F.lit(0).cast("long").alias("version"), F.lit(0).cast("long").alias("accepted"), F.expr("cast(array() as array<struct<sequence:bigint,expected:bigint,actual:bigint>>)").alias("conflicts"))
 
@@ -48,5 +48,5 @@ def conflicts(events: DataFrame) -> DataFrame:
 
 def history(events: DataFrame, entities: DataFrame) -> DataFrame:
     """Events of a set of entities with the version before."""
-    own = events.join(entities.select("entity_id").distinct(), "entity_id", "left_semi")
+    own = events.join(entities.select("entity_id").distinct().hint("merge"), "entity_id", "left_semi")
     return own.withColumn("before", F.lag("version").over(Window.partitionBy("entity_id").orderBy("sequence")))

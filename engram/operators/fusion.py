@@ -35,7 +35,7 @@ def reciprocal_fusion(vector: DataFrame, lexical: DataFrame, k: int, params: Par
     tied = lambda score: F.rank().over(_by_query().orderBy(F.desc(score)))
     v = vector.select("query_id", "story_id", F.col("similarity").alias("v_sim"), tied("similarity").alias("v_rank"))
     x = lexical.select("query_id", "story_id", F.col("similarity").alias("l_sim"), tied("lexical_score").alias("l_rank"))
-    both = v.join(x, ["query_id", "story_id"], "full_outer")
+    both = v.join(x.hint("merge"), ["query_id", "story_id"], "full_outer")
     wv, wl, c = params.weight_vector, params.weight_lexical, params.rrf_k
     part = lambda rank, w: F.coalesce(F.lit(w) / (c + F.col(rank)), F.lit(0.0))
     lanes = F.max(F.col("v_rank").isNotNull().cast("int")).over(_by_query()) * F.lit(wv / (c + 1)) + F.max(F.col("l_rank").isNotNull().cast("int")).over(_by_query()) * F.lit(wl / (c + 1))
@@ -54,7 +54,7 @@ def gate(queries: DataFrame, fused: DataFrame, params: Params = DEFAULTS, conjun
     """query_id, reasons, transforms: which queries are worth a second stage, and what to try, two at most."""
     top = F.max(F.when(F.col("rank") == 1, F.coalesce("vector_similarity", "lexical_similarity", "similarity")))
     facts = fused.groupBy("query_id").agg(F.count("*").alias("n"), top.alias("confidence"), (F.max(F.when(F.col("rank") == 1, F.col("fusion"))) - F.max(F.when(F.col("rank") == 2, F.col("fusion")))).alias("gap"))
-    q = queries.select("query_id", "text").join(facts, "query_id", "left")
+    q = queries.select("query_id", "text").join(facts.hint("merge"), "query_id", "left")
     n, low = F.coalesce("n", F.lit(0)), F.coalesce(F.col("confidence") < params.gate_confidence, F.lit(False))
     compound = (F.length("text") >= params.gate_chars) | (F.size(F.regexp_extract_all("text", F.lit(f"({conjunctions})"), 1)) >= 2)
     ambiguous = F.coalesce((n > 1) & (F.round("gap", 8) <= params.gate_gap), F.lit(False))
@@ -74,8 +74,8 @@ def merge_transformed(base: DataFrame, transformed: DataFrame, k: int, weight: f
     c = params.rrf_k
     present = transformed.select("query_id", "ranking").distinct().groupBy("query_id").agg((F.count("*") / F.lit(float(c + 1))).alias("most"))
     votes = transformed.groupBy("query_id", "story_id").agg(F.sum(F.lit(1.0) / (c + F.col("rank"))).alias("votes"), F.max("fusion").alias("t_score"), F.min_by("fusion", "ranking").alias("first"))
-    signal = votes.join(present, "query_id").select("query_id", "story_id", (0.6 * F.col("votes") / F.col("most") + 0.4 * F.col("t_score")).alias("signal"), "first")
-    both = base.select("query_id", "story_id", F.col("fusion").alias("base")).join(signal, ["query_id", "story_id"], "full_outer")
+    signal = votes.join(present.hint("merge"), "query_id").select("query_id", "story_id", (0.6 * F.col("votes") / F.col("most") + 0.4 * F.col("t_score")).alias("signal"), "first")
+    both = base.select("query_id", "story_id", F.col("fusion").alias("base")).join(signal.hint("merge"), ["query_id", "story_id"], "full_outer")
     start = F.coalesce("base", "first")
     fused = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - (1 - start) * (1 - weight * F.coalesce("signal", F.lit(0.0))))), 8)
     return ranked(both.select("query_id", "story_id", fused.alias("fusion")), F.desc("fusion"), "story_id", k=k)
@@ -89,7 +89,7 @@ def environment_rerank(hits: DataFrame, environments: DataFrame, current: DataFr
     Returns query_id, story_id, environment_score, score, rank.
     """
     fields = list(C.FIELDS)
-    seen = hits.join(environments.select("story_id", F.struct(*fields).alias("env")), "story_id", "left").join(current.select("query_id", "now"), "query_id", "left")
+    seen = hits.join(environments.select("story_id", F.struct(*fields).alias("env")).hint("merge"), "story_id", "left").join(current.select("query_id", "now").hint("merge"), "query_id", "left")
     compared = seen.withColumn("c", C.environment_compare(F.col("now"), F.col("env")))
     per_story = compared.groupBy("query_id", "story_id", "similarity", "fusion", "rank").agg(
         F.max(F.when(F.col("env").isNotNull() & F.col("now").isNotNull(), F.col("c.score"))).alias("best"),
@@ -112,9 +112,9 @@ def overlap_rerank(queries: DataFrame, hits: DataFrame, stories: DataFrame, head
     """
     first, tail = hits.filter(F.col("rank") <= head), hits.filter(F.col("rank") > head)
     document = F.concat_ws(" ", *(F.coalesce(F.col(f), F.lit("")) for f in ("title", "abstract", "content", "keywords")))
-    texts = stories.join(first.select("story_id").distinct(), "story_id", "left_semi").select("story_id", T.rerank_terms(document).alias("d_terms"))
+    texts = stories.join(first.select("story_id").distinct().hint("merge"), "story_id", "left_semi").select("story_id", T.rerank_terms(document).alias("d_terms"))
     q = queries.select("query_id", T.rerank_terms(T.query_focus(F.col("text"))).alias("terms"))
-    pairs = first.join(texts, "story_id", "left").join(q, "query_id")
+    pairs = first.join(texts.hint("merge"), "story_id", "left").join(q.hint("merge"), "query_id")
     terms = pairs.select("query_id", "story_id", "fusion", "rank", F.explode_outer("terms").alias("term"), "d_terms").withColumn("held", F.coalesce(F.array_contains("d_terms", F.col("term")), F.lit(False)))
     terms = terms.drop("d_terms").withColumn("df", F.sum(F.col("held").cast("int")).over(Window.partitionBy("query_id", "term"))).withColumn("n", F.max("rank").over(_by_query()))
     idf = 1 + F.log((F.col("n") + 1) / (F.col("df") + 1))
@@ -136,7 +136,7 @@ def briefing(hits: DataFrame, stories: DataFrame, params: Params = DEFAULTS) ->
     """The longest prefix of a query's best hits whose excerpts fit the token budget: query_id, story_id, rank, excerpt, tokens."""
     best = hits.filter((F.col("similarity") >= params.briefing_similarity) & (F.col("rank") <= params.briefing_top))
     text = F.when(F.coalesce("abstract", F.lit("")) != "", F.col("abstract")).otherwise(F.col("content"))
-    cut = best.join(stories.select("story_id", "title", T.cut(F.regexp_replace(text, r"\s+", " "), params.briefing_excerpt).alias("excerpt")), "story_id")
+    cut = best.join(stories.select("story_id", "title", T.cut(F.regexp_replace(text, r"\s+", " "), params.briefing_excerpt).alias("excerpt")).hint("merge"), "story_id")
     cost = cut.withColumn("tokens", T.estimate_tokens(F.concat_ws(" ", "title", "excerpt")))
     total = F.sum("tokens").over(_by_query().orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return cost.withColumn("total", total).filter(F.col("total") <= params.briefing_tokens).select("query_id", "story_id", "rank", "excerpt", "tokens")

@@ -20,7 +20,7 @@ def access_decay(stories: DataFrame, today: Column, half_life: float = 30.0) ->
 def heaviest_edge(stories: DataFrame, edges: DataFrame) -> DataFrame:
     """story_id, weight: the largest active edge weight of every story, zero for one without edges."""
     ends = edges.filter("not deleted").select(F.explode(F.array("source_id", "target_id")).alias("story_id"), "weight")
-    return stories.select("story_id").join(ends.groupBy("story_id").agg(F.max("weight").alias("weight")), "story_id", "left").fillna(0.0, ["weight"])
+    return stories.select("story_id").join(ends.groupBy("story_id").agg(F.max("weight").alias("weight")).hint("merge"), "story_id", "left").fillna(0.0, ["weight"])
 
 
 def archive_candidates(stories: DataFrame, edges: DataFrame, today: Column, params: Params = DEFAULTS) -> DataFrame:
@@ -29,20 +29,20 @@ def archive_candidates(stories: DataFrame, edges: DataFrame, today: Column, para
     old = active.filter((F.col("access_count") <= 0) & (F.datediff(today, "last_day") >= params.archive_days))
     parents = active.filter("parent_id is not null").select(F.col("parent_id").alias("story_id"))
     loose = heaviest_edge(old, edges).filter(F.col("weight") <= params.archive_weight)
-    return loose.join(parents, "story_id", "left_anti")
+    return loose.join(parents.hint("merge"), "story_id", "left_anti")
 
 
 def archive(stories: DataFrame, edges: DataFrame, today: Column, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply the archive: stories marked, their edges soft-deleted, and the ids whose vectors go."""
     gone = archive_candidates(stories, edges, today, params).select("story_id", F.lit(True).alias("gone"))
-    marked = stories.join(gone, "story_id", "left").withColumn("archived", F.col("archived") | F.coalesce("gone", F.lit(False))).drop("gone")
-    ends = edges.join(gone.select(F.col("story_id").alias("source_id"), F.col("gone").alias("g1")), "source_id", "left").join(gone.select(F.col("story_id").alias("target_id"), F.col("gone").alias("g2")), "target_id", "left")
+    marked = stories.join(gone.hint("merge"), "story_id", "left").withColumn("archived", F.col("archived") | F.coalesce("gone", F.lit(False))).drop("gone")
+    ends = edges.join(gone.select(F.col("story_id").alias("source_id"), F.col("gone").alias("g1")).hint("merge"), "source_id", "left").join(gone.select(F.col("story_id").alias("target_id"), F.col("gone").alias("g2")).hint("merge"), "target_id", "left")
     return marked, ends.withColumn("deleted", F.col("deleted") | F.coalesce("g1", "g2", F.lit(False))).drop("g1", "g2"), gone.select("story_id")
 
 
 def tombstones(stories: DataFrame, ids: DataFrame) -> DataFrame:
     """Delete stories for good: vector gone, status archived, version one up; those already deleted stay as they are."""
-    hit = stories.join(ids.select("story_id", F.lit(True).alias("hit")).distinct(), "story_id", "left")
+    hit = stories.join(ids.select("story_id", F.lit(True).alias("hit")).distinct().hint("merge"), "story_id", "left")
     now = F.coalesce("hit", F.lit(False)) & ~F.col("deleted")
     return hit.withColumns({"no_vector": F.col("no_vector") | now, "embedding_status": F.when(now, "archived").otherwise(F.col("embedding_status")), "version": F.col("version") + now.cast("int"), "deleted": F.col("deleted") | now}).drop("hit")
 
@@ -85,7 +85,7 @@ def referential_audit(stories: DataFrame, edges: DataFrame, session_refs: DataFr
     parent = stories.filter("parent_id is not null").join(ids.select(F.col("story_id").alias("parent_id")), "parent_id", "left_anti").select(F.lit("parent").alias("kind"), F.col("story_id").alias("id"))
     session = session_refs.join(sessions.select("session_id"), "session_id", "left_anti").select(F.lit("session").alias("kind"), F.col("story_id").alias("id"))
     ends = edges.select("edge_id", F.explode(F.array("source_id", "target_id")).alias("story_id"))
-    edge = ends.join(ids, "story_id", "left_anti").select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id")).distinct()
+    edge = ends.join(ids.hint("merge"), "story_id", "left_anti").select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id")).distinct()
     return parent.unionByName(session).unionByName(edge)
 
 

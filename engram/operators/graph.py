@@ -47,7 +47,7 @@ def neighbors(edges: DataFrame, nodes: DataFrame, fan_out: int = DEFAULTS.fan_ou
 
     Policy comes before the limit, so that hidden edges take no places.
     """
-    seen = both_ways(edges).join(nodes.select(F.col("story_id").alias("node")).distinct(), "node", "left_semi")
+    seen = both_ways(edges).join(nodes.select(F.col("story_id").alias("node")).distinct().hint("merge"), "node", "left_semi")
     seen = seen.withColumn("open", can_traverse(F.col("edge_type"), F.col("direction")))
     node = Window.partitionBy("node")
     seen = seen.withColumn("suppressed", F.sum((~F.col("open")).cast("int")).over(node)).withColumn("passable", F.sum(F.col("open").cast("int")).over(node))
@@ -57,8 +57,8 @@ def neighbors(edges: DataFrame, nodes: DataFrame, fan_out: int = DEFAULTS.fan_ou
 
 def related(hits: DataFrame, edges: DataFrame, stories: DataFrame, k: int = 5) -> DataFrame:
     """The k strongest active neighbours of every hit, each by its strongest edge: story_id, neighbor, edge_id, weight, place."""
-    seen = both_ways(edges).join(hits.select(F.col("story_id").alias("node")).distinct(), "node", "left_semi")
-    seen = seen.join(stories.select(F.col("story_id").alias("neighbor")), "neighbor", "left_semi")
+    seen = both_ways(edges).join(hits.select(F.col("story_id").alias("node")).distinct().hint("merge"), "node", "left_semi")
+    seen = seen.join(stories.select(F.col("story_id").alias("neighbor")).hint("merge"), "neighbor", "left_semi")
     pair = seen.withColumn("n", F.row_number().over(Window.partitionBy("node", "neighbor").orderBy(F.desc("weight"), "edge_id"))).filter("n = 1")
     best = pair.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), "edge_id"))).filter(F.col("place") <= k)
     return best.select(F.col("node").alias("story_id"), "neighbor", "edge_id", "edge_type", "direction", "weight", "place")
@@ -66,7 +66,7 @@ def related(hits: DataFrame, edges: DataFrame, stories: DataFrame, k: int = 5) -
 
 def superseded(edges: DataFrame, active: DataFrame) -> DataFrame:
     """story_id of every story that an active one supersedes."""
-    return edges.filter((F.col("edge_type") == "supersedes") & ~F.col("deleted")).join(active.select(F.col("story_id").alias("source_id")), "source_id", "left_semi").select(F.col("target_id").alias("story_id")).distinct()
+    return edges.filter((F.col("edge_type") == "supersedes") & ~F.col("deleted")).join(active.select(F.col("story_id").alias("source_id")).hint("merge"), "source_id", "left_semi").select(F.col("target_id").alias("story_id")).distinct()
 
 
 def two_hop(seeds: DataFrame, edges: DataFrame, params: Params = DEFAULTS, hops: int = 2) -> DataFrame:
@@ -76,7 +76,7 @@ def two_hop(seeds: DataFrame, edges: DataFrame, params: Params = DEFAULTS, hops:
     front = seeds.select(F.col("story_id").alias("seed"), F.col("story_id").alias("node"), F.lit(1.0).alias("product"))
     out = None
     for hop in range(1, hops + 1):
-        front = front.join(steps, "node").filter(F.col("neighbor") != F.col("seed")).select("seed", F.col("neighbor").alias("node"), (F.col("product") * F.col("step")).alias("product"))
+        front = front.join(steps.hint("merge"), "node").filter(F.col("neighbor") != F.col("seed")).select("seed", F.col("neighbor").alias("node"), (F.col("product") * F.col("step")).alias("product"))
         front = front.groupBy("seed", "node").agg(F.max("product").alias("product"))
         reached = front.select("seed", "node", F.round(F.col("product") * params.hop_decay ** (hop - 1), 12).alias("score"), F.lit(hop).alias("hop"))
         out = reached if out is None else out.unionByName(reached)
@@ -109,7 +109,7 @@ def upsert(edges: DataFrame, incoming: DataFrame) -> DataFrame:
     """
     key = ["source_id", "target_id", "edge_type"]
     new = canonical(incoming).filter("source_id <> target_id").groupBy(*key).agg(F.max("weight").alias("new"))
-    both = edges.join(new, key, "full_outer")
+    both = edges.join(new.hint("merge"), key, "full_outer")
     weight = F.greatest("weight", "new")
     changed = F.col("new").isNotNull() & (F.col("weight").isNull() | F.col("deleted") | (F.col("new") > F.col("weight")))
     return both.select(*key, weight.alias("weight"), F.when(F.col("new").isNotNull(), False).otherwise(F.col("deleted")).alias("deleted"), (F.coalesce("version", F.lit(0)) + changed.cast("int")).alias("version"))
@@ -120,15 +120,15 @@ def reinforce(edges: DataFrame, pairs: DataFrame, step: float = DEFAULTS.weight_
     wanted = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
     placed = edges.filter("not deleted").withColumns({"a": F.least("source_id", "target_id"), "b": F.greatest("source_id", "target_id")})
     first = Window.partitionBy("a", "b").orderBy((F.col("edge_type") != "semantic").cast("int"), F.desc("weight"), "edge_id")
-    chosen = placed.join(wanted, ["a", "b"]).withColumn("place", F.row_number().over(first)).filter("place = 1").select("edge_id", "n")
-    return edges.join(chosen, "edge_id", "left").withColumn("weight", F.when(F.col("n").isNotNull(), F.least(F.lit(most), F.col("weight") + step * F.col("n"))).otherwise(F.col("weight"))).drop("n")
+    chosen = placed.join(wanted.hint("merge"), ["a", "b"]).withColumn("place", F.row_number().over(first)).filter("place = 1").select("edge_id", "n")
+    return edges.join(chosen.hint("merge"), "edge_id", "left").withColumn("weight", F.when(F.col("n").isNotNull(), F.least(F.lit(most), F.col("weight") + step * F.col("n"))).otherwise(F.col("weight"))).drop("n")
 
 
 def delete_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Soft-delete edges between the pairs (a, b, edge_type or null for all), whichever way they point."""
     listed = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("edge_type").alias("kind")).distinct()
-    hit = edges.join(listed, (F.least("source_id", "target_id") == F.col("lo")) & (F.greatest("source_id", "target_id") == F.col("hi")) & (F.col("kind").isNull() | (F.col("kind") == F.col("edge_type"))), "left_semi").select("edge_id").withColumn("hit", F.lit(True))
-    return edges.join(hit, "edge_id", "left").withColumn("deleted", F.col("deleted") | F.coalesce("hit", F.lit(False))).drop("hit")
+    hit = edges.join(listed.hint("merge"), (F.least("source_id", "target_id") == F.col("lo")) & (F.greatest("source_id", "target_id") == F.col("hi")) & (F.col("kind").isNull() | (F.col("kind") == F.col("edge_type"))), "left_semi").select("edge_id").withColumn("hit", F.lit(True))
+    return edges.join(hit.hint("merge"), "edge_id", "left").withColumn("deleted", F.col("deleted") | F.coalesce("hit", F.lit(False))).drop("hit")
 
 
 def co_recall_pairs(lists: DataFrame, keys: list[str], item: str = "story_id", most: int | None = None) -> DataFrame:
@@ -143,11 +143,11 @@ def co_recall_pairs(lists: DataFrame, keys: list[str], item: str = "story_id", m
 
 def feedback(edges: DataFrame, lists: DataFrame, keys: list[str], active: DataFrame, step: float = DEFAULTS.weight_step) -> DataFrame:
     """Edges after recall lists: pairs in a list get a co_recall edge, and their other edges grow by a step per list."""
-    used = lists.join(active.select("story_id"), "story_id", "left_semi")
+    used = lists.join(active.select("story_id").hint("merge"), "story_id", "left_semi")
     pairs = co_recall_pairs(used, keys)
-    grown = edges.join(pairs, (F.col("source_id") == F.col("a")) & (F.col("target_id") == F.col("b")) & ((F.col("edge_type") == "co_recall") | ~F.col("deleted")), "left")
+    grown = edges.join(pairs.hint("merge"), (F.col("source_id") == F.col("a")) & (F.col("target_id") == F.col("b")) & ((F.col("edge_type") == "co_recall") | ~F.col("deleted")), "left")
     old = grown.select("source_id", "target_id", "edge_type", F.when(F.col("n").isNotNull(), F.least(F.lit(1.0), F.when(F.col("deleted"), 0.0).otherwise(F.col("weight")) + step * F.col("n"))).otherwise(F.col("weight")).alias("weight"), (F.col("deleted") & F.col("n").isNull()).alias("deleted"))
-    new = pairs.join(edges.filter("edge_type = 'co_recall'").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")), ["a", "b"], "left_anti")
+    new = pairs.join(edges.filter("edge_type = 'co_recall'").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).hint("merge"), ["a", "b"], "left_anti")
     new = new.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit("co_recall").alias("edge_type"), F.least(F.lit(1.0), step * F.col("n")).alias("weight"), F.lit(False).alias("deleted"))
     return old.unionByName(new)
 

@@ -18,7 +18,7 @@ def revisions(stories: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def baseline_events(entities: DataFrame, events: DataFrame) -> DataFrame:
     """A first event for every entity that has none: entity_id, base_version 0, version 1, operation create."""
-    return entities.select("entity_id").distinct().join(events.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.lit(0).cast("long").alias("base_version"), F.lit(1).cast("long").alias("version"), F.lit("create").alias("operation"))
+    return entities.select("entity_id").distinct().join(events.select("entity_id").hint("merge"), "entity_id", "left_anti").select("entity_id", F.lit(0).cast("long").alias("base_version"), F.lit(1).cast("long").alias("version"), F.lit("create").alias("operation"))
 
 
 def provenance(events: DataFrame, stories: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -26,9 +26,9 @@ def provenance(events: DataFrame, stories: DataFrame, sessions: DataFrame) -> Da
 
     stories: entity_id, parent_id, session_ids. sessions: session_id, global_id.
     """
-    known = events.join(stories, "entity_id", "left")
-    ids = known.select("sequence", F.explode("session_ids").alias("session_id")).join(sessions, "session_id").groupBy("sequence").agg(F.transform(F.array_sort(F.collect_list(F.struct("session_id", "global_id"))), lambda s: s["global_id"]).alias("sessions"))
-    return known.select("sequence", "parent_id").join(ids, "sequence", "left").select("sequence", "parent_id", F.coalesce("sessions", F.expr("cast(array() as array<string>)")).alias("sessions"))
+    known = events.join(stories.hint("merge"), "entity_id", "left")
+    ids = known.select("sequence", F.explode("session_ids").alias("session_id")).join(sessions.hint("merge"), "session_id").groupBy("sequence").agg(F.transform(F.array_sort(F.collect_list(F.struct("session_id", "global_id"))), lambda s: s["global_id"]).alias("sessions"))
+    return known.select("sequence", "parent_id").join(ids.hint("merge"), "sequence", "left").select("sequence", "parent_id", F.coalesce("sessions", F.expr("cast(array() as array<string>)")).alias("sessions"))
 
 
 def merge_environments(rows: DataFrame, key: str, session: str, at: str, fields: Sequence[str]) -> DataFrame:

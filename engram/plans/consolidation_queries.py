@@ -106,7 +106,7 @@ def transcript_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
     lines = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("["), "role", F.lit("] "), "text").alias("line"))))
     whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("whole"))
-    return whole.join(views.frame(spark, sf_dir, "sessions"), "conv_id").select("conv_id", T.bounded(F.col("whole"), DEFAULTS.transcript_chars).alias("transcript"), "problem_desc", "conclusion")
+    return whole.join(views.frame(spark, sf_dir, "sessions").hint("merge"), "conv_id").select("conv_id", T.bounded(F.col("whole"), DEFAULTS.transcript_chars).alias("transcript"), "problem_desc", "conclusion")
 
 
 def cwd_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def forget(spark: SparkSession, sf_dir: str) -> DataFrame:
     today = F.to_date(F.lit(TODAY))
     state = _state(spark, sf_dir)
     decayed = governance.access_decay(state, today, 10.0).select("story_id", "new_count")
-    state = state.join(decayed, "story_id").withColumn("access_count", F.col("new_count")).drop("new_count")
+    state = state.join(decayed.hint("merge"), "story_id").withColumn("access_count", F.col("new_count")).drop("new_count")
     _, edges, _ = governance.archive(state, _aged(spark, sf_dir), today)
     return edges.select("edge_id", "deleted")
 
@@ -146,7 +146,7 @@ def recall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recall_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = recall_metrics(spark, sf_dir).join(views.frame(spark, sf_dir, "query_pairs").select("query_id", "lang"), "query_id")
+    metrics = recall_metrics(spark, sf_dir).join(views.frame(spark, sf_dir, "query_pairs").select("query_id", "lang").hint("merge"), "query_id")
     out = evaluation.means(metrics, "lang", ["recall_3", "mrr"])
     return out.select("lang", F.round("recall_3", 5).alias("recall_3"), F.round("mrr", 5).alias("mrr"), "n")
 
@@ -164,7 +164,7 @@ def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, s = views.queries(spark, sf_dir), R.stories(spark, sf_dir)
     first = R.fusion.vector_lane(q, s, 1, 0.0)
     wanted = views.frame(spark, sf_dir, "query_pairs").select("query_id", F.when(F.col("share") == 0.25, "update").when(F.col("share") == 0.5, "merge").otherwise("create").alias("expected"))
-    return first.join(wanted, "query_id")
+    return first.join(wanted.hint("merge"), "query_id")
 
 
 def branch_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from engram.streaming import jobs
 
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = views.frame(spark, sf_dir, "story_state").filter("not deleted and not archived and not no_vector")
-    return R.stories(spark, sf_dir).join(state.select("story_id"), "story_id", "left_semi")
+    return R.stories(spark, sf_dir).join(state.select("story_id").hint("merge"), "story_id", "left_semi")
 
 
 def _diffused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -39,7 +39,7 @@ def environment_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reembed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories whose shadow row is missing or stale, embedded again by the hashing vectoriser."""
     s = R.stories(spark, sf_dir).select("story_id", F.md5(F.encode("content", "UTF-8")).alias("content_hash"), (F.col("story_id") % 41 != 0).alias("active"), F.when(F.col("story_id") % 10 != 0, F.col("title")).otherwise(F.lit("")).alias("text"))
-    pending = governance.backfill_pending(s, views.frame(spark, sf_dir, "shadow"), {"model": "m1", "dimension": 64}).join(s.select("story_id", "text"), "story_id")
+    pending = governance.backfill_pending(s, views.frame(spark, sf_dir, "shadow"), {"model": "m1", "dimension": 64}).join(s.select("story_id", "text").hint("merge"), "story_id")
     out = lifecycle.reembed(pending, lambda t: lifecycle.hashing_vector(T.rerank_terms(t), 64), 64)
     return out.select("story_id", "content_hash", "status", F.round(F.coalesce(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), F.lit(0.0)), 6).alias("norm"))
 
@@ -54,7 +54,7 @@ def lexical_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = views.queries(spark, sf_dir).withColumn("vector", F.when(F.col("query_id") % 20 != 0, F.col("vector")))
     s = R.stories(spark, sf_dir)
     out = fusion.reciprocal_fusion(fusion.vector_lane(q, s, 20, 0.5), lexical.lexical_topk(q, s, 20), 3)
-    best = q.select("query_id", F.col("vector").isNull().alias("degraded")).join(out.filter("rank = 1").select("query_id", "story_id", "lane"), "query_id", "left")
+    best = q.select("query_id", F.col("vector").isNull().alias("degraded")).join(out.filter("rank = 1").select("query_id", "story_id", "lane").hint("merge"), "query_id", "left")
     return best.select("query_id", "degraded", "story_id", "lane", F.when(F.col("story_id").isNull(), "empty").when(F.col("degraded"), "degraded").otherwise("ok").alias("result_state"))
 
 
@@ -75,7 +75,7 @@ def source_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "revision_hashes": f"""WITH {ctes('stories')}, j AS (SELECT story_id, 1::BIGINT AS version, concat('{{"label":', label, ',"lang":"', lang, '","source":"', source, '"}}') AS snapshot FROM stories) SELECT *, sha256(snapshot) AS snapshot_hash FROM j""",
+    "revision_hashes": f"""WITH {ctes('stories')}, j AS (SELECT story_id, 1::BIGINT AS version, concat('{{', '"label":' || label || ',', '"lang":"', lang, '","source":"', source, '"}}') AS snapshot FROM stories) SELECT *, sha256(snapshot) AS snapshot_hash FROM j""",
     "baseline_events": f"WITH {ctes('memory_events')} SELECT DISTINCT c_custkey::BIGINT AS entity_id, 0::BIGINT AS base_version, 1::BIGINT AS version, 'create' AS operation FROM customer WHERE c_custkey NOT IN (SELECT entity_id FROM memory_events)",
     "event_provenance": f"""WITH {ctes('memory_events', 'story_state', 'sessions')} SELECT sequence, any_value(parent_id) AS parent_id, coalesce(string_agg('g' || conv_id, ',' ORDER BY conv_id), '') AS sessions
 FROM memory_events m LEFT JOIN story_state s ON s.story_id = m.entity_id LEFT JOIN sessions c ON c.conv_id IN (s.story_id, s.story_id + 1) GROUP BY sequence""",

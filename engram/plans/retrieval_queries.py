@@ -53,7 +53,7 @@ def transform_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, x = fusion.vector_lane(q, s, K, 0.5), lexical.lexical_topk(q, s, K)
     base = fusion.reciprocal_fusion(v, x, 10)
     both = v.select("query_id", "story_id", F.struct(F.lit(1).alias("ranking"), F.col("similarity").alias("fusion"), "rank").alias("v")).join(
-        x.select("query_id", "story_id", F.struct(F.lit(2).alias("ranking"), F.col("similarity").alias("fusion"), "rank").alias("x")), ["query_id", "story_id"], "full_outer"
+        x.select("query_id", "story_id", F.struct(F.lit(2).alias("ranking"), F.col("similarity").alias("fusion"), "rank").alias("x")).hint("merge"), ["query_id", "story_id"], "full_outer"
     )
     lanes = both.select("query_id", "story_id", F.explode(F.array_compact(F.array("v", "x"))).alias("lane")).select("query_id", "story_id", "lane.*")
     return fusion.merge_transformed(base, lanes, 10).select("query_id", "story_id", F.round("fusion", 6).alias("fusion"), "rank")
@@ -88,7 +88,7 @@ def lexical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VECTOR_LANE = f"""{QUERIES_SQL},
 vector_all AS (SELECT query_id, story_id, list_sum(list_transform(range(1, len(vector) + 1), lambda i: vector[i] * embedding[i]::DOUBLE)) AS dot, q.source = s.source AS same,
-    sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM queries q, stories s),
+    sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM queries q, stories s WHERE embedding IS NOT NULL),
 vector_lane AS (SELECT query_id, story_id, round(greatest(0, dot), 4) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, story_id) AS rank FROM vector_all)"""
 
 TERMS = r"""query_tokens AS (SELECT query_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9_]+')) AS term, generate_subscripts(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9_]+'), 1) AS place FROM queries),

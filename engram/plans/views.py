@@ -17,15 +17,15 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 VIEWS: dict[str, str] = {
     "stories": """SELECT d.doc_id AS story_id, substr(d.text, 1, 60) AS title, substr(d.text, 1, 600) AS abstract, d.text AS content,
         d.lang AS lang, d.source AS source, e.embedding AS embedding, e.label AS label
-        FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id""",
+        FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id""",
     "story_count": "SELECT count(*) AS n FROM stories",
     "story_state": """SELECT story_id, label, source, lang, story_id % 7 AS access_count, DATE '2024-01-01' + CAST(story_id % 200 AS INT) AS last_day,
         CASE WHEN story_id % 10 IN (1, 2) THEN story_id - story_id % 10 END AS parent_id,
-        story_id % 41 = 0 AS deleted, story_id % 37 = 0 AS archived, story_id % 53 = 0 AS no_vector FROM stories""",
+        story_id % 41 = 0 AS deleted, story_id % 37 = 0 AS archived, embedding IS NULL OR story_id % 53 = 0 AS no_vector FROM stories""",
     "query_pairs": """SELECT q.story_id AS query_id, q.source AS source, q.lang AS lang, q.embedding AS a, n.embedding AS b,
         CASE CAST(floor(q.story_id / 10) AS BIGINT) % 4 WHEN 0 THEN CAST(0.25 AS DOUBLE) WHEN 1 THEN CAST(0.5 AS DOUBLE) WHEN 2 THEN CAST(0.8 AS DOUBLE) ELSE CAST(1.5 AS DOUBLE) END AS share,
         concat(split_part(q.content, ' ', 2), ' ', split_part(q.content, ' ', 3), ' ', split_part(q.content, ' ', 4)) AS text
-        FROM stories q JOIN stories n ON n.story_id = q.story_id + 1 WHERE q.story_id % 10 = 0""",
+        FROM stories q JOIN stories n ON n.story_id = q.story_id + 1 WHERE q.story_id % 10 = 0 AND q.embedding IS NOT NULL AND n.embedding IS NOT NULL""",
     "edges_raw": """SELECT prior % n AS source_id, event_id % n AS target_id, CASE WHEN prior_type = 'error' THEN 'causal' ELSE 'temporal' END AS edge_type,
           CAST(30 + event_id % 70 AS DOUBLE) / 100 AS weight, 1 + CASE WHEN prior_type = 'error' THEN 1 ELSE 0 END AS type_no
         FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior,
@@ -33,7 +33,7 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT story_id, keeper, 'supersedes', CAST(1.0 AS DOUBLE), 3 FROM (SELECT story_id, min(story_id) OVER (PARTITION BY content) AS keeper FROM stories) WHERE keeper < story_id
         UNION ALL SELECT prior, story_id, 'same_environment', CAST(50 + story_id % 50 AS DOUBLE) / 100, 4 FROM (SELECT story_id, lag(story_id) OVER (PARTITION BY source, lang ORDER BY story_id) AS prior FROM stories) WHERE prior IS NOT NULL
         UNION ALL SELECT parent_id, story_id, 'parent_child', CAST(1.0 AS DOUBLE), 5 FROM story_state WHERE parent_id IS NOT NULL
-        UNION ALL SELECT prior, story_id, 'semantic', CAST(75 + story_id % 25 AS DOUBLE) / 100, 6 FROM (SELECT story_id, lag(story_id) OVER (PARTITION BY label ORDER BY story_id) AS prior FROM stories) WHERE prior IS NOT NULL""",
+        UNION ALL SELECT prior, story_id, 'semantic', CAST(75 + story_id % 25 AS DOUBLE) / 100, 6 FROM (SELECT story_id, lag(story_id) OVER (PARTITION BY label ORDER BY story_id) AS prior FROM stories WHERE label IS NOT NULL) WHERE prior IS NOT NULL""",
     "edges": """SELECT (type_no * n + source_id) * n + target_id AS edge_id, source_id, target_id, edge_type, max(weight) AS weight, (source_id + target_id) % 23 = 0 AS deleted,
         DATE '2024-01-01' + CAST((source_id + target_id) % 60 AS INT) AS updated_day
         FROM edges_raw CROSS JOIN story_count WHERE source_id <> target_id GROUP BY type_no, n, source_id, target_id, edge_type""",

@@ -86,7 +86,7 @@ def read_session_logs(spark: SparkSession, path: str) -> DataFrame:
     name = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
     messages = _messages(rows, kind, said, F.coalesce("r.sessionId", name), F.lit(None).cast("string"), F.coalesce(F.col("r.type").isNull(), F.lit(True)))
     titles = rows.filter(title.isNotNull()).groupBy("file").agg(F.min_by(title, F.col("place")).alias("title"))
-    out = assemble(messages).join(titles, "file", "left")
+    out = assemble(messages).join(titles.hint("merge"), "file", "left")
     return out.withColumn("problem_desc", F.when((F.length("problem_desc") < 15) & F.col("title").isNotNull(), F.substring("title", 1, 200)).otherwise(F.col("problem_desc"))).drop("title")
 
 
