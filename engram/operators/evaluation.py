@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.sources.stage_tables import materialize
+
+#: Slices that the distinct values of a group are dealt to.
+SLICES = 64
+
 
 def recall_metrics(ranked: DataFrame, qrels: DataFrame, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
     """Per query: recall@k, precision@k (of what was returned) and the reciprocal rank of the first right story.
@@ -46,18 +51,37 @@ def branch_accuracy(pairs: DataFrame) -> DataFrame:
     return pairs.rollup("expected").agg(F.avg((F.col("actual") == F.col("expected")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
+def order_statistics(rows: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """The groups, and for each share i: at_i = (n-1) * share, low_i and high_i, the elements at its floor and ceiling.
+
+    Equal values are counted first; the distinct ones of a group are dealt to slices by approximate quantiles, and only a
+    slice is sorted in one task. The result is exact whatever the approximation. Null values don't count; a group that has
+    nothing else gives nulls.
+    """
+    counts = materialize(rows.groupBy(F.struct(*groups).alias("g"), F.col(value).alias("value")).agg(F.count(value).alias("n")), "values")
+    edges = counts.groupBy("g").agg(F.sum("n").alias("total"), F.percentile_approx("value", [i / SLICES for i in range(1, SLICES)], 1000).alias("edges"))
+    dealt = counts.join(materialize(edges, "edges"), "g").withColumn("slice", F.size(F.filter("edges", lambda e: e < F.col("value")))).drop("edges")
+    held = dealt.groupBy("g", "slice").agg(F.sum("n").alias("n")).groupBy("g").agg(F.collect_list(F.struct("slice", "n")).alias("held"))
+    ahead = F.aggregate(F.filter("held", lambda h: h["slice"] < F.col("slice")), F.lit(0).cast("long"), lambda a, h: a + h["n"])
+    within = F.sum("n").over(Window.partitionBy("g", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
+    placed = dealt.join(materialize(held, "slices"), "g").withColumn("first", ahead + F.coalesce(within, F.lit(0)))
+    at = [(F.col("total") - 1) * F.lit(share) for share in shares]
+    element = lambda i: F.max(F.when((F.col("first") <= i) & (i < F.col("first") + F.col("n")), F.col("value")))
+    found = [c for i, x in enumerate(at) for c in (F.max(x).alias(f"at_{i}"), element(F.floor(x)).alias(f"low_{i}"), element(F.ceil(x)).alias(f"high_{i}"))]
+    return placed.groupBy("g").agg(*found).select("g.*", *(f"{name}_{i}" for i in range(len(shares)) for name in ("at", "low", "high")))
+
+
 def percentiles(rows: DataFrame, stages: Sequence[str], by: str | None = None) -> DataFrame:
     """stage (and group), p50, p95, p99 by linear interpolation, rounded to 3 digits."""
+    groups = [*([by] if by else []), "stage"]
     long = rows.select(*([by] if by else []), F.explode(F.map_from_arrays(F.array(*map(F.lit, stages)), F.array(*(F.col(s).cast("double") for s in stages)))).alias("stage", "ms"))
-    p = lambda q: F.round(F.coalesce(F.percentile("ms", q), F.lit(0.0)), 3)
-    return long.groupBy(*([by] if by else []), "stage").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    p = lambda i: F.round(F.coalesce(F.col(f"low_{i}") + (F.col(f"high_{i}") - F.col(f"low_{i}")) * (F.col(f"at_{i}") - F.floor(f"at_{i}")), F.lit(0.0)), 3)
+    return order_statistics(long, groups, "ms", (0.5, 0.95, 0.99)).select(*groups, *(p(i).alias(name) for i, name in enumerate(("p50", "p95", "p99"))))
 
 
 def lower_percentile(rows: DataFrame, value: str, share: float, by: str) -> DataFrame:
-    """The element at floor((n-1) * share) of the sorted values: the other definition in use."""
-    w = Window.partitionBy(by)
-    placed = rows.filter(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return placed.filter(F.col("i") == F.floor((F.col("n") - 1) * F.lit(share))).select(by, value)
+    """The element at floor((n-1) * share) of the sorted values: the other definition in use. Groups without values go."""
+    return order_statistics(rows, [by], value, [share]).filter("low_0 is not null").select(by, F.col("low_0").alias(value))
 
 
 def ratios(rows: DataFrame, by: str) -> DataFrame:

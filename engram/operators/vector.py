@@ -14,8 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.sources.stage_tables import together
+
 #: Queries in one block: with 1,024 numbers each, 32 MB.
 BLOCK = 4096
+#: Stories in one slice: with a full block, 32 MB of scores.
+SLICE = 1024
 
 
 def _blocks(queries: DataFrame, scope: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
@@ -33,6 +37,13 @@ def _blocks(queries: DataFrame, scope: str | None) -> Iterator[tuple[np.ndarray,
         yield np.array(ids), np.array(rows, float), scopes
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE rows at most, so that scores of a block and a slice take a bounded part of memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def vector_topk(queries: DataFrame, stories: DataFrame, k: int, unit: bool = True, scope: str | None = None, exclude_self: bool = False) -> DataFrame:
     """query_id, story_id, similarity, rank: the k best stories of every query.
 
@@ -41,18 +52,19 @@ def vector_topk(queries: DataFrame, stories: DataFrame, k: int, unit: bool = Tru
     story_id; similarity is rounded to 4 digits after the choice. Null vectors match nothing.
     """
     read = stories.filter(F.col("embedding").isNotNull()).select(F.col("story_id").cast("long").alias("story_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col(scope).alias("scope") if scope else F.lit(0).alias("scope"))
-    parts = []
-    for ids, matrix, scopes in _blocks(queries, scope):
+    schema = "query_id long, story_id long, score double"
+
+    def part(ids: np.ndarray, matrix: np.ndarray, scopes: list) -> DataFrame:
         norms = np.linalg.norm(matrix, axis=1)
         if not unit:
             ids, matrix, scopes = ids[norms > 0], matrix[norms > 0] / norms[norms > 0, None], [s for s, n in zip(scopes, norms, strict=True) if n > 0]
+        numbers = {s: i for i, s in enumerate(dict.fromkeys(scopes))}
+        own = np.array([numbers[s] for s in scopes], np.int64)
 
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, scopes=scopes) -> Iterator[pa.RecordBatch]:
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             top_s = np.full((len(ids), 0), -np.inf)
             top_i = np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in _slices(batches):
                 story = batch.column(0).to_numpy()
                 vector = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
                 length = np.linalg.norm(vector, axis=1)
@@ -62,8 +74,8 @@ def vector_topk(queries: DataFrame, stories: DataFrame, k: int, unit: bool = Tru
                 if not unit:
                     scores[:, length == 0] = -np.inf
                 if scope:
-                    own = batch.column(2).to_pylist()
-                    scores[np.array([[a != b for b in own] for a in scopes])] = -np.inf
+                    theirs = np.array([numbers.get(s, -1) for s in batch.column(2).to_pylist()], np.int64)
+                    scores[own[:, None] != theirs[None, :]] = -np.inf
                 if exclude_self:
                     scores[ids[:, None] == story[None, :]] = -np.inf
                 s = np.concatenate([top_s, scores], axis=1)
@@ -74,12 +86,9 @@ def vector_topk(queries: DataFrame, stories: DataFrame, k: int, unit: bool = Tru
             query = np.repeat(ids, keep.sum(1))
             yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), pa.array(top_i[keep]), pa.array(top_s[keep])], names=["query_id", "story_id", "score"])
 
-        parts.append(read.mapInArrow(best, "query_id long, story_id long, score double"))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], "query_id long, story_id long, similarity double, rank int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+        return read.mapInArrow(best, schema)
+
+    found = together(queries.sparkSession, (part(*block) for block in _blocks(queries, scope)), schema, "best")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "story_id"))
     similarity = F.round(F.greatest(F.lit(0.0), F.col("score")) if unit else F.col("score"), 4)
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "story_id", similarity.alias("similarity"), "rank")
@@ -88,16 +97,15 @@ def vector_topk(queries: DataFrame, stories: DataFrame, k: int, unit: bool = Tru
 def vector_pairs(queries: DataFrame, stories: DataFrame, least: float) -> DataFrame:
     """query_id, story_id, similarity of all pairs of unit vectors that are `least` alike or more, block by block."""
     read = stories.filter(F.col("embedding").isNotNull()).select(F.col("story_id").cast("long").alias("story_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    out = None
-    for ids, matrix, _ in _blocks(queries, None):
-
-        def near(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    scores = matrix @ batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).T
-                    q, s = np.nonzero(np.round(scores, 4) >= least)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q].astype(np.int64)), batch.column(0).take(pa.array(s)), pa.array(np.round(scores[q, s], 4))], names=["query_id", "story_id", "similarity"])
-
-        part = read.mapInArrow(near, "query_id long, story_id long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else queries.sparkSession.createDataFrame([], "query_id long, story_id long, similarity double")
+    schema = "query_id long, story_id long, similarity double"
+
+    def part(ids: np.ndarray, matrix: np.ndarray, _: list) -> DataFrame:
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _slices(batches):
+                scores = matrix @ batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).T
+                q, s = np.nonzero(np.round(scores, 4) >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q].astype(np.int64)), batch.column(0).take(pa.array(s)), pa.array(np.round(scores[q, s], 4))], names=["query_id", "story_id", "similarity"])
+
+        return read.mapInArrow(near, schema)
+
+    return together(queries.sparkSession, (part(*block) for block in _blocks(queries, None)), schema, "near")

@@ -183,7 +183,7 @@ def perf_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def perf_lower_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.lower_percentile(_diag(spark, sf_dir), "total_ms", 0.95, "mode").distinct()
+    return evaluation.lower_percentile(_diag(spark, sf_dir), "total_ms", 0.95, "mode")
 
 
 def perf_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     with _shuffle_files_end_with_the_write(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(spark: SparkSession, parts: Iterator[DataFrame], schema: str, name: str) -> DataFrame:
+    """The union of what each block gives. All but the last are written before the next block is read, so that the driver
+    and the plan hold one block, however many queries there are."""
+    done, last = [], None
+    for part in parts:
+        if last is not None:
+            done.append(materialize(last, name))
+        last = part
+    if last is None:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, done, last)
