@@ -9,6 +9,7 @@ from engram.functions import text as T
 from engram.operators import fusion, lexical, vector
 from engram.plans import views
 from engram.plans.views import QUERIES_SQL, ctes
+from engram.sources.stage_tables import materialize
 
 K = 20
 
@@ -50,7 +51,10 @@ def hybrid_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transform_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two expanded rankings per query: the vector lane, and the lexical lane, merged into the hybrid base."""
     q, s = views.queries(spark, sf_dir), stories(spark, sf_dir)
-    v, x = fusion.vector_lane(q, s, K, 0.5), lexical.lexical_topk(q, s, K)
+    return merged_lanes(materialize(fusion.vector_lane(q, s, K, 0.5), "vector-lane"), materialize(lexical.lexical_topk(q, s, K), "lexical-lane"))
+
+
+def merged_lanes(v: DataFrame, x: DataFrame) -> DataFrame:
     base = fusion.reciprocal_fusion(v, x, 10)
     both = v.select("query_id", "story_id", F.struct(F.lit(1).alias("ranking"), F.col("similarity").alias("fusion"), "rank").alias("v")).join(
         x.select("query_id", "story_id", F.struct(F.lit(2).alias("ranking"), F.col("similarity").alias("fusion"), "rank").alias("x")).hint("merge"), ["query_id", "story_id"], "full_outer"
