@@ -15,7 +15,11 @@ K = 20
 
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.frame(spark, sf_dir, "stories").withColumn("keywords", F.to_json(F.array("lang", "source")))
+    """Stories with keywords. Texts that lie in fewer splits than there are cores are dealt out once, since each lane does
+    much work per text; a table of many splits is read where it lies."""
+    s = views.frame(spark, sf_dir, "stories").withColumn("keywords", F.to_json(F.array("lang", "source")))
+    cores = spark.sparkContext.defaultParallelism
+    return s.repartition(cores) if spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions() < cores else s
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
