@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import decontaminate, fertility, html_extract, langid, line_dedup, packing, secret_scan, simhash_trie, substring_dedup, toxicity
+from engram.llm import decontaminate, divergence, fertility, html_extract, langid, line_dedup, packing, rendezvous, secret_scan, simhash_trie, substring_dedup, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_chunk_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendezvous.rendezvous_sharding(_table(spark, sf_dir, "documents"))
+
+
+def op13_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.embedding_whitening(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
@@ -65,10 +77,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_compression_language_id": op10_compression_language_id,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op3_line_dedup": op3_line_dedup,
+        "op11_chunk_divergence": op11_chunk_divergence,
+        "op12_rendezvous_sharding": op12_rendezvous_sharding,
+        "op13_jacobi_davidson_whitening": op13_jacobi_davidson_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": line_dedup.SQL,
+        "op11_chunk_divergence": divergence.SQL,
+        "op12_rendezvous_sharding": rendezvous.SQL,
     }
