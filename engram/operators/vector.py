@@ -7,7 +7,9 @@ stories, and the last choice among them is a window that stops at k.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +96,41 @@ def vector_topk(queries: DataFrame, stories: DataFrame, k: int, unit: bool = Tru
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "story_id", similarity.alias("similarity"), "rank")
 
 
+def multi_vector_topk(queries: DataFrame, stories: DataFrame, fields: Sequence[str], k: int, digits: int = 6) -> DataFrame:
+    """query_id, story_id, similarity, rank: the k best stories of every query, each by the nearest of its vectors.
+
+    stories: story_id and a unit vector per field, null where a story has none; a story without any matches nothing. The
+    best field is taken where the row is read, so that one number per story and query is left, however many fields there
+    are. Order: similarity rounded to `digits`, then the smaller story_id.
+    """
+    vectors = [F.col(f).cast("array<double>").alias(f) for f in fields]
+    read = stories.filter(reduce(or_, (F.col(f).isNotNull() for f in fields))).select(F.col("story_id").cast("long").alias("story_id"), *vectors)
+    schema = "query_id long, story_id long, similarity double"
+
+    def part(ids: np.ndarray, matrix: np.ndarray, _: list) -> DataFrame:
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top_s = np.full((len(ids), 0), -np.inf)
+            top_i = np.zeros((len(ids), 0), np.int64)
+            for batch in _slices(batches):
+                scores = np.full((len(ids), batch.num_rows), -np.inf)
+                for column in batch.columns[1:]:
+                    has = np.flatnonzero(np.asarray(column.is_valid()))
+                    if len(has):
+                        scores[:, has] = np.maximum(scores[:, has], matrix @ column.flatten().to_numpy().reshape(len(has), -1).T)
+                s = np.concatenate([top_s, np.round(scores, digits)], axis=1)
+                i = np.concatenate([top_i, np.broadcast_to(batch.column(0).to_numpy(), scores.shape)], axis=1)
+                order = np.lexsort((i, -s), axis=1)[:, :k]
+                top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            query = np.repeat(ids, top_s.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), pa.array(top_i.ravel()), pa.array(top_s.ravel())], names=["query_id", "story_id", "similarity"])
+
+        return read.mapInArrow(best, schema)
+
+    found = together(queries.sparkSession, (part(*block) for block in _blocks(queries, None)), schema, "best-of-fields")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "story_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def vector_pairs(queries: DataFrame, stories: DataFrame, least: float) -> DataFrame:
     """query_id, story_id, similarity of all pairs of unit vectors that are `least` alike or more, block by block."""
     read = stories.filter(F.col("embedding").isNotNull()).select(F.col("story_id").cast("long").alias("story_id"), F.col("embedding").cast("array<double>").alias("embedding"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.plans import ablation_queries, consolidation_queries, delivery_queries, governance_queries, graph_queries, iterative_queries, lifecycle_queries, retrieval_queries
+from engram.plans import ablation_queries, consolidation_queries, delivery_queries, governance_queries, graph_queries, iterative_queries, lifecycle_queries, representation_queries, retrieval_queries
 
-_PARTS = (retrieval_queries, graph_queries, governance_queries, consolidation_queries, lifecycle_queries, iterative_queries, delivery_queries, ablation_queries)
+_PARTS = (retrieval_queries, graph_queries, governance_queries, consolidation_queries, lifecycle_queries, iterative_queries, delivery_queries, ablation_queries, representation_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

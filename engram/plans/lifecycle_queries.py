@@ -75,7 +75,7 @@ def source_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "revision_hashes": f"""WITH {ctes('stories')}, j AS (SELECT story_id, 1::BIGINT AS version, concat('{{', '"label":' || label || ',', '"lang":"', lang, '","source":"', source, '"}}') AS snapshot FROM stories) SELECT *, sha256(snapshot) AS snapshot_hash FROM j""",
+    "revision_hashes": f"""WITH {ctes('stories')}, j AS (SELECT story_id, 1::BIGINT AS version, concat('{{', '"label":', coalesce(label::VARCHAR, 'null'), ',', '"lang":"', lang, '","source":"', source, '"}}') AS snapshot FROM stories) SELECT *, sha256(snapshot) AS snapshot_hash FROM j""",
     "baseline_events": f"WITH {ctes('memory_events')} SELECT DISTINCT c_custkey::BIGINT AS entity_id, 0::BIGINT AS base_version, 1::BIGINT AS version, 'create' AS operation FROM customer WHERE c_custkey NOT IN (SELECT entity_id FROM memory_events)",
     "event_provenance": f"""WITH {ctes('memory_events', 'story_state', 'sessions')} SELECT sequence, any_value(parent_id) AS parent_id, coalesce(string_agg('g' || conv_id, ',' ORDER BY conv_id), '') AS sessions
 FROM memory_events m LEFT JOIN story_state s ON s.story_id = m.entity_id LEFT JOIN sessions c ON c.conv_id IN (s.story_id, s.story_id + 1) GROUP BY sequence""",

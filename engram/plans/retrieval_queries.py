@@ -35,7 +35,7 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25_topk(views.queries(spark, sf_dir), stories(spark, sf_dir), 10).select("query_id", "rank", F.round("bm25", 4).alias("bm25"))
+    return lexical.bm25_topk(views.queries(spark, sf_dir), stories(spark, sf_dir), 10).select("query_id", "rank", "bm25")
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ postings AS (SELECT story_id, term, sum(w)::DOUBLE AS tf FROM tokens GROUP BY AL
 size AS (SELECT (SELECT count(*) FROM stories) AS n, (SELECT avg(length) FROM lengths) AS mean),
 scored AS (SELECT query_id, story_id, round(sum(greatest(0.000001, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS bm25
     FROM query_terms JOIN postings USING (term) JOIN df USING (term) JOIN lengths USING (story_id), size GROUP BY query_id, story_id)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, story_id) AS rank, round(bm25, 4) AS bm25 FROM scored QUALIFY rank <= 10""",
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, story_id) AS rank, bm25 FROM scored QUALIFY rank <= 10""",
     "hybrid_rrf": f"WITH {_PAIRS}, {FUSED} SELECT * REPLACE (round(fusion, 6) AS fusion) FROM fused",
     "hybrid_gate": f"""WITH {_PAIRS}, {FUSED}, facts AS (SELECT query_id, count(*) AS n, max(CASE WHEN rank = 1 THEN coalesce(vector_similarity, lexical_similarity, similarity) END) AS conf,
     round(max(CASE WHEN rank = 1 THEN fusion END) - max(CASE WHEN rank = 2 THEN fusion END), 8) AS gap FROM fused GROUP BY query_id),
