@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.stages import materialize
-from engram.llm.textbatch import LOWER_LUT, Slice, keyed, map_batches, rest_of, rest_schema, slices, spread, take, window_hashes
+from engram.llm.textbatch import LOWER_LUT, Slice, map_batches, numbered, rest_of, rest_schema, slices, spread, take, window_hashes
 
 WINDOW = 10
 #: Rarest terms of a window that are looked for; words by which a term of a proximity match may be off its place, and
@@ -87,7 +87,7 @@ def term_counts(docs: DataFrame, terms: np.ndarray) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: np.ndarray, wanted: np.ndarray) -> DataFrame:
-    """The index: term, doc_id, tkey and the term's positions in that document, for the wanted terms."""
+    """The index: term, doc_id, row and the term's positions in that document, for the wanted terms."""
     chosen = terms[wanted]
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -104,9 +104,9 @@ def postings(docs: DataFrame, terms: np.ndarray, wanted: np.ndarray) -> DataFram
             new[1:] = (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])
             lead = np.flatnonzero(new)
             lists = pa.ListArray.from_arrays(pa.array(np.append(lead, len(hit)).astype(np.int32)), pa.array((hit - first[owner]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(term[lead].astype(np.int32)), take(batch.column(0), part.rows, owner[lead]), take(batch.column(1), part.rows, owner[lead]), lists], names=["term", "doc_id", "tkey", "positions"])
+            yield pa.RecordBatch.from_arrays([pa.array(term[lead].astype(np.int32)), take(batch.column(0), part.rows, owner[lead]), take(batch.column(1), part.rows, owner[lead]), lists], names=["term", "doc_id", "row", "positions"])
 
-    return map_batches(docs, work, "term int, doc_id long, tkey int, positions array<int>")
+    return map_batches(docs, work, "term int, doc_id long, row long, positions array<int>")
 
 
 def plan(items: Items, counts: np.ndarray, length: int, rarest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ NEAR = "array<struct<start:int,id:string,words:array<long>>>"
 
 
 def matches(docs: DataFrame, items: Items, length: int = WINDOW, rarest: int = RAREST, slack: int = SLACK) -> DataFrame:
-    """doc_id, tkey, exact, near: the windows that the index leaves to be read, a row or more per document with any."""
+    """doc_id, row, exact, near: the windows that the index leaves to be read, a row or more per document with any."""
     counts = np.zeros(max(1, len(items.terms)), np.int64)
     for row in term_counts(docs, items.terms).collect() if len(items.terms) else []:
         counts[row["term"]] = row["n"]
@@ -145,7 +145,7 @@ def matches(docs: DataFrame, items: Items, length: int = WINDOW, rarest: int = R
     live = need <= rarest
     used = np.unique(places[live][places[live] >= 0])
     wanted = np.unique(term_of[used])
-    schema = f"doc_id long, tkey int, exact {EXACT}, near {NEAR}"
+    schema = f"doc_id long, row long, exact {EXACT}, near {NEAR}"
     if not len(wanted):
         return docs.sparkSession.createDataFrame([], schema)
     index = materialize(postings(docs, items.terms, wanted), "postings")
@@ -178,13 +178,13 @@ def matches(docs: DataFrame, items: Items, length: int = WINDOW, rarest: int = R
         owner, place, start, cell = (np.concatenate([x, y]) for x, y in ((owner, owner[again]), (place, place[again]), (start, start[again]), (start // CELL, start[again] // CELL + 1)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(1).take(pa.array(row[owner])), batch.column(2).take(pa.array(row[owner])), *(pa.array(x.astype(np.int32)) for x in (item_of[place], cell, start, place, fewest[item_of[place]]))],
-            names=["doc_id", "tkey", "item", "cell", "start", "place", "need"],
+            names=["doc_id", "row", "item", "cell", "start", "place", "need"],
         )
 
-    shifted = map_batches(index, shift, "doc_id long, tkey int, item int, cell int, start int, place int, need int")
+    shifted = map_batches(index, shift, "doc_id long, row long, item int, cell int, start int, place int, need int")
     # lists of one item meet in a cell of a document; a cell holds no more than its words' postings
-    met = shifted.groupBy("doc_id", "tkey", "item", "cell").agg(F.collect_list(F.struct("start", "place")).alias("hits"), F.max("need").alias("need"))
-    met = met.filter(F.size("hits") >= F.col("need")).filter(F.size(F.array_distinct("hits.place")) >= F.col("need")).select("doc_id", "tkey", "hits")
+    met = shifted.groupBy("doc_id", "row", "item", "cell").agg(F.collect_list(F.struct("start", "place")).alias("hits"), F.max("need").alias("need"))
+    met = met.filter(F.size("hits") >= F.col("need")).filter(F.size(F.array_distinct("hits.place")) >= F.col("need")).select("doc_id", "row", "hits")
 
     def intersect(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """The windows of a cell whose terms agree on a start, or two of whose terms do within the slack."""
@@ -217,7 +217,7 @@ def matches(docs: DataFrame, items: Items, length: int = WINDOW, rarest: int = R
         near = [[{"start": s, "id": i, "words": items.words[a : a + k].view(np.int64).tolist()}] for s, i, a, k in zip(start[n].tolist(), ids[item[window[n]]], at[window[n]].tolist(), size[window[n]].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(docs_)), batch.column(1).take(pa.array(docs_)), pa.array([*exact, *([] for _ in n)], EXACT_TYPE), pa.array([*([] for _ in e), *near], NEAR_TYPE)],
-            names=["doc_id", "tkey", "exact", "near"],
+            names=["doc_id", "row", "exact", "near"],
         )
 
     return map_batches(met, intersect, schema)
@@ -322,15 +322,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, c
     An empty benchmark leaves everything clean, and one of more than `most` words is worked on in parts. Columns other
     than the keys and texts are ignored.
     """
-    docs = keyed(docs, carry)
+    docs = numbered(docs, carry)
     dealt, parts = parts_of(benchmark, length, most, chunk)
-    plain = docs.select("doc_id", "tkey", "text")
+    plain = docs.select("doc_id", "row", "text")
     found = [matches(plain, read_items(dealt.filter(F.col("part") == i)), length, slack=slack) for i in range(parts)]
     found = found[0] if parts == 1 else reduce(DataFrame.unionByName, [materialize(f, "part-matches") for f in found])
     flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-    found = found.groupBy(F.col("doc_id").alias("l_id"), F.col("tkey").alias("l_key")).agg(flat("exact"), flat("near"))
-    found = materialize(found, "index-matches")
-    met = docs.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("l_id")) & F.col("tkey").eqNullSafe(F.col("l_key")), "left").drop("tkey", "l_id", "l_key")
+    found = materialize(found.groupBy("row").agg(flat("exact"), flat("near")), "index-matches")
+    met = docs.join(found.hint("merge"), "row", "left").drop("row")
     return map_batches(met, lambda batch: _read(batch, slack), "doc_id long, text string, n_words long, n_hit long, item_ids array<string>, near_item_ids array<string>, contaminated boolean" + rest_schema(docs))
 
 

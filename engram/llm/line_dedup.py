@@ -1,7 +1,7 @@
 """Line dedup: hash normalised lines, count distinct documents per hash, drop what is over the threshold, reassemble by place.
 
-Only 16-byte hashes and places are shuffled for the counts; the text itself moves once, and only to meet the list
-of its dropped lines. Every column is a Spark expression.
+Only 16-byte hashes and places are shuffled for the counts; the lines themselves move once, and only to meet the list
+of those that go. Every column is a Spark expression.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.stages import materialize
-from engram.llm.textbatch import keyed
+from engram.llm.textbatch import numbered
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -35,12 +35,13 @@ def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, carry: t
 
     Null or empty text is one empty line. Rows that repeat a doc_id count as one document for the threshold, and each
     row gets its own result. A null doc_id counts as one document, smaller than any other. Ties can't occur. Empty
-    tables give empty tables; other columns are ignored.
+    tables give empty tables; other columns are ignored. Very long texts are worked on whole, at a cost in proportion to
+    their lines.
     """
-    base = keyed(docs, carry)
-    lines = base.select("doc_id", "tkey", F.posexplode(lines_of(F.col("text"))).alias("place", "line")).filter(F.length("line") >= min_chars)
+    base = numbered(docs, carry)
+    lines = base.select("doc_id", "row", F.posexplode(lines_of(F.col("text"))).alias("place", "line")).filter(F.length("line") >= min_chars)
     lines = lines.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars)
-    lines = materialize(lines.select("doc_id", "tkey", "place", F.unhex(F.md5(F.encode("key", "UTF-8"))).alias("key")), "line-keys")
+    lines = materialize(lines.select("doc_id", "row", "place", F.unhex(F.md5(F.encode("key", "UTF-8"))).alias("key")), "line-keys")
     per_doc = lines.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
     frequent = (
         per_doc.groupBy("key")
@@ -49,24 +50,20 @@ def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, carry: t
         .select("key", "keeper")
     )
     frequent = materialize(frequent, "frequent-lines")  # so that a line in most documents can be split in the join
-    dropped = (
-        lines.join(frequent.hint("merge"), "key")
-        .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("doc_id", "tkey")
-        .agg(F.collect_set("place").alias("dropped"))
-    )
-    dropped = materialize(dropped, "dropped-lines").select(F.col("doc_id").alias("d_id"), F.col("tkey").alias("d_key"), "dropped")
-    met = base.join(dropped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d_id")) & F.col("tkey").eqNullSafe(F.col("d_key")), "left")
-    split = lines_of(F.col("text"))
-    kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("dropped"), i)), "\n")
-    )
+    dropped = lines.join(frequent.hint("merge"), "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("row").agg(F.collect_set("place").alias("dropped"))
+    dropped = materialize(dropped, "dropped-lines")
+    rest = ["rest"] if carry else []
+    cut = base.select("doc_id", "row", F.col("text").isNull().alias("none"), lines_of(F.col("text")).alias("lines"), *rest)
+    met = cut.join(dropped.hint("merge"), "row", "left")
+    # places that stay are a difference of sets, so that a text of many lines costs its length
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
+    kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.transform(places, lambda p: F.get("lines", p)))
     return met.select(
         "doc_id",
-        kept.alias("text"),
-        F.size(split).cast("long").alias("n_lines"),
+        F.when(~F.col("none"), F.array_join(kept, "\n")).alias("text"),
+        F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        *(["rest"] if carry else []),
+        *rest,
     )
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.stages import materialize
-from engram.llm.textbatch import Slice, keyed, map_batches, polynomial, signed, slices, spread, take, window_hashes
+from engram.llm.textbatch import Slice, map_batches, numbered, polynomial, signed, slices, spread, take, window_hashes
 
 LEAST = 35
 _SECOND = 0x6A09E667F3BCC909
@@ -47,7 +47,7 @@ def _starts(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(docs: DataFrame, least: int, half: int) -> DataFrame:
-    """A row per anchor: doc_id, tkey, the first window start `lo` that it serves and how many follow (`n`), the hash of
+    """A row per anchor: doc_id, row, the first window start `lo` that it serves and how many follow (`n`), the hash of
     the half-length window at the anchor, and the hash of all words that its windows cover.
 
     Where docs has `ranges`, the half-length windows known to repeat, only windows both of whose halves do are looked at.
@@ -81,10 +81,10 @@ def anchors(docs: DataFrame, least: int, half: int) -> DataFrame:
             span = window_hashes(words, lo, lo + n - 1 + least) ^ ((anchor - lo).astype(np.uint64) << np.uint64(32)) ^ n.astype(np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [take(batch.column(0), part.rows, owner), take(batch.column(1), part.rows, owner), pa.array((lo - first[owner]).astype(np.int32)), pa.array(n.astype(np.int32)), signed(halves[anchor]), signed(span)],
-                names=["doc_id", "tkey", "lo", "n", "half", "span"],
+                names=["doc_id", "row", "lo", "n", "half", "span"],
             )
 
-    return map_batches(docs, work, "doc_id long, tkey int, lo int, n int, half long, span long")
+    return map_batches(docs, work, "doc_id long, row long, lo int, n int, half long, span long")
 
 
 def _ranges(batch: pa.RecordBatch, part: Slice, column: str, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,13 +97,13 @@ def _ranges(batch: pa.RecordBatch, part: Slice, column: str, first: np.ndarray)
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    lists = lists.withColumnsRenamed({"doc_id": "l_id", "tkey": "l_key"})
-    on = F.col("doc_id").eqNullSafe(F.col("l_id")) & F.col("tkey").eqNullSafe(F.col("l_key"))
-    return docs.join(lists.hint("merge"), on, how).drop("l_id", "l_key")
+    lists = lists.withColumnsRenamed({"doc_id": "l_id", "row": "l_row"})
+    on = F.col("doc_id").eqNullSafe(F.col("l_id")) & F.col("row").eqNullSafe(F.col("l_row"))
+    return docs.join(lists.hint("merge"), on, how).drop("l_id", "l_row")
 
 
 def _windows(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """The full windows of the wanted ranges: doc_id, tkey, start, done, and two hashes of their words, so that windows
+    """The full windows of the wanted ranges: doc_id, row, start, done, and two hashes of their words, so that windows
     of a large corpus don't meet by chance."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -116,35 +116,35 @@ def _windows(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
             at = lo[group] + inner
             yield pa.RecordBatch.from_arrays(
                 [take(batch.column(0), part.rows, owner[group]), take(batch.column(1), part.rows, owner[group]), pa.array((at - first[owner[group]]).astype(np.int32)), pa.array(done[group]), signed(window_hashes(words, at, at + least)), signed(polynomial(words, at, at + least, _SECOND))],
-                names=["doc_id", "tkey", "start", "done", "hash", "again"],
+                names=["doc_id", "row", "start", "done", "hash", "again"],
             )
 
-    return map_batches(_with_lists(docs, wanted, "inner"), work, "doc_id long, tkey int, start int, done boolean, hash long, again long")
+    return map_batches(_with_lists(docs, wanted, "inner"), work, "doc_id long, row long, start int, done boolean, hash long, again long")
 
 
 def repeated_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, tkey, lo, n: the windows of `least` words that start at word lo, lo+1, .. lo+n-1 of the document occur
-    somewhere else as well. docs has doc_id, tkey, text, and `ranges` of half-length windows if those are known."""
+    """doc_id, row, lo, n: the windows of `least` words that start at word lo, lo+1, .. lo+n-1 of the document occur
+    somewhere else as well. docs has doc_id, row, text, and `ranges` of half-length windows if those are known."""
     half = (least + 1) // 2
     found = materialize(anchors(docs, least, half), "anchors")
     again = found.groupBy("half").agg(F.count("*").alias("times"), F.min("span").alias("low"), F.max("span").alias("high"))
     again = materialize(again.filter("times > 1").select("half", (F.col("low") != F.col("high")).alias("mixed")), "repeated-halves")
     live = materialize(found.join(again.hint("merge"), "half"), "live-anchors")
     # where all occurrences of an anchor agree on all the words its windows cover, every window repeats
-    agreed = live.filter("not mixed").select("doc_id", "tkey", "lo", "n")
+    agreed = live.filter("not mixed").select("doc_id", "row", "lo", "n")
     mixed = live.filter("mixed")
-    spans = materialize(mixed.groupBy("half", "span").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "tkey", "lo", "n")).alias("one")), "spans")
-    same = mixed.join(spans.filter("times > 1").select("half", "span").hint("merge"), ["half", "span"]).select("doc_id", "tkey", "lo", "n")
+    spans = materialize(mixed.groupBy("half", "span").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "row", "lo", "n")).alias("one")), "spans")
+    same = mixed.join(spans.filter("times > 1").select("half", "span").hint("merge"), ["half", "span"]).select("doc_id", "row", "lo", "n")
     # the rest is extended to the full length, one occurrence for each distinct stretch of words
-    wanted = spans.select("one.*", (F.col("times") > 1).alias("done")).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("lo", "n", "done")).alias("ranges"))
-    full = materialize(_windows(docs.select("doc_id", "tkey", "text"), wanted, least), "full-windows")
+    wanted = spans.select("one.*", (F.col("times") > 1).alias("done")).groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "n", "done")).alias("ranges"))
+    full = materialize(_windows(docs.select("doc_id", "row", "text"), wanted, least), "full-windows")
     twice = materialize(full.groupBy("hash", "again").agg(F.count("*").alias("times")).filter("times > 1").select("hash", "again"), "repeated-windows")
-    matched = full.filter("not done").join(twice.hint("merge"), ["hash", "again"]).select("doc_id", "tkey", F.col("start").alias("lo"), F.lit(1).alias("n"))
+    matched = full.filter("not done").join(twice.hint("merge"), ["hash", "again"]).select("doc_id", "row", F.col("start").alias("lo"), F.lit(1).alias("n"))
     return agreed.unionByName(same).unionByName(matched)
 
 
 def _listed(ranges: DataFrame, name: str) -> DataFrame:
-    return materialize(ranges.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("lo", "n")).alias("ranges")), name)
+    return materialize(ranges.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "n")).alias("ranges")), name)
 
 
 def _runs(docs: DataFrame, lists: DataFrame, length: int) -> DataFrame:
@@ -171,11 +171,11 @@ def _runs(docs: DataFrame, lists: DataFrame, length: int) -> DataFrame:
             whole = window_hashes(part.word_hashes(starts, ends), at, at + size)
             level = length << (np.frexp(size // length)[1].astype(np.int64) - 1)
             yield pa.RecordBatch.from_arrays(
-                [*(take(batch.column(c), part.rows, owner) for c in ("doc_id", "tkey", "h_id", "h_key", "open")), pa.array((at - first[owner]).astype(np.int32)), pa.array(size.astype(np.int32)), signed(whole), pa.array(level)],
-                names=["doc_id", "tkey", "h_id", "h_key", "open", "lo", "n", "whole", "level"],
+                [*(take(batch.column(c), part.rows, owner) for c in ("doc_id", "row", "h_id", "h_row", "open")), pa.array((at - first[owner]).astype(np.int32)), pa.array(size.astype(np.int32)), signed(whole), pa.array(level)],
+                names=["doc_id", "row", "h_id", "h_row", "open", "lo", "n", "whole", "level"],
             )
 
-    return map_batches(_with_lists(docs, lists, "inner"), work, "doc_id long, tkey int, h_id long, h_key int, open boolean, lo int, n int, whole long, level long")
+    return map_batches(_with_lists(docs, lists, "inner"), work, "doc_id long, row long, h_id long, h_row long, open boolean, lo int, n int, whole long, level long")
 
 
 def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -189,48 +189,48 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             raw = part.data.tobytes()
             texts = [raw[a:b] for a, b in zip(starts[lo].tolist(), ends[lo + n - 1].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [flat.field("whole"), pa.array(np.zeros(len(texts), np.int32)), pa.array(texts, pa.binary()).cast(pa.string()), flat.field("h_id"), flat.field("h_key"), flat.field("open")],
-                names=["doc_id", "tkey", "text", "h_id", "h_key", "open"],
+                [flat.field("whole"), pa.array(np.zeros(len(texts), np.int64)), pa.array(texts, pa.binary()).cast(pa.string()), flat.field("h_id"), flat.field("h_row"), flat.field("open")],
+                names=["doc_id", "row", "text", "h_id", "h_row", "open"],
             )
 
-    return map_batches(_with_lists(docs.select("doc_id", "tkey", "text"), wanted, "inner"), work, "doc_id long, tkey int, text string, h_id long, h_key int, open boolean")
+    return map_batches(_with_lists(docs.select("doc_id", "row", "text"), wanted, "inner"), work, "doc_id long, row long, text string, h_id long, h_row long, open boolean")
 
 
 def _settled(docs: DataFrame, lists: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Levels of the stretches that come twice as a whole, whose every window repeats up to their own length; and one
     occurrence of each distinct stretch. Those that came once are still open."""
     found = materialize(_runs(docs, lists, length), "stretches")
-    one = F.min(F.struct("doc_id", "tkey", "lo", "h_id", "h_key", "open")).alias("one")
+    one = F.min(F.struct("doc_id", "row", "lo", "h_id", "h_row", "open")).alias("one")
     each = materialize(found.groupBy("whole", "n").agg(F.count("*").alias("times"), one), "distinct-stretches")
-    levels = found.filter("open").join(each.filter("times > 1").select("whole", "n").hint("merge"), ["whole", "n"]).select("h_id", "h_key", "level")
-    each = each.select("one.doc_id", "one.tkey", F.struct("one.lo", "n", "whole", "one.h_id", "one.h_key", (F.col("one.open") & (F.col("times") == 1)).alias("open")).alias("range"))
-    return levels, materialize(_cut(docs, each.groupBy("doc_id", "tkey").agg(F.collect_list("range").alias("ranges"))), "stretch-texts")
+    levels = found.filter("open").join(each.filter("times > 1").select("whole", "n").hint("merge"), ["whole", "n"]).select("h_id", "h_row", "level")
+    each = each.select("one.doc_id", "one.row", F.struct("one.lo", "n", "whole", "one.h_id", "one.h_row", (F.col("one.open") & (F.col("times") == 1)).alias("open")).alias("range"))
+    return levels, materialize(_cut(docs, each.groupBy("doc_id", "row").agg(F.collect_list("range").alias("ranges"))), "stretch-texts")
 
 
 def longest_levels(docs: DataFrame, lists: DataFrame, least: int) -> DataFrame:
-    """doc_id, tkey, longest: the last length of the doubling at which a window of the document repeats.
+    """doc_id, row, longest: the last length of the doubling at which a window of the document repeats.
 
     Windows that repeat at one length alone are extended to twice that length, until no candidates survive. lists has
     the windows of `least` words that repeat, as `ranges` per document. From one length to the next only stretches of
     such windows travel, one of each kind; a stretch that comes twice as a whole, a copied document above all, needs no
     doubling and stays only for others to be met with.
     """
-    levels, length = [lists.select(F.col("doc_id").alias("h_id"), F.col("tkey").alias("h_key"), F.lit(least).cast("long").alias("level"))], least
-    docs = docs.select("doc_id", "tkey", "text", F.col("doc_id").alias("h_id"), F.col("tkey").alias("h_key"), F.lit(True).alias("open"))
+    levels, length = [lists.select(F.col("doc_id").alias("h_id"), F.col("row").alias("h_row"), F.lit(least).cast("long").alias("level"))], least
+    docs = docs.select("doc_id", "row", "text", F.col("doc_id").alias("h_id"), F.col("row").alias("h_row"), F.lit(True).alias("open"))
     more, docs = _settled(docs, lists, length)
     levels.append(more)
     while not docs.filter("open").isEmpty():
         length *= 2
-        lists = _listed(repeated_ranges(docs.select("doc_id", "tkey", "text"), length), "longer")
-        reached = docs.filter("open").join(lists.select("doc_id").hint("merge"), "doc_id").select("h_id", "h_key", F.lit(length).cast("long").alias("level"))
+        lists = _listed(repeated_ranges(docs.select("doc_id", "row", "text"), length), "longer")
+        reached = docs.filter("open").join(lists.select("doc_id").hint("merge"), "doc_id").select("h_id", "h_row", F.lit(length).cast("long").alias("level"))
         more, docs = _settled(docs, lists, length)
         levels += [reached, more]
-    best = reduce(DataFrame.unionByName, levels).groupBy("h_id", "h_key").agg(F.max("level").alias("longest"))
-    return materialize(best.withColumnsRenamed({"h_id": "doc_id", "h_key": "tkey"}), "longest")
+    best = reduce(DataFrame.unionByName, levels).groupBy("h_id", "h_row").agg(F.max("level").alias("longest"))
+    return materialize(best.withColumnsRenamed({"h_id": "doc_id", "h_row": "row"}), "longest")
 
 
 def _removed(docs: DataFrame, lists: DataFrame, longest: DataFrame, least: int) -> DataFrame:
-    lists = lists.join(longest.hint("merge"), lists["doc_id"].eqNullSafe(longest["doc_id"]) & lists["tkey"].eqNullSafe(longest["tkey"])).select(lists["doc_id"], lists["tkey"], "ranges", "longest")
+    lists = lists.join(longest.hint("merge"), lists["doc_id"].eqNullSafe(longest["doc_id"]) & lists["row"].eqNullSafe(longest["row"])).select(lists["doc_id"], lists["row"], "ranges", "longest")
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch.column(2)):
@@ -267,6 +267,6 @@ def substring_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     that repeat count as copies of each other; of equal windows none is preferred, all go. A null doc_id is like any
     other value. Empty tables give empty tables; columns other than doc_id and text are ignored.
     """
-    docs = keyed(docs)
+    docs = numbered(docs)
     lists = _listed(repeated_ranges(docs, least), "covered")
     return _removed(docs, lists, longest_levels(docs, lists, least), least)

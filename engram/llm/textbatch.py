@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.stages import materialize
+
 #: Bytes of text that are worked on at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -45,10 +47,15 @@ def rest_struct(docs: DataFrame, carry: tuple[str, ...]) -> list[Column]:
     return [F.struct(*(named(docs, c).alias(c) for c in carry)).alias("rest")] if carry else []
 
 
-def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, tkey and text, and the columns to carry along as one struct, `rest`; other columns never travel."""
+def numbered(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, row and text, and the columns to carry along as one struct, `rest`; other columns never travel.
+
+    The rows are written once with their number, so that what is found is joined back to its own row: rows without an
+    id, and rows that repeat one, stay apart, and copies never meet in one group.
+    """
     t = docs["text"].cast("string")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(t).alias("tkey"), t.alias("text"), *rest_struct(docs, carry))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), t.alias("text"), *rest_struct(docs, carry))
+    return materialize(rows, "numbered-rows")
 
 
 def rest_schema(df: DataFrame) -> str:
