@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.operators.evaluation import branch
@@ -49,6 +49,46 @@ def merge_lists(rows: DataFrame, key: str, lists: list[str], order: str) -> Data
     return reduce(lambda a, b: a.join(b.withColumnRenamed(key, "other").hint("merge"), F.col(key).eqNullSafe(F.col("other"))).drop("other"), map(joined, lists))
 
 
+#: Fields that a merge joins as texts, and by what; and those that are lists, in which the first place of an entry counts.
+TEXTS = {"abstract": "；", "problem": "\n\n", "outcome": "\n\n"}
+LISTS = ("actions", "evidence", "sources", "applies")
+
+
+def fold_into_targets(decisions: DataFrame, new: DataFrame, stories: DataFrame) -> DataFrame:
+    """One row per story that new ones are merged into or add to: story_id, the fields, keywords, session_ids and n_merged,
+    n_updated, as if the new stories had come one after another in order of query_id.
+
+    decisions: query_id, branch (others than merge and update are passed over), target. new: query_id, TEXTS, LISTS,
+    keywords, session_id. stories: story_id, TEXTS, LISTS, keywords, session_ids. A merge brings all fields, an update only
+    keywords and its session. Texts are joined where they aren't empty, lists keep the first place of an entry, keywords
+    are sorted. What is gathered for a story is its own result; counts and lists are combined before they are shuffled.
+    """
+    taken = decisions.filter("branch in ('merge', 'update')").select("query_id", F.col("target").alias("story_id"), "branch")
+    place = lambda first, i: F.struct(F.lit(first).alias("late"), i.alias("id")).alias("place")
+    own = stories.join(taken.select("story_id").distinct().hint("merge"), "story_id", "left_semi")
+    own = own.select("story_id", place(0, F.col("story_id")), *TEXTS, *LISTS, "keywords", "session_ids", F.lit("old").alias("branch"))
+    merges = F.col("branch") == "merge"
+    added = new.join(taken.hint("merge"), "query_id").select("story_id", place(1, F.col("query_id")), *(F.when(merges, F.col(c)).alias(c) for c in (*TEXTS, *LISTS)), "keywords", F.array("session_id").alias("session_ids"), "branch")
+    rows = materialize(own.unionByName(added), "fold")
+    said = {c: F.array_sort(F.collect_list(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("place", F.col(c).alias("text"))))) for c in TEXTS}
+    texts = rows.groupBy("story_id").agg(*(F.array_join(F.transform(said[c], lambda x: x["text"]), mark).alias(c) for c, mark in TEXTS.items()), F.count_if(merges).alias("n_merged"), F.count_if(F.col("branch") == "update").alias("n_updated"))
+    lists = merge_lists(rows, "story_id", [*LISTS, "keywords", "session_ids"], "place")
+    return texts.join(lists.hint("merge"), "story_id").withColumn("keywords", F.array_sort("keywords"))
+
+
+def numbered_events(turns: DataFrame, versions: DataFrame) -> DataFrame:
+    """entity_id, operation, base_version, version, session_id of what happened to each entity, in order of session_id.
+
+    turns: entity_id, operation, session_id; a create comes first and makes version 1. versions: entity_id and its version
+    before the turns, or 1 where one of them creates it. An entity's turns are numbered by a window, which spills.
+    """
+    order = Window.partitionBy("entity_id").orderBy(F.col("operation") != "create", "session_id")
+    created = F.max(F.col("operation") == "create").over(Window.partitionBy("entity_id"))
+    placed = turns.withColumns({"n": F.row_number().over(order), "created": created}).join(versions.hint("merge"), "entity_id")
+    at = F.when(F.col("created"), F.col("n")).otherwise(F.col("version") + F.col("n")).cast("long")
+    return placed.select("entity_id", "operation", (at - 1).alias("base_version"), at.alias("version"), "session_id")
+
+
 def split_story(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Children of stories that are split, and their edges: parent to child at 1.0, siblings among themselves at 0.5.
 
@@ -105,7 +145,12 @@ def batch_consolidation(new: DataFrame, stories: DataFrame, params: Params = DEF
 
     new: query_id, vector. Vectors that merges would move within the batch are not moved.
     """
-    decided = materialize(decide(candidates(new, stories, params), params), "decisions")
+    return consolidated(new, candidates(new, stories, params), params)
+
+
+def consolidated(new: DataFrame, found: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """The same with the nearest stories of the store found beforehand; new stories that found none are compared too."""
+    decided = materialize(decide(found, params), "decisions")
     fresh = new.join(decided.filter("branch <> 'create'").select("query_id").hint("merge"), "query_id", "left_anti")
     fresh = materialize(fresh.select("query_id", "vector"), "unmatched")
     links = near_pairs(fresh, params.sim_high)

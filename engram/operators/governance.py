@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.params import DEFAULTS, Params
+from engram.sources.stage_tables import materialize
 
 
 def access_decay(stories: DataFrame, today: Column, half_life: float = 30.0) -> DataFrame:
@@ -94,9 +95,35 @@ def generation_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.exceptAll(new).withColumn("side", F.lit("old")).unionByName(new.exceptAll(old).withColumn("side", F.lit("new")))
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """n, hash of a table, whatever the order of its rows."""
-    return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("hash"))
+def fingerprint(df: DataFrame, by: Sequence[Column] = (), parts: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """n and a hash of the rows of a table, whatever their order, or of each of its groups; with `parts`, a hash for each
+    named set of columns instead. Two hashes of 64 bits are summed, so that what differs doesn't meet by chance."""
+    parts = {"hash": df.columns} if parts is None else parts
+    said = lambda columns: [x for c in columns for x in (F.col(c).isNull(), F.col(c))]  # noqa: E731  (a hash passes over nulls)
+    summed = lambda columns: F.struct(*(F.sum(F.xxhash64(F.lit(i), *said(columns)).cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *(summed(columns).alias(name) for name, columns in parts.items()))
+
+
+def reconcile(old: DataFrame, new: DataFrame, key: str, parts: Mapping[str, Sequence[str]], buckets: int = 4096) -> DataFrame:
+    """key, state (missing, added, changed) and parts (names of those that differ) of the rows by which two generations of
+    a table differ.
+
+    Both are digested by bucket of keys first, which shuffles a row per task and bucket; only rows of buckets that differ,
+    a list of `buckets` at most that is sent to every task, are looked at one by one. Rows that repeat a key are compared
+    as a bag, and differ in their number as in a part of its own, `rows`.
+    """
+    named = {name: [key, *columns] for name, columns in parts.items()}
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
+    side = lambda df, name, by: fingerprint(df, by, named).select("bucket" if by[0] is bucket else key, F.struct("n", *parts).alias(name))
+    different = side(old, "old", [bucket]).join(side(new, "new", [bucket]).hint("merge"), "bucket", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+    different = materialize(different.select(F.col("bucket").alias("different")), "buckets")
+    left = lambda df: df.join(F.broadcast(different), bucket == F.col("different"), "left_semi")
+    o, n = side(left(old), "old", [F.col(key)]).withColumnRenamed(key, "o_key"), side(left(new), "new", [F.col(key)]).withColumnRenamed(key, "n_key")
+    both = o.join(n.hint("merge"), F.col("o_key").eqNullSafe(F.col("n_key")), "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+    state = F.when(F.col("new").isNull(), "missing").when(F.col("old").isNull(), "added").otherwise("changed")
+    differs = [F.when(F.col("old.n") != F.col("new.n"), "rows"), *(F.when(~F.col(f"old.{name}").eqNullSafe(F.col(f"new.{name}")), name) for name in parts)]
+    listed = F.when(F.col("old").isNotNull() & F.col("new").isNotNull(), F.array_compact(F.array(*differs))).otherwise(F.expr("cast(array() as array<string>)"))
+    return both.select(F.coalesce("o_key", "n_key").alias(key), state.alias("state"), listed.alias("parts"))
 
 
 def session_upsert(existing: DataFrame, incoming: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -102,17 +102,57 @@ def normalize(edges: DataFrame, stories: DataFrame) -> DataFrame:
     return canonical(turned).filter("source_id <> target_id").groupBy("source_id", "target_id", "edge_type").agg(F.max("weight").alias("weight"), F.min("deleted").alias("deleted"))
 
 
-def upsert(edges: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Merge edges into the table: largest weight, deleted ones revived; version goes up where anything changed.
+KEY = ("source_id", "target_id", "edge_type")
+
+
+def merged_provenance(rows: DataFrame, order: str) -> DataFrame:
+    """The edge key and provenance: the entries of all rows of an edge as one map, name by name; of the values of one name
+    that with the largest `order` counts, of equal ones the larger value. Edges without entries have no row.
+
+    A value is chosen by an aggregate that is combined before the shuffle, so that an edge gathers its distinct names only.
+    """
+    entries = rows.select(*KEY, F.col(order).alias("at"), F.explode("provenance").alias("name", "value"))
+    last = entries.groupBy(*KEY, "name").agg(F.max(F.struct("at", "value")).alias("last"))
+    return last.groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.col("last.value").alias("value"))))).alias("provenance"))
+
+
+def combine(rows: DataFrame, order: str) -> DataFrame:
+    """One edge per key: the largest weight, deleted only if all are, all provenance (later rows win), and the largest
+    version, one up where several rows have become one.
+
+    rows: source_id, target_id, edge_type, weight, deleted, version, provenance and the column that orders them.
+    """
+    form = canonical(rows)
+    one = form.groupBy(*KEY).agg(F.max("weight").alias("weight"), F.min("deleted").alias("deleted"), (F.max("version") + (F.count("*") > 1).cast("int")).alias("version"))
+    return one.join(merged_provenance(form, order).hint("merge"), list(KEY), "left")
+
+
+def _entries(provenance: Column) -> Column:
+    return F.array_sort(F.map_entries(F.coalesce(provenance, F.expr("cast(map() as map<string,string>)"))))
+
+
+def upsert(edges: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
+    """Merge edges into the table: largest weight, deleted ones revived; version goes up by one where anything changed.
 
     edges: source_id, target_id, edge_type, weight, deleted, version. incoming: source_id, target_id, edge_type, weight.
+    With `order`, both have a map `provenance` too, whose entries are merged name by name: incoming ones win, among them
+    those with the largest `order`. An edge that isn't deleted and gains neither weight nor entries keeps its version.
     """
-    key = ["source_id", "target_id", "edge_type"]
-    new = canonical(incoming).filter("source_id <> target_id").groupBy(*key).agg(F.max("weight").alias("new"))
-    both = edges.join(new.hint("merge"), key, "full_outer")
+    form = canonical(incoming).filter("source_id <> target_id")
+    new = form.groupBy(*KEY).agg(F.max("weight").alias("new"))
+    if order is not None:
+        new = new.join(merged_provenance(form, order).withColumnRenamed("provenance", "added").hint("merge"), list(KEY), "left")
+    both = edges.join(new.hint("merge"), list(KEY), "full_outer")
     weight = F.greatest("weight", "new")
-    changed = F.col("new").isNotNull() & (F.col("weight").isNull() | F.col("deleted") | (F.col("new") > F.col("weight")))
-    return both.select(*key, weight.alias("weight"), F.when(F.col("new").isNotNull(), False).otherwise(F.col("deleted")).alias("deleted"), (F.coalesce("version", F.lit(0)) + changed.cast("int")).alias("version"))
+    gained = F.col("weight").isNull() | F.col("deleted") | (F.col("new") > F.col("weight"))
+    extra = []
+    if order is not None:
+        own = F.filter(_entries(F.col("provenance")), lambda e: ~F.coalesce(F.map_contains_key("added", e["key"]), F.lit(False)))
+        merged = F.array_sort(F.concat(own, _entries(F.col("added"))))
+        gained = gained | (merged != _entries(F.col("provenance")))
+        extra = [F.map_from_entries(merged).alias("provenance")]
+    changed = F.col("new").isNotNull() & gained
+    return both.select(*KEY, weight.alias("weight"), F.when(F.col("new").isNotNull(), False).otherwise(F.col("deleted")).alias("deleted"), (F.coalesce("version", F.lit(0)) + changed.cast("int")).alias("version"), *extra)
 
 
 def reinforce(edges: DataFrame, pairs: DataFrame, step: float = DEFAULTS.weight_step, most: float = DEFAULTS.weight_max) -> DataFrame:

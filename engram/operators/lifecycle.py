@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import vectors
+from engram.operators import governance
+from engram.sources import snapshots
+from engram.sources.stage_tables import materialize
 
 
 def revisions(stories: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -52,6 +55,60 @@ def reembed(pending: DataFrame, vectorise: Callable[[Column], Column], dimension
     return made.select("story_id", "content_hash", F.when(good, F.col("embedding")).alias("embedding"), F.when(good, "ready").otherwise("failed").alias("status"))
 
 
+#: The log of attempts to embed: one row per attempt.
+ATTEMPTS = "story_id long, identity string, content_hash string, status string, embedding array<double>"
+
+
+def attempts_ledger(attempts: DataFrame, identity: str) -> DataFrame:
+    """story_id, content_hash, attempts, status (ready if any attempt was) and embedding under one identity."""
+    own = attempts.filter(F.col("identity") == identity)
+    ready = F.col("status") == "ready"
+    return own.groupBy("story_id", "content_hash").agg(F.count("*").alias("attempts"), F.max(F.when(ready, "ready").otherwise("failed")).alias("status"), F.max_by("embedding", F.when(ready, F.col("state"))).alias("embedding"))
+
+
+def left_to_embed(stories: DataFrame, ledger: DataFrame, most_attempts: int) -> DataFrame:
+    """story_id, content_hash, text of active stories that aren't ready as they are now and may be tried once more.
+
+    stories: story_id, content_hash, text, active. A story whose text has changed starts with no attempts.
+    """
+    done = ledger.filter((F.col("status") == "ready") | (F.col("attempts") >= most_attempts)).select("story_id", "content_hash")
+    return stories.filter("active").join(done.hint("merge"), ["story_id", "content_hash"], "left_anti").select("story_id", "content_hash", "text")
+
+
+def reembed_in_slices(stories: DataFrame, root: str, identity: str, vectorise: Callable[[Column], Column], dimension: int, slices: int = 16, most_attempts: int = 3) -> int:
+    """Embed what is left to embed, slice by slice; every slice is committed to the log of attempts of a store on its own.
+
+    What was committed before an interruption isn't done again: what is left is asked for anew when the job starts, and
+    attempts are counted over all runs. Returns the number of slices that had work.
+    """
+    spark = stories.sparkSession
+    ledger = attempts_ledger(snapshots.log(spark, root, "attempts", ATTEMPTS), identity)
+    left = materialize(left_to_embed(stories, ledger, most_attempts).withColumn("slice", F.pmod(F.xxhash64("story_id"), F.lit(slices)).cast("int")), "left-to-embed")
+    busy = sorted(r["slice"] for r in left.select("slice").distinct().collect())
+    for i in busy:
+        made = reembed(left.filter(F.col("slice") == i), vectorise, dimension)
+        rows = made.select("story_id", F.lit(identity).alias("identity"), "content_hash", "status", F.col("embedding").cast("array<double>").alias("embedding"))
+        snapshots.commit(spark, root, {}, {"attempts": rows})
+    return len(busy)
+
+
+def activate_embeddings(stories: DataFrame, root: str, identity: str, dimension: int) -> bool:
+    """Serve the vectors of an identity once every active story has one: vectors and the identity they are of become
+    current together, or neither does. stories: story_id, content_hash, active."""
+    spark = stories.sparkSession
+    ledger = attempts_ledger(snapshots.log(spark, root, "attempts", ATTEMPTS), identity).withColumn("dimension", F.size("embedding"))
+    ledger = ledger.join(stories.select("story_id", "content_hash").hint("merge"), ["story_id", "content_hash"], "left_semi")
+    gate = governance.backfill_gate(stories, ledger).first()
+    complete = gate["complete"] and gate["n_active"] > 0
+    if not complete:
+        return False
+    ready = stories.filter("active").select("story_id", "content_hash").join(ledger.filter("status = 'ready'").hint("merge"), ["story_id", "content_hash"])
+    vectors_at = snapshots.stage(spark, root, "vectors", ready.select("story_id", "content_hash", "embedding"))
+    identity_at = snapshots.stage(spark, root, "identity", spark.createDataFrame([(identity, dimension)], "identity string, dimension int"))
+    snapshots.activate(spark, root, {"vectors": vectors_at, "identity": identity_at}, complete)
+    return True
+
+
 def identity_mismatch(rows: DataFrame, model: str, dimension: int) -> DataFrame:
     """story_id, reasons: rows whose serving identity isn't that of the index."""
     tests = {"model": F.col("model") != model, "dimension": F.col("dimension") != dimension, "status": F.col("status") != "ready"}

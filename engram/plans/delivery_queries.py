@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions import vectors
-from engram.operators import consolidate, delivery, fusion, lexical
+from engram.operators import consolidate, delivery, fusion, graph, lexical
+from engram.params import DEFAULTS
 from engram.plans import retrieval_queries as R
 from engram.plans import views
 from engram.plans.views import QUERIES_SQL, ctes
@@ -77,6 +80,32 @@ def consolidation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "story_id", "abstract", "problem", "outcome", *(F.array_join(c, ",").alias(c) for c in ("actions", "evidence", "sources", "applies")))
 
 
+def consolidation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All merges and updates of a batch, a row per story: every query comes a second time for a story six further on, so
+    that several of them meet in one story."""
+    s = R.stories(spark, sf_dir).withColumn("label", F.col("label").cast("string"))
+    fields = _detail(s, "query_id").withColumn("query_id", F.col("query_id") - 1)
+    asked = views.queries(spark, sf_dir).select("query_id", F.split("text", " ").alias("keywords"))
+    new = fields.join(asked.hint("merge"), "query_id").withColumn("session_id", F.col("query_id") + 1000000)
+    again = new.withColumn("query_id", F.col("query_id") + 5)
+    decided = _decided(spark, sf_dir).select("query_id", "branch", "target")
+    twice = decided.unionByName(decided.select((F.col("query_id") + 5).alias("query_id"), F.when(F.col("branch") == "update", "merge").otherwise(F.col("branch")).alias("branch"), "target"))
+    old = _detail(s, "story_id").join(s.select("story_id", F.array("lang", "source").alias("keywords"), F.array("story_id").alias("session_ids")).hint("merge"), "story_id")
+    out = consolidate.fold_into_targets(twice, new.unionByName(again), old)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return out.select("story_id", *consolidate.TEXTS, *map(joined, (*consolidate.LISTS, "keywords", "session_ids")), "n_merged", "n_updated")
+
+
+def consolidation_reinforce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges after the merges and updates of a batch: those of a target to the other stories that were near are stronger."""
+    found = consolidate.candidates(views.queries(spark, sf_dir), R.stories(spark, sf_dir), dataclasses.replace(DEFAULTS, sim_low=0.2))
+    pairs = consolidate.update_pairs(found, consolidate.decide(found))
+    near = found.filter("rank <= 5").select("query_id", "story_id")
+    ties = near.filter("query_id <> story_id").select(F.least("query_id", "story_id").alias("source_id"), F.greatest("query_id", "story_id").alias("target_id")).distinct()
+    edges = ties.select((F.col("source_id") * 1000000 + F.col("target_id")).alias("edge_id"), "source_id", "target_id", F.lit("semantic").alias("edge_type"), F.lit(0.3).alias("weight"), F.lit(False).alias("deleted"))
+    return graph.reinforce(edges, pairs).select("edge_id", F.round("weight", 6).alias("weight"))
+
+
 def fallback_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.frame(spark, sf_dir, "sessions")
     known = F.when(F.col("conv_id") % 4 == 0, F.array(F.lit("known"))).otherwise(F.expr("cast(array() as array<string>)"))
@@ -144,6 +173,22 @@ SELECT story_id, string_agg(w, ',' ORDER BY w) AS keywords, concat(story_id, ','
 SELECT query_id, d.story_id, {_JOINED('abstract', "'；'")} AS abstract, {_JOINED('problem', 'concat(chr(10), chr(10))')} AS problem, {_JOINED('outcome', 'concat(chr(10), chr(10))')} AS outcome, {_SET('a.lang', 'b.lang')} AS actions,
 concat(a.source, ',', a.lang, CASE WHEN b.source = a.source THEN '' ELSE concat(',', b.source) END, CASE WHEN b.lang = a.lang THEN '' ELSE concat(',', b.lang) END) AS evidence, {_SET('a.source', 'b.source')} AS sources, {_SET('a.label', 'b.label')} AS applies
 FROM decided d JOIN f a ON a.story_id = d.story_id JOIN f b ON b.story_id = query_id + 1 WHERE branch = 'merge'""",
+    "consolidation_fold": f"""{_N}, f AS (SELECT story_id, substr(abstract, 1, 80) AS abstract, CASE WHEN story_id % 3 > 0 THEN title ELSE '' END AS problem, CASE WHEN story_id % 2 > 0 THEN substr(content, 10, 30) END AS outcome, lang, source, label::VARCHAR AS label FROM stories),
+taken AS (SELECT query_id, query_id AS origin, branch, story_id AS target FROM decided WHERE branch <> 'create' UNION ALL SELECT query_id + 5, query_id, CASE WHEN branch = 'update' THEN 'merge' ELSE branch END, story_id FROM decided WHERE branch <> 'create'),
+parts AS (SELECT story_id, -1 AS place, abstract, problem, outcome, [lang] AS actions, [source, lang] AS evidence, [source] AS sources, [label] AS applies, [lang, source] AS keywords, story_id AS session_id, 'old' AS branch FROM f WHERE story_id IN (SELECT target FROM taken)
+  UNION ALL SELECT b.target, b.query_id, CASE WHEN b.branch = 'merge' THEN f.abstract END, CASE WHEN b.branch = 'merge' THEN f.problem END, CASE WHEN b.branch = 'merge' THEN f.outcome END, CASE WHEN b.branch = 'merge' THEN [f.lang] END, CASE WHEN b.branch = 'merge' THEN [f.source, f.lang] END,
+    CASE WHEN b.branch = 'merge' THEN [f.source] END, CASE WHEN b.branch = 'merge' THEN [f.label] END, string_split(q.text, ' '), b.origin + 1000000, b.branch
+  FROM taken b JOIN f ON f.story_id = b.origin + 1 JOIN queries q ON q.query_id = b.origin),
+{", ".join(f"{c}_items AS (SELECT story_id, v, min(place * 10 + i) AS first FROM (SELECT story_id, place, unnest({c}) AS v, generate_subscripts({c}, 1) AS i FROM parts) WHERE v IS NOT NULL GROUP BY story_id, v), {c}_lists AS (SELECT story_id, string_agg(v, ',' ORDER BY {'v' if c == 'keywords' else 'first'}) AS {c} FROM {c}_items GROUP BY story_id)" for c in ("actions", "evidence", "sources", "applies", "keywords"))},
+ids AS (SELECT story_id, string_agg(session_id, ',' ORDER BY place) AS session_ids FROM (SELECT story_id, session_id, min(place) AS place FROM parts GROUP BY ALL) GROUP BY story_id),
+texts AS (SELECT story_id, {", ".join(f"coalesce(string_agg({c}, {mark} ORDER BY place) FILTER (WHERE {c} <> ''), '') AS {c}" for c, mark in (("abstract", "'；'"), ("problem", "chr(10) || chr(10)"), ("outcome", "chr(10) || chr(10)")))},
+  count(*) FILTER (WHERE branch = 'merge') AS n_merged, count(*) FILTER (WHERE branch = 'update') AS n_updated FROM parts GROUP BY story_id)
+SELECT t.*, coalesce(actions, '') AS actions, coalesce(evidence, '') AS evidence, coalesce(sources, '') AS sources, coalesce(applies, '') AS applies, keywords, session_ids
+FROM texts t LEFT JOIN actions_lists USING (story_id) LEFT JOIN evidence_lists USING (story_id) LEFT JOIN sources_lists USING (story_id) LEFT JOIN applies_lists USING (story_id) JOIN keywords_lists USING (story_id) JOIN ids USING (story_id)""",
+    "consolidation_reinforce": f"""{_N}, found AS (SELECT * FROM vector_lane WHERE rank <= 5),
+ties AS (SELECT DISTINCT least(query_id, story_id) AS a, greatest(query_id, story_id) AS b FROM found WHERE query_id <> story_id),
+pairs AS (SELECT least(d.story_id, o.story_id) AS a, greatest(d.story_id, o.story_id) AS b, count(*) AS n FROM decided d JOIN found o USING (query_id) WHERE branch <> 'create' AND o.similarity >= 0.2 AND o.story_id <> d.story_id GROUP BY ALL)
+SELECT a * 1000000 + b AS edge_id, round(CASE WHEN n IS NULL THEN 0.3 ELSE least(1.0, 0.3 + 0.1 * n) END, 6)::DOUBLE AS weight FROM ties LEFT JOIN pairs USING (a, b)""",
     "fallback_keywords": rf"WITH {ctes('sessions')} SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'known' ELSE array_to_string(regexp_extract_all(coalesce(problem_desc, ''), '[^ \t\n\x0B\f\r]+')[1:5], ',') END AS keywords FROM sessions",
     "split_audit": f"""WITH {ctes('stories')}, p AS (SELECT story_id, len(string_split(content, chr(10))) AS n FROM stories)
 SELECT story_id, n::BIGINT AS child_count, n >= 2 AS triggered, story_id % 11 <> 0 AS parent_vector_removed, story_id % 10 <> 7 AS edges_ok, n <= 3 AS vectors_ok FROM p""",

@@ -63,10 +63,16 @@ def edge_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with where they come from; two incoming ones may be the same edge from its two ends."""
     edges = _edges(spark, sf_dir)
-    incoming = edges.filter("edge_id % 3 = 0").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "edge_type", (F.col("weight") + 0.2).alias("weight"))
-    base = edges.filter("edge_id % 5 <> 0").withColumn("version", F.lit(1).cast("long"))
-    return graph.upsert(graph.canonical(base).groupBy("source_id", "target_id", "edge_type").agg(F.max("weight").alias("weight"), F.min("deleted").alias("deleted"), F.max("version").alias("version")), incoming).withColumn("weight", F.round("weight", 6))
+    text = lambda c: c.cast("string")
+    made = lambda *pairs: F.map_filter(F.create_map(*(x for name, value in pairs for x in (F.lit(name), value))), lambda k, v: v.isNotNull())
+    base = edges.filter("edge_id % 5 <> 0").withColumn("version", F.lit(1).cast("long")).withColumn("provenance", made(("by", text(F.col("edge_id") % 4)), ("source", F.when(F.col("edge_id") % 2 == 0, F.lit("import")))))
+    ends = edges.filter("edge_id % 3 = 0").select("edge_id", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "edge_type", (F.col("weight") + F.when(F.col("edge_id") % 7 == 0, 0.0).otherwise(0.2)).alias("weight"))
+    incoming = ends.withColumn("provenance", made(("by", F.when(F.col("edge_id") % 4 > 0, text(F.col("edge_id") % 8))), ("run", F.when(F.col("edge_id") % 11 == 0, F.lit("r")))))
+    out = graph.upsert(graph.combine(base, "edge_id"), incoming, "edge_id")
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("provenance")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return out.withColumn("weight", F.round("weight", 6)).withColumn("provenance", said)
 
 
 def edge_reinforce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,10 +143,13 @@ SELECT * FROM (SELECT * FROM reached QUALIFY row_number() OVER (PARTITION BY see
     "edge_normalize": f"""{_BASE}, odd AS (SELECT edge_id, CASE WHEN edge_id % 9 = 0 THEN 'semantic' ELSE edge_type END AS edge_type, CASE WHEN edge_id % 7 = 0 THEN weight + 0.5 ELSE weight END AS weight, deleted, source_id, target_id FROM edges),
 form AS ({_canon("odd", ", deleted")})
 SELECT source_id, target_id, edge_type, max(weight) AS weight, bool_and(deleted) AS deleted FROM form GROUP BY source_id, target_id, edge_type""",
-    "edge_upsert": f"""{_BASE}, base AS (SELECT source_id, target_id, edge_type, max(weight) AS weight, bool_and(deleted) AS deleted FROM ({_canon("(SELECT * FROM edges WHERE edge_id % 5 <> 0)", ", deleted")}) GROUP BY source_id, target_id, edge_type),
-fresh AS (SELECT source_id, target_id, edge_type, max(weight) AS new FROM ({_canon("(SELECT target_id AS source_id, source_id AS target_id, edge_type, weight + 0.2::DOUBLE AS weight FROM edges WHERE edge_id % 3 = 0)")}) GROUP BY source_id, target_id, edge_type)
+    "edge_upsert": f"""{_BASE}, base_rows AS ({_canon("(SELECT * FROM edges WHERE edge_id % 5 <> 0)", ", deleted, edge_id, (edge_id % 4)::VARCHAR AS who, CASE WHEN edge_id % 2 = 0 THEN 'import' END AS source")}),
+base AS (SELECT source_id, target_id, edge_type, max(weight) AS weight, bool_and(deleted) AS deleted, 1 + (count(*) > 1)::INT AS version, arg_max(who, edge_id) AS who, max(source) AS source FROM base_rows GROUP BY source_id, target_id, edge_type),
+fresh_rows AS ({_canon("(SELECT edge_id, target_id AS source_id, source_id AS target_id, edge_type, weight + CASE WHEN edge_id % 7 = 0 THEN 0 ELSE 0.2 END::DOUBLE AS weight FROM edges WHERE edge_id % 3 = 0)", ", edge_id")}),
+fresh AS (SELECT source_id, target_id, edge_type, max(weight) AS new, arg_max((edge_id % 8)::VARCHAR, edge_id) FILTER (WHERE edge_id % 4 > 0) AS who, max(CASE WHEN edge_id % 11 = 0 THEN 'r' END) AS run FROM fresh_rows GROUP BY source_id, target_id, edge_type)
 SELECT coalesce(b.source_id, f.source_id) AS source_id, coalesce(b.target_id, f.target_id) AS target_id, coalesce(b.edge_type, f.edge_type) AS edge_type, round(greatest(b.weight, f.new), 6) AS weight, CASE WHEN f.new IS NOT NULL THEN false ELSE b.deleted END AS deleted,
-  CASE WHEN b.weight IS NULL THEN 1 WHEN f.new IS NOT NULL AND (b.deleted OR f.new > b.weight) THEN 2 ELSE 1 END AS version
+  (coalesce(b.version, 0) + CASE WHEN f.new IS NOT NULL AND (b.weight IS NULL OR b.deleted OR f.new > b.weight OR f.who <> b.who OR f.run IS NOT NULL) THEN 1 ELSE 0 END)::BIGINT AS version,
+  concat_ws(';', 'by=' || coalesce(f.who, b.who), 'run=' || f.run, 'source=' || b.source) AS provenance
 FROM base b FULL JOIN fresh f ON b.source_id = f.source_id AND b.target_id = f.target_id AND b.edge_type = f.edge_type""",
     "edge_reinforce": f"""{_LISTS}, {_PAIRS_SQL}, chosen AS (SELECT edge_id FROM edges JOIN pairs ON least(source_id, target_id) = a AND greatest(source_id, target_id) = b WHERE NOT deleted
     QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY edge_type <> 'semantic', weight DESC, edge_id) = 1)

@@ -61,9 +61,14 @@ def _messages(rows: DataFrame, role: Column, text: Column, external: Column, tit
 
 def read_rollouts(spark: SparkSession, path: str) -> DataFrame:
     """Rollout JSONL: a session_meta record with the id, response items, tool calls and a few events."""
+    return rollout_sessions(complete_lines(spark, path))
+
+
+def rollout_sessions(lines: DataFrame) -> DataFrame:
+    """The same from lines (file, place, line) that have been read."""
     schema = "type string, payload string"
     payload = "id string, session_id string, type string, role string, name string, content string"
-    rows = complete_lines(spark, path).withColumn("r", F.from_json("line", schema)).withColumn("p", F.from_json("r.payload", payload))
+    rows = lines.withColumn("r", F.from_json("line", schema)).withColumn("p", F.from_json("r.payload", payload))
     broken = F.col("r.payload").isNull() | ~F.startswith(F.ltrim("r.payload"), F.lit("{"))
     kind, part = F.col("r.type"), F.col("p.type")
     spoken = (kind == "response_item") & (part == "message") & F.col("p.role").isin("user", "assistant")
