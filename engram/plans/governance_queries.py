@@ -17,6 +17,20 @@ def _v(name: str):
     return lambda spark, sf_dir: views.frame(spark, sf_dir, name)
 
 
+def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories against a generation in which some are missing, some are new and some differ in one part or in two."""
+    i = F.col("story_id")
+    parent = views.frame(spark, sf_dir, "story_state").select("story_id", "parent_id")
+    s = views.frame(spark, sf_dir, "stories").join(parent.hint("merge"), "story_id").select("story_id", "title", "content", "source", "parent_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    moved = s.filter(i % 31 != 0).withColumns({
+        "title": F.when(i % 29 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")), "parent_id": F.when(i % 19 == 0, i).otherwise(F.col("parent_id")),
+        "embedding": F.when(i % 23 == 0, F.reverse("embedding")).otherwise(F.col("embedding")),
+    })
+    new = moved.unionByName(s.filter(i % 37 == 0).withColumn("story_id", i + 1000000))
+    out = governance.reconcile(s, new, "story_id", {"content": ("title", "content"), "relations": ("source", "parent_id"), "vectors": ("embedding",)})
+    return out.select("story_id", "state", F.array_join("parts", ",").alias("parts"))
+
+
 _state, _edges, _events, _diag = _v("story_state"), _v("edges"), _v("memory_events"), _v("diagnostics")
 
 
@@ -208,6 +222,9 @@ _METRICS = f"""WITH {R._PAIRS}, {R.FUSED}, per AS (SELECT query_id, count(*) AS
 metrics AS (SELECT p.query_id, p.lang, {', '.join(f"round(CASE WHEN first <= {k} THEN 1.0 ELSE 0.0 END, 6)::DOUBLE AS recall_{k}, round(coalesce(CASE WHEN first <= {k} THEN 1.0 ELSE 0.0 END / least(n, {k}), 0), 6)::DOUBLE AS precision_{k}" for k in (1, 3, 5))}, round(coalesce(1.0 / first, 0), 6)::DOUBLE AS mrr FROM query_pairs p LEFT JOIN per USING (query_id))"""
 
 SQL = {
+    "reconciliation": f"""WITH {ctes('stories', 'story_state')}, s AS (SELECT story_id, embedding IS NOT NULL AS has, parent_id, title IS NOT NULL AS named FROM stories JOIN (SELECT story_id, parent_id FROM story_state) USING (story_id)),
+d AS (SELECT story_id, concat_ws(',', CASE WHEN story_id % 29 = 0 AND named THEN 'content' END, CASE WHEN story_id % 19 = 0 THEN 'relations' END, CASE WHEN story_id % 23 = 0 AND has THEN 'vectors' END) AS parts FROM s WHERE story_id % 31 <> 0)
+SELECT story_id, 'missing' AS state, '' AS parts FROM s WHERE story_id % 31 = 0 UNION ALL SELECT story_id, 'changed', parts FROM d WHERE parts <> '' UNION ALL SELECT story_id + 1000000, 'added', '' FROM s WHERE story_id % 37 = 0""",
     "access_decay": f"""{_S}, aged AS (SELECT story_id, access_count, access_count * pow(0.5, greatest(0, date_diff('day', last_day, DATE '{TODAY}')) / 30.0) AS score FROM story_state)
 SELECT story_id, round(score, 6) AS access_score, CAST(round_even(score, 0) AS BIGINT) AS new_count, CAST(round_even(score, 0) AS BIGINT) <> access_count AS changed FROM aged""",
     "archive_candidates": f"""WITH {ctes('story_state', 'edges_aged')}, {_HEAVY.format('edges_aged')}, active AS (SELECT * FROM story_state WHERE NOT deleted AND NOT archived)
