@@ -69,6 +69,7 @@ def _ended(text: Column, chars: Column) -> Column:
 
 
 def _entry(similarity: Column, title: Column, excerpt: Column) -> Column:
+    """Fixed format: the line of a briefing's entry and the indent of its excerpt, which budgets are counted by."""
     head = F.concat(F.lit("• ["), F.bround(similarity * 100).cast("int").cast("string"), F.lit("%] "), title)
     return F.when(excerpt != "", F.concat(head, F.lit("\n  "), F.replace(excerpt, F.lit("\n"), F.lit("\n  ")))).otherwise(head)
 

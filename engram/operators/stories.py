@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import context as C
@@ -84,3 +84,25 @@ def normalize_sources(rows: DataFrame) -> DataFrame:
     bound = F.array_distinct(F.transform("sources", lambda s: F.struct(F.coalesce(s["session_id"], only).alias("session_id"), s["evidence"].alias("evidence"))))
     missing = F.array_except("session_ids", F.transform(bound, lambda s: s["session_id"]))
     return rows.select("story_id", F.concat(bound, F.transform(missing, lambda i: F.struct(i.alias("session_id"), F.lit(None).cast("string").alias("evidence")))).alias("sources"))
+
+
+def reaching(rows: DataFrame, key: str, place: str, line: str, cap: int) -> DataFrame:
+    """rows with `reaches`, whether a line can be part of the head or tail of its key's transcript, and `chars`, the length
+    of all lines joined. Both come from running sums over sorted rows, which spill; null lines don't count."""
+    size = F.coalesce(F.length(line) + 1, F.lit(0)).cast("long")
+    order = Window.partitionBy(key).orderBy(place, line)
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("size", size).withColumns({"before": before, "chars": F.sum("size").over(Window.partitionBy(key).orderBy(place, line).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - 1})
+    after = F.col("chars") + 1 - F.col("before") - F.col("size")
+    half = cap // 2
+    reaches = F.col(line).isNotNull() & ((F.col("chars") <= cap) | (F.col("before") < half) | (after < half))
+    return placed.withColumn("reaches", reaches).drop("size", "before")
+
+
+def transcript(place: str, line: str, cap: int) -> Column:
+    """An aggregate over rows of `reaching`: the lines in order, or head and tail of a long transcript around a mark. No
+    more lines are gathered than these hold."""
+    lines = F.array_sort(F.collect_list(F.when(F.col("reaches"), F.struct(place, line))))
+    joined = F.array_join(F.transform(lines, lambda x: x[line]), "\n")
+    half = cap // 2
+    return F.when(F.max("chars") > cap, F.concat(F.substring(joined, 1, half), F.lit("\n...\n"), F.right(joined, F.lit(half)))).otherwise(joined)

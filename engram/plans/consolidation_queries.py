@@ -103,10 +103,10 @@ def repo_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transcript_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as bounded transcripts with first question and last answer."""
-    turns = _table(spark, sf_dir, "conversations")
-    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("["), "role", F.lit("] "), "text").alias("line"))))
-    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("whole"))
-    return whole.join(views.frame(spark, sf_dir, "sessions").hint("merge"), "conv_id").select("conv_id", T.bounded(F.col("whole"), DEFAULTS.transcript_chars).alias("transcript"), "problem_desc", "conclusion")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("["), "role", F.lit("] "), "text").alias("line"))
+    cap = DEFAULTS.transcript_chars
+    whole = stories.reaching(turns, "conv_id", "turn", "line", cap).groupBy("conv_id").agg(stories.transcript("turn", "line", cap).alias("transcript"))
+    return whole.join(views.frame(spark, sf_dir, "sessions").hint("merge"), "conv_id").select("conv_id", "transcript", "problem_desc", "conclusion")
 
 
 def cwd_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +114,11 @@ def cwd_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", C.cwd_to_query(F.when(F.col("page_id") % 2 == 0, F.concat(path, F.element_at(F.array(*map(F.lit, ("/src/.cache", "/app/usr", "/packages/node_modules", "/main/LIB", "/user/etc"))), (F.col("page_id") % 5 + 1).cast("int")))).otherwise(path)).alias("query"))
 
 
+#: Directory names that say nothing about a project, for the other engine.
+_GENERIC = """
+    'src', 'code', 'app', 'apps', 'application', 'applications', 'project', 'projects', 'workspace', 'workspaces', 'work', 'home', 'users', 'usr', 'var', 'tmp', 'temp', 'dev', 'etc',
+    'bin', 'lib', 'libs', 'dist', 'build', 'out', 'node_modules', 'packages', 'main', 'master', 'trunk'
+"""
 _N = f"WITH {R._PAIRS}, {R.VECTOR_LANE}"
 _FOUND = "found AS (SELECT *, CASE WHEN similarity >= 0.85 THEN 'high' WHEN similarity >= 0.75 THEN 'low' ELSE 'none' END AS band FROM vector_lane WHERE rank <= 5), decided AS (SELECT query_id, similarity, story_id, CASE WHEN similarity >= 0.92 THEN 'update' WHEN similarity >= 0.85 THEN 'merge' ELSE 'create' END AS branch FROM vector_lane WHERE rank = 1)"
 _REDACT = "text"
@@ -145,7 +150,7 @@ SELECT story_id, round((CASE WHEN NOT even THEN 0 WHEN met THEN 0.12 ELSE -0.20
     "transcript_assembly": f"""WITH {ctes('sessions')}, w AS (SELECT conv_id, string_agg(concat('[', role, '] ', text), chr(10) ORDER BY turn, text) AS whole FROM conversations GROUP BY conv_id)
 SELECT conv_id, CASE WHEN length(whole) > 6000 THEN concat(substr(whole, 1, 3000), chr(10), '...', chr(10), right(whole, 3000)) ELSE whole END AS transcript, problem_desc, conclusion FROM w JOIN sessions USING (conv_id)""",
     "cwd_queries": f"""WITH p AS (SELECT page_id, list_filter(string_split(CASE WHEN page_id % 2 = 0 THEN concat(regexp_replace(url, '^[a-z]+:/', ''), ['/src/.cache', '/app/usr', '/packages/node_modules', '/main/LIB', '/user/etc'][page_id % 5 + 1]) ELSE regexp_replace(url, '^[a-z]+:/', '') END, '/'), lambda x: x <> '') AS parts FROM pages),
-n AS (SELECT page_id, parts, list_filter(parts, lambda x: NOT starts_with(x, '.') AND NOT regexp_full_match(lower(x), 'src|code|apps?|applications?|projects?|workspaces?|work|home|users|usr|var|te?mp|dev|etc|bin|libs?|dist|build|out|node_modules|packages|main|master|trunk')) AS named FROM p) SELECT page_id, translate(coalesce(named[-1], parts[-1]), '-_', '  ') AS query FROM n""",
+n AS (SELECT page_id, parts, list_filter(parts, lambda x: NOT starts_with(x, '.') AND lower(x) NOT IN ({_GENERIC})) AS named FROM p) SELECT page_id, translate(coalesce(named[-1], parts[-1]), '-_', '  ') AS query FROM n""",
 }
 
 QUERIES = {name: globals()[name] for name in SQL}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from engram import schemas
 from engram.functions import text as T
+from engram.operators import stories
 from engram.params import DEFAULTS
 
 _BLOCKS = "array<struct<type:string,text:string>>"
@@ -45,10 +46,10 @@ def assemble(messages: DataFrame, cap: int = DEFAULTS.transcript_chars) -> DataF
     """
     shown = F.col("text").isNotNull() & (F.col("text") != "")
     first = lambda c, test: F.min_by(F.when(test, F.col(c)), F.when(test, F.col("place")))
-    lines = F.array_sort(F.collect_list(F.when(shown, F.struct("place", F.concat(F.lit("["), "role", F.lit("] "), "text").alias("line")))))
-    out = messages.groupBy("file").agg(
+    lines = messages.withColumn("line", F.when(shown, F.concat(F.lit("["), "role", F.lit("] "), "text")))
+    out = stories.reaching(lines, "file", "place", "line", cap).groupBy("file").agg(
         first("external_id", F.col("external_id").isNotNull()).alias("external_id"), first("title", F.col("title").isNotNull()).alias("title"),
-        T.bounded(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), cap).alias("raw_content"),
+        stories.transcript("place", "line", cap).alias("raw_content"),
         first("text", shown & (F.col("role") == "user")).alias("asked"), F.max_by(F.when(shown & (F.col("role") == "assistant"), F.col("text")), F.when(shown & (F.col("role") == "assistant"), F.col("place"))).alias("answered"),
         F.sum(F.col("invalid").cast("long")).alias("n_invalid"),
     )
