@@ -1,10 +1,11 @@
 """Source divergence audit by chunk factorization.
 
 White space never stands inside a term, so a text is first cut into white-space chunks, which are counted per document
-inside the tasks. Every globally distinct chunk is then tokenised once, and its terms are joined back to the counts.
-How many documents hold a term lies between the most that hold one of its chunks and the sum over its chunks; only where
-the bound of `min_docs` lies between the two do documents meet one another again, and such chunks are rare by then, so
-that a word of all documents never stands in one group of rows.
+inside the tasks. Every globally distinct chunk is then tokenised once, and what its terms are is joined back to the counts.
+How many documents hold a term lies between the most that hold one of its chunks and the sum over its chunks, which rules
+out nearly all terms. Only chunks of the terms that are left are counted by source, and only where the bound of `min_docs`
+lies between the two do documents meet one another again; such chunks are rare, so that a word of all documents never
+stands in one group of rows.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from engram.llm.textbatch import SPACE_LUT, map_batches, slices
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that are counted together before they are emitted.
-_SLICE = 4 << 20
-#: The most frequent chunks that a task passes over when it looks for rare ones; the list is sent to every task.
+_SLICE = 8 << 20
+#: The most frequent chunks, which no task takes for rare ones; the list is sent to every task.
 _COMMON, _COMMON_BYTES = 4096, 64
+#: Bits that a wanted chunk has in the map that is sent to the tasks, and the map's largest size (32 MB).
+_BITS_EACH, _MOST_BITS = 32, 1 << 28
 #: Cells (source and term) of one block of terms, and sources of one tile.
 _BLOCK, _TILE = 20_000, 128
 #: Groups up to this number are sent to every task.
@@ -52,75 +55,104 @@ def _chunks(column: pa.Array) -> Iterator[tuple[range, pa.Array, np.ndarray, np.
         yield part.rows, coded.dictionary, pair // size, pair % size, n
 
 
-def _count_chunks(batch: pa.RecordBatch) -> Iterator[pa.Table]:
-    langs, sources = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
-    groups = langs.indices.to_numpy().astype(np.int64) * max(len(sources.dictionary), 1) + sources.indices.to_numpy()
-    for rows, chunks, owner, code, n in _chunks(batch.column("text")):
-        if not len(owner):
-            continue
-        size = len(chunks)
-        cell, at, docs = np.unique(groups[rows.start : rows.stop][owner] * size + code, return_inverse=True, return_counts=True)
-        total = np.zeros(len(cell), dtype=np.int64)
-        np.add.at(total, at, n)
-        group = cell // size
-        yield pa.table({
-            "lang": langs.dictionary.take(pa.array(group // len(sources.dictionary))),
-            "source": sources.dictionary.take(pa.array(group % len(sources.dictionary))),
-            "chunk": chunks.take(pa.array(cell % size)).cast(pa.string()),
-            "docs": docs.astype(np.int64),
-            "n": total,
-        })
-
-
-def chunk_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, chunk, docs (documents of the group that hold the chunk) and n (its occurrences there)."""
-    counted = map_batches(docs, _count_chunks, "lang string, source string, chunk string, docs long, n long")
-    return counted.groupBy("lang", "source", "chunk").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-
-
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """chunk, term, k: the terms of every distinct chunk, and how often each is in it."""
+def _documents_of_chunks(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+    langs = batch.column("lang").dictionary_encode()
+    lang_of = langs.indices.to_numpy().astype(np.int64)
+    for rows, chunks, owner, code, _ in _chunks(batch.column("text")):
+        if len(owner):
+            cell, docs = np.unique(lang_of[rows.start : rows.stop][owner] * len(chunks) + code, return_counts=True)
+            yield pa.table({"lang": langs.dictionary.take(pa.array(cell // len(chunks))), "chunk": chunks.take(pa.array(cell % len(chunks))).cast(pa.string()), "docs": docs.astype(np.int64)})
+
+
+def chunk_terms(docs: DataFrame) -> DataFrame:
+    """chunk, terms (in order, repeats included) and langs (lang and docs, the documents that hold the chunk): a row per
+    distinct chunk. What a slice of a task has counted goes straight to where its chunk is gathered and tokenised."""
+    counted = map_batches(docs.select("lang", "text"), _documents_of_chunks, "lang string, chunk string, docs long").repartition("chunk")
+    summed = counted.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"))
     found = F.regexp_extract_all(F.translate("chunk", _UPPER, _LOWER), F.lit(TERM), F.lit(0))
-    return chunks.select("chunk").distinct().select("chunk", F.explode(found).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("k"))
+    return summed.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs")).select("chunk", found.alias("terms"), "langs")
+
+
+def _hashes(column: pa.Array) -> np.ndarray:
+    parts = [part.word_hashes(part.off[:-1], part.off[1:]) for part in slices(column)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+class ChunkMap:
+    """A bit for the hash of every wanted chunk: false means that a chunk isn't wanted, true that it may be."""
+
+    def __init__(self, chunks: DataFrame):
+        wanted = chunks.count() * _BITS_EACH
+        self.bits = min(_MOST_BITS, 1 << max(16, wanted.bit_length()))
+        bits = self.bits
+
+        def work(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            at = np.unique(_hashes(batch.column("chunk")) & np.uint64(bits - 1))
+            word, bit = at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
+            lead = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+            yield pa.table({"word": word[lead].astype(np.int64), "bits": (np.bitwise_or.reduceat(bit, lead) if len(lead) else bit).view(np.int64)})
+
+        held = map_batches(chunks.select("chunk"), work, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        self.words = np.zeros(bits // 64, dtype=np.uint64)
+        self.words[held.column("word").to_numpy()] = held.column("bits").to_numpy().view(np.uint64)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & np.uint64(self.bits - 1)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _rare_chunks(docs: DataFrame, common: list[tuple[str, str]]) -> DataFrame:
-    """row, lang, chunk: the chunks of every document beside the common ones."""
-    by_lang: dict[str, list[str]] = {}
-    for lang, chunk in common:
-        by_lang.setdefault(lang, []).append(chunk)
+def _counted_again(docs: DataFrame, wanted: ChunkMap, rare: ChunkMap, common: list[str]) -> DataFrame:
+    """row, lang, source, chunk, n: occurrences of wanted chunks, by slice (row -1), and by document where they are rare."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.Table]:
-        langs = batch.column("lang").dictionary_encode()
-        lang_of = langs.indices.to_numpy()
-        for rows, chunks, owner, code, _ in _chunks(batch.column("text")):
-            drop = np.zeros((len(langs.dictionary), len(chunks)), dtype=bool)
-            for i, lang in enumerate(langs.dictionary.to_pylist()):
-                if lang in by_lang:
-                    drop[i] = pc.is_in(chunks.cast(pa.string()), pa.array(by_lang[lang])).to_numpy(zero_copy_only=False)
-            stays = ~drop[lang_of[rows.start : rows.stop][owner], code]
-            owner, code = pa.array(owner[stays] + rows.start), pa.array(code[stays])
-            yield pa.table({"row": batch.column("row").take(owner), "lang": batch.column("lang").take(owner), "chunk": chunks.take(code).cast(pa.string())})
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "lang", "text")
-    return map_batches(numbered, work, "row long, lang string, chunk string")
-
-
-def kept_terms(docs: DataFrame, counts: DataFrame, terms: DataFrame, min_docs: int) -> DataFrame:
-    """lang, term: what at least min_docs documents of a language hold."""
-    by_lang = materialize(counts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs")), "chunk-documents")
-    joined = by_lang.join(terms.hint("merge"), "chunk").select("lang", "chunk", "term", "docs")
-    bounds = materialize(joined.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most")).filter(F.col("most") >= min_docs), "term-bounds")
-    sure = bounds.filter(F.col("least") >= min_docs).select("lang", "term")
-    open_ = bounds.filter(F.col("least") < min_docs).select("lang", "term")
-    open_chunks = materialize(joined.join(open_.hint("merge"), ["lang", "term"]).select("lang", "chunk", "term"), "open-chunks")
-    if open_chunks.isEmpty():
-        return sure
-    short = (F.col("docs") >= min_docs) & (F.octet_length("chunk") <= _COMMON_BYTES)
-    common = by_lang.filter(short).orderBy(F.desc("docs"), "lang", "chunk").limit(_COMMON).collect()
-    met = _rare_chunks(docs, [(r["lang"], r["chunk"]) for r in common]).join(open_chunks.hint("merge"), ["lang", "chunk"])
-    exact = met.select("lang", "term", "row").distinct().groupBy("lang", "term").count().filter(F.col("count") >= min_docs)
-    return sure.unionByName(exact.select("lang", "term"))
+        langs, sources = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+        size = max(len(sources.dictionary), 1)
+        groups = langs.indices.to_numpy().astype(np.int64) * size + sources.indices.to_numpy()
+        number = batch.column("row").to_numpy()
+        for rows, chunks, owner, code, n in _chunks(batch.column("text")):
+            hashes = _hashes(chunks)
+            open_ = rare.may_hold(hashes) & ~pc.is_in(chunks.cast(pa.string()), pa.array(common, pa.string())).to_numpy(zero_copy_only=False)
+            stays = (wanted.may_hold(hashes) | open_)[code]
+            owner, code, n = owner[stays], code[stays], n[stays]
+            if not len(owner):
+                continue
+            cell = np.where(open_[code], number[rows.start : rows.stop][owner], -1)
+            group = groups[rows.start : rows.stop][owner]
+            order = np.lexsort((cell, group, code))
+            cell, group, code, n = cell[order], group[order], code[order], n[order]
+            lead = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (group[1:] != group[:-1]) | (code[1:] != code[:-1])]))
+            group = group[lead]
+            yield pa.table({
+                "row": cell[lead], "lang": langs.dictionary.take(pa.array(group // size)), "source": sources.dictionary.take(pa.array(group % size)),
+                "chunk": chunks.take(pa.array(code[lead])).cast(pa.string()), "n": np.add.reduceat(n, lead).astype(np.int64),
+            })
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "lang", "source", "text")
+    return map_batches(numbered, work, "row long, lang string, source string, chunk string, n long")
+
+
+def term_counts(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """lang, term of what at least min_docs documents of a language hold; and lang, source, term, n of its occurrences."""
+    chunks = materialize(chunk_terms(docs), "chunks")
+    flat = chunks.select("chunk", "terms", F.explode("langs").alias("l")).select("l.*", "chunk", "terms")
+    bounds = flat.select("lang", "docs", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
+    bounds = materialize(bounds.filter(F.col("most") >= min_docs).select("lang", "term", (F.col("least") >= min_docs).alias("sure")), "term-bounds")
+    pairs = flat.select("lang", "chunk", F.explode("terms").alias("term")).join(_hinted(bounds), ["lang", "term"]).groupBy("lang", "chunk", "term", "sure").agg(F.count("*").alias("k"))
+    pairs = materialize(pairs, "term-chunks")
+    open_ = pairs.filter("not sure")
+
+    frequent = flat.filter((F.col("docs") >= min_docs) & (F.octet_length("chunk") <= _COMMON_BYTES)).select("lang", "chunk", "docs")
+    common = frequent.orderBy(F.desc("docs"), "lang", "chunk").limit(_COMMON).select("chunk", "lang")
+    common = common.join(open_.select("chunk", F.lit(True).alias("open")).distinct().hint("merge"), "chunk", "left").filter("open is null").select("chunk").distinct()
+    counts = _counted_again(docs, ChunkMap(pairs.select("chunk").distinct()), ChunkMap(open_.select("chunk").distinct()), [r["chunk"] for r in common.collect()])
+    counts = materialize(counts, "chunk-counts")
+
+    exact = counts.filter("row >= 0").select("row", "lang", "chunk").join(open_.select("lang", "chunk", "term").hint("merge"), ["lang", "chunk"])
+    exact = exact.select("lang", "term", "row").distinct().groupBy("lang", "term").count().filter(F.col("count") >= min_docs)
+    kept = materialize(bounds.filter("sure").select("lang", "term").unionByName(exact.select("lang", "term")), "kept-terms")
+    by_source = counts.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"))
+    cells = by_source.join(pairs.select("lang", "chunk", "term", "k").hint("merge"), ["lang", "chunk"]).groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("k")).alias("n"))
+    return kept, materialize(cells.join(_hinted(kept), ["lang", "term"]).select("lang", "source", "term", "n"), "cells")
 
 
 def _share(n: Column, total: Column, size: Column) -> Column:
@@ -188,11 +220,7 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, top: int = 50) -> Dat
     Very long texts and chunks are worked on whole, an empty table gives an empty one, other columns are ignored.
     """
     docs = _documents(docs)
-    counts = materialize(chunk_counts(docs), "chunk-counts")
-    terms = materialize(chunk_terms(counts), "chunk-terms")
-    kept = materialize(kept_terms(docs, counts, terms, min_docs), "kept-terms")
-    occur = counts.join(terms.hint("merge"), "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("k")).alias("n"))
-    cells = materialize(occur.join(kept.hint("merge"), ["lang", "term"]).select("lang", "source", "term", "n"), "cells")
+    kept, cells = term_counts(docs, min_docs)
 
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("size"))

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,7 @@ def test_rare_terms_are_counted_by_documents(spark, mixed, monkeypatch):
     monkeypatch.setattr(divergence, "_TILE", 2)
     monkeypatch.setattr(divergence, "_COMMON", 3)
     monkeypatch.setattr(divergence, "_SENT", 1)
+    monkeypatch.setattr(divergence, "_MOST_BITS", 256)
     assert rows_of(divergence.source_divergence(df)) == want
 
 
@@ -92,11 +94,21 @@ def test_query_and_sql(spark, mixed, tmp_path):
 
 
 def test_chunks_are_tokenised_once(spark):
-    docs = spark.createDataFrame([("en", "s", "a,b a,b A,c"), ("en", "t", "a,b\x0bx-X"), ("fr", "s", None)], "lang string, source string, text string")
-    counts = divergence.chunk_counts(docs.na.fill("")).collect()
-    assert sorted(map(tuple, counts)) == [("en", "s", "A,c", 1, 1), ("en", "s", "a,b", 1, 2), ("en", "t", "a,b", 1, 1), ("en", "t", "x-X", 1, 1)]
-    terms = divergence.chunk_terms(divergence.chunk_counts(docs.na.fill(""))).collect()
-    assert sorted(map(tuple, terms)) == [("A,c", "a", 1), ("A,c", "c", 1), ("a,b", "a", 1), ("a,b", "b", 1), ("x-X", "x", 2)]
+    docs = spark.createDataFrame([("en", "s", "a,b a,b A,c"), ("en", "t", "a,b\x0bx-X"), ("fr", "s", "a,b"), ("fr", "s", "")], "lang string, source string, text string")
+    out = {r["chunk"]: (r["terms"], sorted(map(tuple, r["langs"]))) for r in divergence.chunk_terms(docs.repartition(3)).collect()}
+    assert out == {"A,c": (["a", "c"], [("en", 1)]), "a,b": (["a", "b"], [("en", 2), ("fr", 1)]), "x-X": (["x", "x"], [("en", 1)])}
+
+
+def test_the_map_of_wanted_chunks_forgets_none(spark, monkeypatch):
+    words = [f"w{i}é" for i in range(5000)]
+    chunks = spark.createDataFrame([(w,) for w in words], "chunk string").repartition(4)
+    for most in (1 << 28, 1 << 10):
+        monkeypatch.setattr(divergence, "_MOST_BITS", most)
+        held = divergence.ChunkMap(chunks)
+        assert held.may_hold(divergence._hashes(pa.array(words))).all()
+        others = held.may_hold(divergence._hashes(pa.array([f"x{i}" for i in range(5000)]))).mean()
+        assert others < 0.06 if most > 1 << 20 else others > 0.9
+    assert not divergence.ChunkMap(chunks.limit(0)).may_hold(divergence._hashes(pa.array(words))).any()
 
 
 def test_counts_beyond_a_long_stay_exact(spark):
