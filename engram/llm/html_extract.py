@@ -63,6 +63,26 @@ class Token:
     hinted: int
 
 
+@dataclass
+class Zone:
+    """An element that stands apart, or an article inside one: the zone around it, what it is, and the words of text that
+    it holds outside links."""
+
+    up: int
+    kind: str
+    words: int = 0
+
+
+def _apart(zones: list[Zone], text: int) -> list[bool]:
+    """Which zones are left out. A form, or an article inside what stands apart, that holds over half of the words of the
+    page isn't, whatever is around it for its own sake."""
+    out: list[bool] = []
+    for z in zones:
+        around, most = z.up >= 0 and out[z.up], 2 * z.words > text
+        out.append(around and not most if z.kind == "main" else around if z.kind == "form" and most else True)
+    return out
+
+
 @dataclass
 class Hinted:
     """An element whose class or id holds a hint: the one around it, its names, if it stands in an article, and the
@@ -91,17 +111,20 @@ def read(html: str) -> tuple[list[Token], list[Hinted]]:
     element around them."""
     out: list[Token] = []
     hints: list[Hinted] = []
-    # name, feature of words in it, if it is apart, if it or one not far around is a link, its hinted element
-    stack: list[tuple[str, str, bool, int, int]] = [("", "page", False, 0, -1)]
+    zones: list[Zone] = []
+    of: list[int] = []  # the zone of each token
+    # name, feature of words in it, its zone, if it or one not far around is a link, its hinted element
+    stack: list[tuple[str, str, int, int, int]] = [("", "page", -1, 0, -1)]
     open_: Counter[str] = Counter()
-    apart = marked = 0
+    marked = 0
     for m in _TOKEN.finditer(html):
-        text, (_, feature, _, link, inside) = m[8], stack[-1]
+        text, (_, feature, zone, link, inside) = m[8], stack[-1]
         if text is not None:
             n = len(text.split())
-            if n and not link and not apart and inside >= 0:
-                hints[inside].words += n
-            out.append(Token(f"word {feature}{' link' if link else ''}", n, text, apart > 0, marked > 0, False, inside))
+            if zone >= 0 and not link:
+                zones[zone].words += n
+            out.append(Token(f"word {feature}{' link' if link else ''}", n, text, False, marked > 0, False, inside))
+            of.append(zone)
             continue
         name = (m[3] or m[6] or "").lower()
         if not name:
@@ -111,44 +134,59 @@ def read(html: str) -> tuple[list[Token], list[Hinted]]:
         if closing:
             before, gone = marked > 0, ""
             while open_[name] and gone != name:
-                gone, _, away, _, _ = stack.pop()
+                gone = stack.pop()[0]
                 open_[gone] -= 1
-                apart -= away
                 marked -= gone in MAIN
-            out.append(Token(f"tag /{name}", 0, "", apart > 0, before and marked > 0, breaks, stack[-1][4]))
+            out.append(Token(f"tag /{name}", 0, "", False, before and marked > 0, breaks, stack[-1][4]))
+            of.append(stack[-1][2])
             continue
         names, away = _names(attributes) if attributes else ((), False)
         away = (away or name in ASIDE) and name not in ("h1", "h2", "h3", "article", "main", "body", "html")
         if breaks and stack[-1][0] == "p":
-            apart -= stack[-1][2]
             open_["p"] -= 1
             stack.pop()
-            _, feature, _, link, inside = stack[-1]
+            _, feature, zone, link, inside = stack[-1]
         if names and name not in VOID:
             hints.append(Hinted(inside, names, marked > 0))
             inside = len(hints) - 1
-        out.append(Token(f"tag {name}", 0, "", apart > 0, marked > 0, breaks, inside))
+        outer = zone
+        if away or name in MAIN and zone >= 0:
+            zones.append(Zone(zone, "main" if name in MAIN else "form" if name == "form" else "apart"))
+            zone = len(zones) - 1
+        out.append(Token(f"tag {name}", 0, "", False, marked > 0, breaks, inside))
+        of.append(outer)
         if name in VOID or attributes.endswith("/"):
             continue
-        stack.append((name, name if breaks or away else feature, away, 4 if name == "a" else max(0, link - 1), inside))
+        stack.append((name, name if breaks or away else feature, zone, 4 if name == "a" else max(0, link - 1), inside))
         open_[name] += 1
-        apart += away
         marked += name in MAIN
+    for z in reversed(zones):
+        if z.up >= 0:
+            zones[z.up].words += z.words
+    apart = _apart(zones, sum(t.words for t in out if not t.where.endswith(" link")))
+    for t, zone in zip(out, of, strict=True):
+        t.apart = zone >= 0 and apart[zone]
+        if t.words and t.hinted >= 0 and not t.apart and not t.where.endswith(" link"):
+            hints[t.hinted].words += t.words
     for h in reversed(hints):
         if h.up >= 0:
             hints[h.up].words += h.words
     return out, hints
 
 
-#: Weights where nothing is learned: words for, words of links and all tags against.
-DEFAULT_WORD, DEFAULT_LINK, DEFAULT_TAG = 0.5, -0.2, -0.25
+#: Weights where nothing is learned: words for, words of links and all tags against; little against tags that an article
+#: has many of for few words each, those of table cells and within a line.
+DEFAULT_WORD, DEFAULT_LINK, DEFAULT_TAG, DEFAULT_SMALL = 0.5, -0.2, -0.2, -0.05
+SMALL = frozenset(f"tag {end}{name}" for name in "a abbr b br code em i small span strong sub sup tbody td th tr u".split() for end in ("", "/"))
 #: What stands apart is left out of the text anyway, so that it costs little to pass over it inside an article.
 APART_WORD, APART_TEXT, APART_TAG = -0.1, -1.0, -0.05
 #: A word's loss in an element named by hints alone, by a hint before other words, and by a hint after them (as names of
 #: what surrounds an article often are); and its gain where the element holds over half of the page's text.
 HINT_ALONE, HINT_FIRST, HINT_LAST, HINT_LARGE = -2.5, -1.2, -0.3, 0.9
-#: Words that a hint is seen with before what is learned counts as much as these.
-HINT_PRIOR = 50.0
+#: The share of a page's text from which on an element's name says nothing against it.
+HINT_WHOLE = 0.9
+#: Words or tags that a feature is seen with before what is learned of it counts as much as what holds without.
+PRIOR = 50.0
 
 
 def _default_hint(name: str) -> float:
@@ -158,6 +196,13 @@ def _default_hint(name: str) -> float:
     return HINT_FIRST if parts[0] in HINTS else HINT_LAST
 
 
+def _default(feature: str) -> float:
+    """The weight of a word or tag of which nothing is known."""
+    if feature.startswith("tag "):
+        return DEFAULT_SMALL if feature in SMALL else DEFAULT_TAG
+    return DEFAULT_LINK if feature.endswith(" link") else DEFAULT_WORD
+
+
 def learn(pages: DataFrame, most: int = SAMPLE_PAGES) -> dict[str, float]:
     """Log odds of standing inside the article, by feature, from pages that mark one (article or main).
 
@@ -196,22 +241,22 @@ def learn(pages: DataFrame, most: int = SAMPLE_PAGES) -> dict[str, float]:
         kind = r["feature"].split(" ", 1)[0]
         which = int(kind == "tag")
         odds = math.log((r["inside"] + 0.5) / total["inside"][which]) - math.log((r["outside"] + 0.5) / total["outside"][which])
-        if kind == "hint":  # what is learned against what the name says, by how many words speak
-            seen = r["inside"] + r["outside"]
-            out[r["feature"]] = (max(-3.0, min(1.0, odds)) * seen + _default_hint(r["feature"][5:]) * HINT_PRIOR) / (seen + HINT_PRIOR)
-        else:  # words weigh by their odds; a tag is a small cost inside an article and a large one outside
-            out[r["feature"]] = max(-4.0, min(-0.05, odds - 1.0)) if which else max(-4.0, min(2.0, odds))
+        # words weigh by their odds; a tag is a small cost inside an article and a large one outside
+        learned = max(-3.0, min(1.0, odds)) if kind == "hint" else max(-4.0, min(-0.05, odds - 1.0)) if which else max(-4.0, min(2.0, odds))
+        seen, before = r["inside"] + r["outside"], _default_hint(r["feature"][5:]) if kind == "hint" else _default(r["feature"])
+        out[r["feature"]] = (learned * seen + before * PRIOR) / (seen + PRIOR)
     return out
 
 
 def best_region(scores: np.ndarray) -> tuple[int, int]:
-    """First and last index (end exclusive) of the contiguous part with the largest sum; the first of equals, 0 and 0 if none is above zero."""
+    """First and last index (end exclusive) of the contiguous part with the largest sum, 0 and 0 if none is above zero. Of
+    equals the first, and of those that start together the longest."""
     best, best_at, run, start = 0.0, (0, 0), 0.0, 0
     for i, s in enumerate(scores.tolist()):
         if run <= 0:
             run, start = 0.0, i
         run += s
-        if run > best:
+        if run > best or s > 0 and run == best and start == best_at[0]:
             best, best_at = run, (start, i + 1)
     return best_at
 
@@ -222,11 +267,11 @@ def judge(found: list[Token], hints: list[Hinted], weights: dict[str, float]) ->
     shift: list[float] = []
     for h in hints:
         own = min(weights.get(f"hint {name}", _default_hint(name)) for name in h.names) + (HINT_LARGE if 2 * h.words > text else 0.0)
-        shift.append(min(own, 0.0) + (shift[h.up] if h.up >= 0 else 0.0))
+        shift.append((0.0 if h.words >= HINT_WHOLE * text else min(own, 0.0)) + (shift[h.up] if h.up >= 0 else 0.0))
     scores, sums = np.zeros(len(found)), [0.0] * len(hints)
     for i, t in enumerate(found):
         if t.words and not t.apart:
-            weight = weights.get(t.where, DEFAULT_LINK if t.where.endswith(" link") else DEFAULT_WORD)
+            weight = weights[t.where] if t.where in weights else _default(t.where)
             scores[i] = weight * t.words
             if t.hinted >= 0:
                 sums[t.hinted] += (weight + shift[t.hinted]) * t.words
@@ -241,7 +286,7 @@ def judge(found: list[Token], hints: list[Hinted], weights: dict[str, float]) ->
         if out[i]:
             scores[i] = max(APART_TEXT, APART_WORD * t.words) if t.words else 0.0 if t.text else APART_TAG
         elif not t.words:
-            scores[i] = 0.0 if t.text else weights.get(t.where, DEFAULT_TAG)
+            scores[i] = 0.0 if t.text else weights[t.where] if t.where in weights else _default(t.where)
     return scores, out
 
 

@@ -40,6 +40,49 @@ def test_comments_longer_than_the_article_go():
     assert html_extract.extract(f"<body><div class='has-comments'>{ARTICLE}<section class='comments'>{comments}</section></div></body>", {}) == TEXT
 
 
+@pytest.mark.parametrize(("before", "after"), [
+    ("<form action='x'>", "</form>"), ("<form><div><article>", "</article></div></form>"), ("<div role='dialog'><article>", "</article></div>"),
+    ("<div role='complementary'><main>", "</main></div>"), ("<aside><article>", "</article></aside>"),
+    *((f"<div class='{name}'>", "</div>") for name in ("popular", "share", "widget", "search page")),
+])
+def test_what_holds_the_article_does_not_hide_it(before, after):
+    menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in say(random.Random(5), 8).split())
+    page = f"<body><nav><ul>{menu}</ul></nav>{before}{ARTICLE}{after}<footer>All rights</footer></body>"
+    assert html_extract.extract(page, {}) == TEXT
+
+
+def test_a_form_beside_the_article_and_teasers_beside_it_go():
+    teasers = "".join(f"<article><h2>{say(random.Random(n), 4)}</h2><p>{say(random.Random(n), 9)}</p></article>" for n in range(3))
+    page = f"<body><main>{ARTICLE}<form><p>{say(random.Random(9), 20)}</p></form></main><aside>{teasers}</aside></body>"
+    assert html_extract.extract(page, {}) == TEXT
+
+
+def test_a_long_table_keeps_what_stands_around_it():
+    rows = "".join(f"<tr><td>{a}</td><td>{n}</td></tr>" for n, a in enumerate(say(random.Random(6), 60).split()))
+    first, second = ARTICLE.rsplit("<p>", 1)
+    page = f"<body><article>{first}<table><tbody>{rows}</tbody></table><p>{second}</article></body>"
+    text = html_extract.extract(page, {})
+    assert text.startswith("A heading\n") and text.endswith(say(random.Random(2), 45)) and text.count("\n") == 2 + 120
+
+
+def test_short_blocks_and_equal_regions():
+    assert html_extract.extract("<h1>A Title</h1><p>One.</p>", {}) == "A Title\nOne."
+    assert html_extract.extract("<p>One</p><p>Two</p>", {}) == "One\nTwo"
+    import numpy as np
+
+    assert html_extract.best_region(np.array([1.0, -3.0, 1.0])) == (0, 1)
+    assert html_extract.best_region(np.array([2.0, -1.0, 1.0, -1.0])) == (0, 3)
+    assert html_extract.best_region(np.array([0.0, -1.0])) == (0, 0) == html_extract.best_region(np.zeros(0))
+
+
+def test_very_long_pages_and_clashing_columns(spark):
+    many = "".join(f"<p>{say(random.Random(n % 50), 30)}</p>" for n in range(4000))
+    rows = [(1, "u", f"<body><article>{many}</article></body>", "t", 1), (1, "u", None, "t", 1), (None, None, "", "t", 2), (2, "u", f"<body><article>{ARTICLE}</article></body>", "t", 3), (2, "u", f"<body><article>{ARTICLE}</article></body>", "t", 3)]
+    out = html_extract.html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"), {})
+    got = sorted(((r["page_id"] or 0, r["n_chars"], r["text"].count("\n")) for r in out.collect()))
+    assert got == [(0, 0, 0), (1, 0, 0), (1, got[2][1], 3999), (2, len(TEXT), 2), (2, len(TEXT), 2)] and got[2][1] > 500_000
+
+
 def _page(n: int, mark: bool) -> tuple[str, str]:
     rng = random.Random(n)
     paragraphs = [say(rng, rng.randrange(5, 80)) for _ in range(rng.randrange(1, 7))]
