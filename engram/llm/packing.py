@@ -200,7 +200,7 @@ def best_fit_packing(docs: DataFrame, path: str | None = None, length: int = SEQ
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts are
     the end id alone. Repeated rows, and rows that share a doc_id, are packed as documents of their own. A null doc_id
     stays null. An empty table gives an empty table. Columns other than doc_id and text are ignored. Ties between
-    equal lengths are broken by the pieces' place in the input.
+    equal lengths are broken by the pieces' place in the input. Very long texts are encoded whole and cut into pieces.
     """
     pieces = materialize(tokenised(docs, path or vocab.default_path("byte_bpe_50k.tiktoken"), length), "pieces")
     per_task = materialize(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")

@@ -101,7 +101,8 @@ def secret_scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Kinds: assign (the whole assignment, value of 6 characters or more), access, hex, entropy. The entropy scan adds
     spans that no base span covers. Null and empty texts have none. Matches of a kind don't overlap; spans of different
     kinds may. Spans that start together are ordered by kind as listed. Repeated rows give the same result each; a null
-    doc_id stays null. Empty tables give empty tables; columns other than doc_id and text are ignored.
+    doc_id stays null. Empty tables give empty tables; columns other than doc_id and text are ignored. Very long texts are
+    scanned whole.
     """
     text = F.col("text")
     none = F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")

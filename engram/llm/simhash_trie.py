@@ -237,7 +237,7 @@ def near_dedup(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) ->
     A-Z count as lower case. A text of fewer words than a shingle has its whole word sequence as one; null, empty and
     blank texts have fingerprint zero, and are linked like any other. Repeated rows are copies. A null doc_id is passed
     over when the smallest is taken; a component of nulls alone has component_id null. Ties can't occur. Empty tables
-    give empty tables; columns other than doc_id and text are ignored.
+    give empty tables; columns other than doc_id and text are ignored. Very long texts are fingerprinted whole.
     """
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
     named = _components(prints, budget)
