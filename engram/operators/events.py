@@ -21,8 +21,8 @@ def folded(events: DataFrame) -> DataFrame:
     """entity_id, version, accepted, conflicts (array of sequence, expected, actual) of entities that are never deleted.
 
     In order of sequence, time and id an event is accepted if its base version is the entity's version, and otherwise a
-    conflict that leaves the entity as it is. The chain needs one entity's events together: they are ordered by a
-    window, which spills, and folded as numbers only.
+    conflict that leaves the entity as it is. The chain needs one entity's events together: they are gathered as numbers
+    only, in one row of one task, so that an entity's history must fit there.
     """
     live = events.join(tombstones(events).select("entity_id").hint("merge"), "entity_id", "left_anti")
     items = F.array_sort(F.collect_list(F.struct(F.coalesce("sequence", F.lit(0)).alias("sequence"), "created_at", "base_version", "version")))
