@@ -31,20 +31,21 @@ def _whole(docs: DataFrame) -> list:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fertility bands; null and empty texts don't. Repeated rows, null ids and
-    other columns stay as they are."""
+    other columns stay as they are; very long texts are measured whole."""
     out = fertility.quality_rules(docs, carry=_others(docs)).filter("kept")
     return out.select(*_whole(docs))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents without lines that many documents share; n_chars, where there is one, follows the text."""
+    """The same documents without lines that many documents share; n_chars, where there is one, follows the text. Every row
+    keeps its own result, also where ids are null or repeat; null texts stay null, very long ones are worked on whole."""
     out = line_dedup.line_dedup(docs, carry=_others(docs)).select(*_whole(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component, that with the smallest doc_id; a row without doc_id only where no row has one. Texts
-    without words are copies of each other."""
+    without words are copies of each other; of rows with equal ids and texts one stays. Very long texts count whole."""
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(named(docs, c).alias(c) for c in docs.columns)).alias("doc")), "rows")
     stay = simhash_trie.representatives(rows.select("row", "doc.doc_id", "doc.text"), "row")
     kept = rows.join(stay.withColumnRenamed("row", "stays").hint("merge"), F.col("row") == F.col("stays"))
@@ -52,14 +53,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a benchmark window; a text without words has none."""
+    """Documents without a word inside a benchmark window; a text without words has none. Rows that repeat and rows without
+    an id are judged each, very long texts whole."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = decontaminate.decontaminate(docs, benchmark, carry=_others(docs)).filter("not contaminated")
     return out.select(*_whole(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document, with its sequence and place; a null text is the end id alone."""
+    """A row per piece of a document, with its sequence and place; a null text is the end id alone. Rows that repeat are
+    packed each, very long texts in pieces."""
     return packing.best_fit_packing(docs)
 
 
