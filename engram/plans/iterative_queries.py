@@ -62,17 +62,20 @@ def batch_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.batch_consolidation(new, store)
 
 
-def _arrived(source: DataFrame, name: str, order: str, files: int) -> tuple[str, str]:
-    """A folder in which the rows lie in a few files, in order of a column, and a place for a stream's checkpoint."""
+def _arrived(source: DataFrame, name: str, order: str, files: int = 3) -> tuple[str, str]:
+    """A folder to which rows were added in order of a column, a file at a time, and a place for a stream's checkpoint."""
     spark = source.sparkSession
     path = stage_path(spark, f"{name}-in")
-    source.repartitionByRange(files, order).write.parquet(path)
+    rows = materialize(source, name)
+    ends = [float("-inf"), *rows.approxQuantile(order, [i / files for i in range(1, files)], 0.01), float("inf")]
+    for low, high in zip(ends[:-1], ends[1:], strict=True):
+        rows.filter((F.col(order) > low) & (F.col(order) <= high)).coalesce(1).write.mode("append").parquet(path)
     return path, stage_path(spark, f"{name}-state")
 
 
 def _streamed(spark: SparkSession, sf_dir: str, name: str, source: DataFrame, job, mode: str, order: str) -> DataFrame:
     """Run a job over a folder of Parquet files, a file a batch, until it has read them all."""
-    path, checkpoint = _arrived(source, name, order, 3)
+    path, checkpoint = _arrived(source, name, order)
     out = stage_path(spark, f"{name}-out")
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -99,7 +102,7 @@ def stream_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of the last 200 diagnostics of every mode, by a stream that keeps no more than those."""
     rows = views.frame(spark, sf_dir, "diagnostics").select("request_id", "ts", "mode", "total_ms", "embed_ms", "vector_ms")
-    path, checkpoint = _arrived(rows, "diagnostics", "request_id", 3)
+    path, checkpoint = _arrived(rows, "diagnostics", "request_id")
     root = stage_path(spark, "diagnostics-store")
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     jobs.diagnostics(source, root, ["total_ms", "embed_ms", "vector_ms"], checkpoint).start().awaitTermination()
@@ -109,7 +112,7 @@ def stream_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def full_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions consolidated into stories, three batches of them, each moving all tables of a store at once."""
     sessions = views.frame(spark, sf_dir, "sessions").select(F.col("conv_id").alias("session_id"), "problem_desc", "conclusion")
-    path, checkpoint = _arrived(sessions, "sessions", "session_id", 3)
+    path, checkpoint = _arrived(sessions, "sessions", "session_id")
     root = stage_path(spark, "cycle-store")
     source = spark.readStream.schema(sessions.schema).option("maxFilesPerTrigger", 1).parquet(path)
     cycle.run(source, root, checkpoint).start().awaitTermination()
