@@ -25,7 +25,9 @@ from engram.llm.textbatch import SPACE_LUT, map_batches, slices
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that are counted together before they are emitted.
-_SLICE = 8 << 20
+_SLICE = 4 << 20
+#: Counts that a task gathers from its slices before it adds them up and sends them on.
+_HELD = 1 << 21
 #: The most frequent chunks, which no task takes for rare ones; the list is sent to every task.
 _COMMON, _COMMON_BYTES = 4096, 64
 #: Bits that a wanted chunk has in the map that is sent to the tasks, and the map's largest size (32 MB).
@@ -55,19 +57,68 @@ def _chunks(column: pa.Array) -> Iterator[tuple[range, pa.Array, np.ndarray, np.
         yield part.rows, coded.dictionary, pair // size, pair % size, n
 
 
-def _documents_of_chunks(batch: pa.RecordBatch) -> Iterator[pa.Table]:
-    langs = batch.column("lang").dictionary_encode()
-    lang_of = langs.indices.to_numpy().astype(np.int64)
-    for rows, chunks, owner, code, _ in _chunks(batch.column("text")):
-        if len(owner):
-            cell, docs = np.unique(lang_of[rows.start : rows.stop][owner] * len(chunks) + code, return_counts=True)
-            yield pa.table({"lang": langs.dictionary.take(pa.array(cell // len(chunks))), "chunk": chunks.take(pa.array(cell % len(chunks))).cast(pa.string()), "docs": docs.astype(np.int64)})
+class _Tally:
+    """Counts by group and chunk over the slices of one task. Groups are tuples of strings, which are numbered."""
+
+    def __init__(self, names: tuple[str, ...], value: str):
+        self.names, self.value = names, value
+        self.numbers: dict[tuple, int] = {}
+        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def groups(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The number of the group of every row of a batch."""
+        coded = [batch.column(name).dictionary_encode() for name in self.names]
+        code = np.zeros(batch.num_rows, np.int64)
+        for c in coded:
+            code = code * max(len(c.dictionary), 1) + c.indices.to_numpy()
+        _, first, back = np.unique(code, return_index=True, return_inverse=True)
+        keys = zip(*(batch.column(name).take(pa.array(first)).to_pylist() for name in self.names), strict=True)
+        return np.array([self.numbers.setdefault(k, len(self.numbers)) for k in keys], np.int64)[back]
+
+    def add(self, chunks: pa.Array, code: np.ndarray, group: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        used, code = np.unique(code, return_inverse=True)
+        self.parts.append((chunks.take(pa.array(used)), *_summed(code, group, n, len(used))))
+        self.rows += len(self.parts[-1][1])
+        if self.rows >= _HELD:
+            yield from self.emit()
+
+    def emit(self) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
+            return
+        coded = pa.chunked_array([pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), chunks) for chunks, code, _, _ in self.parts]).unify_dictionaries()
+        code = np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype(np.int64)
+        group, n = (np.concatenate([p[i] for p in self.parts]) for i in (2, 3))
+        chunks = coded.chunk(0).dictionary
+        self.parts, self.rows = [], 0
+        code, group, n = _summed(code, group, n, len(chunks))
+        of = list(self.numbers)
+        columns = {name: pa.array([k[i] for k in of], pa.string()).take(pa.array(group)) for i, name in enumerate(self.names)}
+        yield from pa.table({**columns, "chunk": chunks.take(pa.array(code)).cast(pa.string()), self.value: n}).to_batches(max_chunksize=1 << 16)
+
+
+def _summed(code: np.ndarray, group: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair of group and chunk once, with the sum of its counts."""
+    key = group * size + code
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    lead = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[lead] % max(size, 1), key[lead] // max(size, 1), np.add.reduceat(n[order], lead) if len(lead) else n
+
+
+def _documents_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tally = _Tally(("lang",), "docs")
+    for batch in batches:
+        group = tally.groups(batch)
+        for rows, chunks, owner, code, _ in _chunks(batch.column("text")):
+            yield from tally.add(chunks, code, group[rows.start : rows.stop][owner], np.ones(len(owner), np.int64))
+    yield from tally.emit()
 
 
 def chunk_terms(docs: DataFrame) -> DataFrame:
     """chunk, terms (in order, repeats included) and langs (lang and docs, the documents that hold the chunk): a row per
-    distinct chunk. What a slice of a task has counted goes straight to where its chunk is gathered and tokenised."""
-    counted = map_batches(docs.select("lang", "text"), _documents_of_chunks, "lang string, chunk string, docs long").repartition("chunk")
+    distinct chunk. What a task has counted goes straight to where its chunk is gathered and tokenised."""
+    counted = docs.select("lang", "text").mapInArrow(_documents_of_chunks, "lang string, chunk string, docs long").repartition("chunk")
     summed = counted.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"))
     found = F.regexp_extract_all(F.translate("chunk", _UPPER, _LOWER), F.lit(TERM), F.lit(0))
     return summed.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs")).select("chunk", found.alias("terms"), "langs")
@@ -102,33 +153,26 @@ class ChunkMap:
 
 
 def _counted_again(docs: DataFrame, wanted: ChunkMap, rare: ChunkMap, common: list[str]) -> DataFrame:
-    """row, lang, source, chunk, n: occurrences of wanted chunks, by slice (row -1), and by document where they are rare."""
-
-    def work(batch: pa.RecordBatch) -> Iterator[pa.Table]:
-        langs, sources = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
-        size = max(len(sources.dictionary), 1)
-        groups = langs.indices.to_numpy().astype(np.int64) * size + sources.indices.to_numpy()
-        number = batch.column("row").to_numpy()
-        for rows, chunks, owner, code, n in _chunks(batch.column("text")):
-            hashes = _hashes(chunks)
-            open_ = rare.may_hold(hashes) & ~pc.is_in(chunks.cast(pa.string()), pa.array(common, pa.string())).to_numpy(zero_copy_only=False)
-            stays = (wanted.may_hold(hashes) | open_)[code]
-            owner, code, n = owner[stays], code[stays], n[stays]
-            if not len(owner):
-                continue
-            cell = np.where(open_[code], number[rows.start : rows.stop][owner], -1)
-            group = groups[rows.start : rows.stop][owner]
-            order = np.lexsort((cell, group, code))
-            cell, group, code, n = cell[order], group[order], code[order], n[order]
-            lead = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (group[1:] != group[:-1]) | (code[1:] != code[:-1])]))
-            group = group[lead]
-            yield pa.table({
-                "row": cell[lead], "lang": langs.dictionary.take(pa.array(group // size)), "source": sources.dictionary.take(pa.array(group % size)),
-                "chunk": chunks.take(pa.array(code[lead])).cast(pa.string()), "n": np.add.reduceat(n, lead).astype(np.int64),
-            })
+    """row, lang, source, chunk, n: occurrences of wanted chunks, by task (row -1), and by document where they are rare."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally(("lang", "source"), "n")
+        form = lambda batch: pa.record_batch([pa.array(np.full(batch.num_rows, -1)), *batch.columns], names=["row", *batch.schema.names])
+        for batch in batches:
+            group = tally.groups(batch)
+            for rows, chunks, owner, code, n in _chunks(batch.column("text")):
+                hashes = _hashes(chunks)
+                open_ = rare.may_hold(hashes) & ~pc.is_in(chunks.cast(pa.string()), pa.array(common, pa.string())).to_numpy(zero_copy_only=False)
+                listed = (wanted.may_hold(hashes) & ~open_)[code]
+                yield from map(form, tally.add(chunks, code[listed], group[rows.start : rows.stop][owner[listed]], n[listed]))
+                own, code, n = pa.array(owner[open_[code]] + rows.start), code[open_[code]], n[open_[code]]
+                if len(own):
+                    parts = [batch.column(c).take(own) for c in ("row", "lang", "source")]
+                    yield pa.record_batch([*parts, chunks.take(pa.array(code)).cast(pa.string()), pa.array(n.astype(np.int64))], names=["row", "lang", "source", "chunk", "n"])
+        yield from map(form, tally.emit())
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "lang", "source", "text")
-    return map_batches(numbered, work, "row long, lang string, source string, chunk string, n long")
+    return numbered.mapInArrow(work, "row long, lang string, source string, chunk string, n long")
 
 
 def term_counts(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:

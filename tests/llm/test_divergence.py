@@ -99,6 +99,21 @@ def test_chunks_are_tokenised_once(spark):
     assert out == {"A,c": (["a", "c"], [("en", 1)]), "a,b": (["a", "b"], [("en", 2), ("fr", 1)]), "x-X": (["x", "x"], [("en", 1)])}
 
 
+def test_a_task_adds_up_its_slices(mixed, monkeypatch):
+    """In this process, where slices and what is held can be made small."""
+    monkeypatch.setattr(divergence, "_SLICE", 300)
+    want = Counter((lang or "", c) for lang, _, text in mixed for c in set((text or "").split()))
+    for held in (1, 50, 1 << 21):
+        monkeypatch.setattr(divergence, "_HELD", held)
+        batches = [pa.record_batch({"lang": [r[0] or "" for r in part], "text": [r[2] for r in part]}) for part in (mixed[:100], mixed[100:])]
+        got, n = Counter(), 0
+        for batch in divergence._documents_of_chunks(iter(batches)):
+            for row in batch.to_pylist():
+                got[row["lang"], row["chunk"]] += row["docs"]
+                n += 1
+        assert got == want and (n == len(want)) == (held == 1 << 21)
+
+
 def test_the_map_of_wanted_chunks_forgets_none(spark, monkeypatch):
     words = [f"w{i}é" for i in range(5000)]
     chunks = spark.createDataFrame([(w,) for w in words], "chunk string").repartition(4)
