@@ -1,8 +1,8 @@
 """Vector search: every query against every story, block by block.
 
 Queries are read in blocks of a fixed size; a block goes to the tasks as one matrix, each task multiplies it with the
-vectors it reads and keeps the best k per query. What is shuffled is k rows per query and task, whatever the number of
-stories, and the last choice among them is a window that stops at k.
+vectors it reads, a tile of queries and stories at a time, and keeps the best k per query. What is shuffled is k rows per
+query and task, whatever the number of stories, and the last choice among them is a window that stops at k.
 """
 
 from __future__ import annotations
@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.operators.best import ROWS, Best
 from engram.sources.stage_tables import together
 
 #: Queries in one block: with 1,024 numbers each, 32 MB.
 BLOCK = 4096
-#: Stories in one slice: with a full block, 32 MB of scores.
-SLICE = 1024
+#: Stories in one slice: with a tile of queries, 4 MB of scores.
+SLICE = 512
+#: Products that agree to this digit are ties, since equal vectors may differ in the last bits by their place in a matrix.
+DIGITS = 12
 
 
 def _blocks(queries: DataFrame, scope: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
@@ -64,29 +67,25 @@ def vector_topk(queries: DataFrame, stories: DataFrame, k: int, unit: bool = Tru
         own = np.array([numbers[s] for s in scopes], np.int64)
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            top_s = np.full((len(ids), 0), -np.inf)
-            top_i = np.zeros((len(ids), 0), np.int64)
+            top = Best(len(ids), k, DIGITS, np.finfo(float).min)
             for batch in _slices(batches):
                 story = batch.column(0).to_numpy()
                 vector = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
                 length = np.linalg.norm(vector, axis=1)
                 if not unit:
                     vector = vector / np.where(length > 0, length, 1)[:, None]
-                scores = matrix @ vector.T
-                if not unit:
-                    scores[:, length == 0] = -np.inf
                 if scope:
                     theirs = np.array([numbers.get(s, -1) for s in batch.column(2).to_pylist()], np.int64)
-                    scores[own[:, None] != theirs[None, :]] = -np.inf
-                if exclude_self:
-                    scores[ids[:, None] == story[None, :]] = -np.inf
-                s = np.concatenate([top_s, scores], axis=1)
-                i = np.concatenate([top_i, np.broadcast_to(story, scores.shape)], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            keep = np.isfinite(top_s)
-            query = np.repeat(ids, keep.sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), pa.array(top_i[keep]), pa.array(top_s[keep])], names=["query_id", "story_id", "score"])
+                for at in range(0, len(ids), ROWS):
+                    scores = matrix[at : at + ROWS] @ vector.T
+                    if not unit:
+                        scores[:, length == 0] = -np.inf
+                    if scope:
+                        scores[own[at : at + ROWS, None] != theirs[None, :]] = -np.inf
+                    if exclude_self:
+                        scores[ids[at : at + ROWS, None] == story[None, :]] = -np.inf
+                    top.offer(at, scores, story)
+            yield top.rows(ids)
 
         return read.mapInArrow(best, schema)
 
@@ -109,20 +108,23 @@ def multi_vector_topk(queries: DataFrame, stories: DataFrame, fields: Sequence[s
 
     def part(ids: np.ndarray, matrix: np.ndarray, _: list) -> DataFrame:
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            top_s = np.full((len(ids), 0), -np.inf)
-            top_i = np.zeros((len(ids), 0), np.int64)
+            top = Best(len(ids), k, digits, np.finfo(float).min)
             for batch in _slices(batches):
-                scores = np.full((len(ids), batch.num_rows), -np.inf)
-                for column in batch.columns[1:]:
-                    has = np.flatnonzero(np.asarray(column.is_valid()))
-                    if len(has):
-                        scores[:, has] = np.maximum(scores[:, has], matrix @ column.flatten().to_numpy().reshape(len(has), -1).T)
-                s = np.concatenate([top_s, np.round(scores, digits)], axis=1)
-                i = np.concatenate([top_i, np.broadcast_to(batch.column(0).to_numpy(), scores.shape)], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            query = np.repeat(ids, top_s.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), pa.array(top_i.ravel()), pa.array(top_s.ravel())], names=["query_id", "story_id", "similarity"])
+                story = batch.column(0).to_numpy()
+                parts = [(has, column.flatten().to_numpy().reshape(len(has), -1).T) for column in batch.columns[1:] if len(has := np.flatnonzero(np.asarray(column.is_valid())))]
+                for at in range(0, len(ids), ROWS):
+                    scores = None
+                    for has, vectors in parts:
+                        product = matrix[at : at + ROWS] @ vectors
+                        if scores is None and len(has) == len(story):
+                            scores = product
+                            continue
+                        if scores is None:
+                            scores = np.full((len(product), len(story)), -np.inf)
+                        scores[:, has] = np.maximum(scores[:, has], product)
+                    if scores is not None:
+                        top.offer(at, scores, story)
+            yield top.rows(ids, score="similarity")
 
         return read.mapInArrow(best, schema)
 
@@ -139,9 +141,13 @@ def vector_pairs(queries: DataFrame, stories: DataFrame, least: float) -> DataFr
     def part(ids: np.ndarray, matrix: np.ndarray, _: list) -> DataFrame:
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _slices(batches):
-                scores = matrix @ batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).T
-                q, s = np.nonzero(np.round(scores, 4) >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q].astype(np.int64)), batch.column(0).take(pa.array(s)), pa.array(np.round(scores[q, s], 4))], names=["query_id", "story_id", "similarity"])
+                vectors = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).T
+                for at in range(0, len(ids), ROWS):
+                    scores = matrix[at : at + ROWS] @ vectors
+                    q, s = np.divmod(np.flatnonzero(scores >= least - 1e-4), scores.shape[1])
+                    score = np.round(scores[q, s], 4)
+                    q, s, score = (x[score >= least] for x in (q, s, score))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + q].astype(np.int64)), batch.column(0).take(pa.array(s)), pa.array(score)], names=["query_id", "story_id", "similarity"])
 
         return read.mapInArrow(near, schema)
 
