@@ -113,11 +113,12 @@ def fallback_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stories split at their lines; some keep their vector, and some children have none."""
-    parents = R.stories(spark, sf_dir).select("story_id", F.split("content", "\n").alias("parts"))
-    kids, edges = consolidate.split_story(parents)
-    vectors_ = kids.filter("place <> 3").select(F.col("child_id").alias("node")).unionByName(parents.filter("story_id % 11 = 0").select(F.col("story_id").cast("string").alias("node")))
-    return delivery.split_audit(parents.select("story_id"), kids, edges.filter("source_id not like '%7'"), vectors_)
+    """Stories split at their lines; some keep their vector, and some children have none. Lines are split where texts are
+    read, so that no text is shuffled to the vectors of the stories."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("story_id"), F.split("text", "\n").alias("parts"))
+    kids, edges = consolidate.split_story(texts)
+    vectors_ = kids.filter("place <> 3").select(F.col("child_id").alias("node")).unionByName(texts.filter("story_id % 11 = 0").select(F.col("story_id").cast("string").alias("node")))
+    return delivery.split_audit(R.stories(spark, sf_dir).select("story_id"), kids, edges.filter("source_id not like '%7'"), vectors_)
 
 
 def exact_term_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
