@@ -42,12 +42,15 @@ class Best:
                 hit[many] &= part >= (kth if whole else kth - step)[:, None]
         if n_hit:
             q, s = np.divmod(np.flatnonzero(hit), tile.shape[1])
-            score, story, q = np.round(tile[q, s].astype(float), self.digits), ids[s], q + at
-            better = (score > self.scores[q, -1]) | ((score == self.scores[q, -1]) & (story < self.ids[q, -1]))
-            self._waiting.append((q[better], score[better], story[better]))
-            self._n_waiting += len(self._waiting[-1][0])
-            if self._n_waiting > WAITING:
-                self._merge()
+            self.offer_pairs(q + at, np.round(tile[q, s].astype(float), self.digits), ids[s])
+
+    def offer_pairs(self, q: np.ndarray, score: np.ndarray, story: np.ndarray) -> None:
+        """Single pairs, by the place of the query, with their scores, which are rounded."""
+        better = (score > self.scores[q, -1]) | ((score == self.scores[q, -1]) & (story < self.ids[q, -1]))
+        self._waiting.append((q[better], score[better], story[better]))
+        self._n_waiting += len(self._waiting[-1][0])
+        if self._n_waiting > WAITING:
+            self._merge()
 
     def _merge(self) -> None:
         if not self._n_waiting:

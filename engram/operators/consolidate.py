@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +15,14 @@ from engram.operators.vector import vector_pairs, vector_topk
 from engram.params import DEFAULTS, Params
 from engram.sources.stage_tables import materialize
 
+#: Links that one task works off in order; more of them are thinned out round by round.
+FEW_LINKS = 100_000
 
-def candidates(new: DataFrame, stories: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """query_id, story_id, similarity, rank, band (high, low or none) of the nearest stories of every new vector."""
-    found = vector_topk(new, stories, params.top_retrieval)
+
+def candidates(new: DataFrame, stories: DataFrame, params: Params = DEFAULTS, near: bool = False) -> DataFrame:
+    """query_id, story_id, similarity, rank, band (high, low or none) of the nearest stories of every new vector; with
+    `near` only those of the bands high and low, which are all that decisions and edges stand on."""
+    found = vector_topk(new, stories, params.top_retrieval, least=min(params.sim_low, params.sim_high) if near else None)
     return found.withColumn("band", F.when(F.col("similarity") >= params.sim_high, "high").when(F.col("similarity") >= params.sim_low, "low").otherwise("none"))
 
 
@@ -117,27 +124,51 @@ def leaders(links: DataFrame, members: DataFrame) -> DataFrame:
     """story_id, leader: each new story joins the earliest story of its batch that is a leader and near enough; one that
     finds none leads itself. This is the order in which sessions are worked off one after another.
 
-    links: a, b (a < b) of near pairs; members: story_id. Each round settles every story all of whose earlier neighbours
-    are settled, so that hubs and chains need as many rounds as the longest chain of undecided neighbours.
+    links: a, b (a < b) of near pairs; members: story_id. A round settles every story without an earlier neighbour that is
+    open, and its neighbours; only links between open stories go on to the next one, and one task follows the last few.
     """
-    state = materialize(members.select("story_id", F.lit(None).cast("boolean").alias("leads")), "leaders")
     edges = materialize(links.select("a", "b").distinct(), "leader-links")
-    while True:
-        seen = edges.join(state.withColumnsRenamed({"story_id": "a", "leads": "a_leads"}).hint("merge"), "a").groupBy("b").agg(F.max(F.coalesce("a_leads", F.lit(False))).alias("led"), F.min(F.col("a_leads").isNotNull()).alias("settled"))
-        after = state.join(seen.withColumnRenamed("b", "story_id").hint("merge"), "story_id", "left")
-        leads = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("led", F.lit(False)), False).when(F.coalesce("settled", F.lit(True)), True)
-        new = materialize(after.select("story_id", leads.alias("leads")), "leaders")
-        left = new.filter("leads is null").count()
-        state = new
-        if not left:
-            break
-    first = edges.join(state.filter("leads").select(F.col("story_id").alias("a")).hint("merge"), "a").groupBy("b").agg(F.min("a").alias("leader"))
-    return state.join(first.withColumnRenamed("b", "story_id").hint("merge"), "story_id", "left").select("story_id", F.when(F.col("leads"), F.col("story_id")).otherwise(F.col("leader")).alias("leader"))
+    open_, led = edges, members.sparkSession.createDataFrame([], "b long")
+    while (n := open_.count()) > FEW_LINKS:
+        heads = materialize(open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).hint("merge"), "a", "left_anti"), "leader-heads")
+        found = materialize(open_.join(heads.hint("merge"), "a", "left_semi").select("b").distinct(), "led")
+        rest = open_.join(heads.hint("merge"), "a", "left_anti").join(found.hint("merge"), "b", "left_anti")
+        open_ = materialize(rest.join(found.select(F.col("b").alias("a")).hint("merge"), "a", "left_anti").select("a", "b"), "open-links")
+        led = led.unionByName(found)
+    if n:
+        led = led.unionByName(open_.coalesce(1).mapInArrow(_led, "b long"))
+    led = materialize(led, "led")
+    first = edges.join(led.select(F.col("b").alias("a")).hint("merge"), "a", "left_anti").groupBy("b").agg(F.min("a").alias("leader"))
+    own = led.join(first.hint("merge"), "b").select(F.col("b").alias("story_id"), "leader")
+    return members.select("story_id").join(own.hint("merge"), "story_id", "left").select("story_id", F.coalesce("leader", "story_id").alias("leader"))
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stories that don't lead, of FEW_LINKS links at most."""
+    parts = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((a, b))
+    led: dict[int, bool] = {}
+    for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        if x not in led:
+            led[y] = True
+    yield pa.record_batch({"b": pa.array(list(led), pa.int64())})
 
 
 def near_pairs(rows: DataFrame, least: float) -> DataFrame:
     """a, b (a < b): new stories whose unit vectors have a cosine of `least` or more; blocks of the batch against the batch."""
-    return vector_pairs(rows.select(F.col("query_id"), "vector"), rows.select(F.col("query_id").alias("story_id"), F.col("vector").alias("embedding")), least).filter("query_id < story_id").select(F.col("query_id").alias("a"), F.col("story_id").alias("b"))
+    pairs = vector_pairs(rows.select("query_id", "vector"), rows.select(F.col("query_id").alias("story_id"), F.col("vector").alias("embedding")), least, later=True)
+    return pairs.select(F.col("query_id").alias("a"), F.col("story_id").alias("b"))
+
+
+def equal_vectors(rows: DataFrame) -> DataFrame:
+    """query_id and first, the smallest query_id with the same vector; rows without a vector stand for themselves."""
+    held = rows.filter("vector is not null").select("query_id", "vector")
+    firsts = materialize(held.groupBy("vector").agg(F.min("query_id").alias("first")), "distinct-vectors")
+    found = held.join(firsts.hint("merge"), "vector").select("query_id", "first")
+    return found.unionByName(rows.filter("vector is null").select("query_id", F.col("query_id").alias("first")))
 
 
 def batch_consolidation(new: DataFrame, stories: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -148,12 +179,18 @@ def batch_consolidation(new: DataFrame, stories: DataFrame, params: Params = DEF
     return consolidated(new, candidates(new, stories, params), params)
 
 
-def consolidated(new: DataFrame, found: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """The same with the nearest stories of the store found beforehand; new stories that found none are compared too."""
+def consolidated(new: DataFrame, found: DataFrame, params: Params = DEFAULTS, copies: DataFrame | None = None) -> DataFrame:
+    """The same with the nearest stories of the store found beforehand; new stories that found none are compared too.
+
+    copies: equal_vectors of new, if known. What is near one of them is near all, so that the first stands for the others:
+    they follow whom it follows, or itself if it leads.
+    """
     decided = materialize(decide(found, params), "decisions")
     fresh = new.join(decided.filter("branch <> 'create'").select("query_id").hint("merge"), "query_id", "left_anti")
     fresh = materialize(fresh.select("query_id", "vector"), "unmatched")
-    links = near_pairs(fresh, params.sim_high)
-    led = leaders(links, fresh.select(F.col("query_id").alias("story_id")))
+    copies = materialize(equal_vectors(fresh) if copies is None else copies.join(fresh.select("query_id").hint("merge"), "query_id", "left_semi"), "unmatched-copies")
+    firsts = materialize(fresh.join(copies.filter("query_id = first").select("query_id").hint("merge"), "query_id", "left_semi").sort("query_id"), "unmatched-firsts")
+    led = leaders(near_pairs(firsts, params.sim_high), firsts.select(F.col("query_id").alias("story_id")))
+    led = copies.join(led.withColumnRenamed("story_id", "first").hint("merge"), "first").select("query_id", "leader")
     matched = decided.filter("branch <> 'create'").select("query_id", "branch", "target")
-    return matched.unionByName(led.select(F.col("story_id").alias("query_id"), F.when(F.col("leader") == F.col("story_id"), "create").otherwise("merge").alias("branch"), F.when(F.col("leader") != F.col("story_id"), F.col("leader")).alias("target")))
+    return matched.unionByName(led.select("query_id", F.when(F.col("leader") == F.col("query_id"), "create").otherwise("merge").alias("branch"), F.when(F.col("leader") != F.col("query_id"), F.col("leader")).alias("target")))

@@ -2,7 +2,8 @@
 
 Queries are read in blocks of a fixed size; a block goes to the tasks as one matrix, each task multiplies it with the
 vectors it reads, a tile of queries and stories at a time, and keeps the best k per query. What is shuffled is k rows per
-query and task, whatever the number of stories, and the last choice among them is a window that stops at k.
+query and task, whatever the number of stories, and the last choice among them is a window that stops at k. Where only
+pairs that are near count, tiles are multiplied in single precision, and what may be near is worked out again in double.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,27 +21,86 @@ from pyspark.sql import functions as F
 from engram.operators.best import ROWS, Best
 from engram.sources.stage_tables import together
 
-#: Queries in one block: with 1,024 numbers each, 32 MB.
-BLOCK = 4096
+#: Queries in one block, and numbers in their vectors: 32 MB.
+BLOCK, NUMBERS = 32_768, 1 << 22
+#: Vectors that travel to the driver in one row.
+PACK = 2048
 #: Stories in one slice: with a tile of queries, 4 MB of scores.
 SLICE = 512
 #: Products that agree to this digit are ties, since equal vectors may differ in the last bits by their place in a matrix.
 DIGITS = 12
 
 
+def _packed(queries: DataFrame, scope: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """Query ids, vectors and scopes of PACK queries at most, in order of partitions."""
+    columns = [F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")]
+    kind = queries.schema[scope].dataType.simpleString() if scope else "int"
+    rows = queries.filter(F.col("vector").isNotNull()).select(*columns, F.col(scope).alias("scope") if scope else F.lit(None).cast("int").alias("scope"))
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), PACK):
+                part = frame.iloc[at : at + PACK]
+                vectors = np.stack([np.asarray(v, float) for v in part["vector"]])
+                scopes = part["scope"].astype(object).where(part["scope"].notna(), None).tolist()
+                yield pd.DataFrame({"ids": [part["query_id"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()], "scopes": [scopes]})
+
+    for r in rows.mapInPandas(pack, f"ids binary, vectors binary, scopes array<{kind}>").toLocalIterator():
+        ids = np.frombuffer(r["ids"], np.int64)
+        yield ids, np.frombuffer(r["vectors"], float).reshape(len(ids), -1), r["scopes"]
+
+
 def _blocks(queries: DataFrame, scope: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
     """Blocks of query ids, vectors and scopes, streamed through the driver one after another."""
-    ids, rows, scopes = [], [], []
-    columns = ["query_id", "vector", *([scope] if scope else [])]
-    for r in queries.select(*columns).filter(F.col("vector").isNotNull()).toLocalIterator():
-        ids.append(r["query_id"])
-        rows.append(r["vector"])
-        scopes.append(r[scope] if scope else None)
-        if len(ids) == BLOCK:
-            yield np.array(ids), np.array(rows, float), scopes
-            ids, rows, scopes = [], [], []
-    if ids:
-        yield np.array(ids), np.array(rows, float), scopes
+    held: list[tuple[np.ndarray, np.ndarray, list]] = []
+    n = 0
+    for ids, vectors, scopes in _packed(queries, scope):
+        size = min(BLOCK, max(1, NUMBERS // max(vectors.shape[1], 1)))
+        while len(ids):
+            room = size - n
+            held.append((ids[:room], vectors[:room], scopes[:room]))
+            n += len(held[-1][0])
+            ids, vectors, scopes = ids[room:], vectors[room:], scopes[room:]
+            if n == size:
+                yield _joined(held)
+                held, n = [], 0
+    if n:
+        yield _joined(held)
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, list]]) -> tuple[np.ndarray, np.ndarray, list]:
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), [s for p in parts for s in p[2]]
+
+
+class _Near:
+    """The pairs of a block of queries and a slice of stories whose product is `least` or more, tile by tile.
+
+    Single precision rules out all pairs but those that may be near, by a bound on its error; products of these are
+    worked out in double precision.
+    """
+
+    def __init__(self, matrix: np.ndarray, least: float):
+        self.matrix, self.least = matrix, least
+        self.single = matrix.astype(np.float32)
+        self.length = np.linalg.norm(matrix, axis=1).max(initial=0.0)
+
+    def pairs(self, vectors: np.ndarray, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Place of the query, place of the story and product; tiles whose number is in `skip` are passed over."""
+        single = np.ascontiguousarray(vectors.T, dtype=np.float32)
+        error = (vectors.shape[1] + 4) * 2.0**-23 * self.length * np.linalg.norm(vectors, axis=1).max(initial=0.0)
+        for at in range(0, len(self.matrix), ROWS):
+            if skip is not None and skip[at // ROWS]:
+                continue
+            hit = self.single[at : at + ROWS] @ single >= np.float32(self.least - error - 1e-6)
+            if not hit.any():
+                continue
+            q, s = np.divmod(np.flatnonzero(hit), hit.shape[1])
+            if 8 * len(q) > hit.size:
+                score = (self.matrix[at : at + ROWS] @ vectors.T)[q, s]
+            else:
+                score = np.concatenate([np.einsum("ij,ij->i", self.matrix[at + q[i : i + 4096]], vectors[s[i : i + 4096]]) for i in range(0, len(q), 4096)])
+            keep = score >= self.least
+            yield at + q[keep], s[keep], score[keep]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,13 +110,16 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
-def vector_topk(queries: DataFrame, stories: DataFrame, k: int, unit: bool = True, scope: str | None = None, exclude_self: bool = False) -> DataFrame:
+def vector_topk(queries: DataFrame, stories: DataFrame, k: int, unit: bool = True, scope: str | None = None, exclude_self: bool = False, least: float | None = None) -> DataFrame:
     """query_id, story_id, similarity, rank: the k best stories of every query.
 
     unit: vectors have length 1 and similarity is max(0, 1 - d*d/2); else it is the cosine, and vectors of length 0 are
     passed over. scope: a column of both tables that must be equal, applied before the choice. Ties go to the smaller
-    story_id; similarity is rounded to 4 digits after the choice. Null vectors match nothing.
+    story_id; similarity is rounded to 4 digits after the choice. Null vectors match nothing. least: of those, the rows
+    whose similarity is `least` or more; for unit vectors without scope.
     """
+    if least is not None and (not unit or scope or exclude_self or least <= 0):
+        raise ValueError("least is above 0, for unit vectors, without scope and exclude_self")
     read = stories.filter(F.col("embedding").isNotNull()).select(F.col("story_id").cast("long").alias("story_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col(scope).alias("scope") if scope else F.lit(0).alias("scope"))
     schema = "query_id long, story_id long, score double"
 
@@ -68,9 +132,14 @@ def vector_topk(queries: DataFrame, stories: DataFrame, k: int, unit: bool = Tru
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             top = Best(len(ids), k, DIGITS, np.finfo(float).min)
+            near = _Near(matrix, least - 1e-4) if least is not None else None
             for batch in _slices(batches):
                 story = batch.column(0).to_numpy()
                 vector = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                if near:
+                    for q, s, score in near.pairs(vector):
+                        top.offer_pairs(q, np.round(score, DIGITS), story[s])
+                    continue
                 length = np.linalg.norm(vector, axis=1)
                 if not unit:
                     vector = vector / np.where(length > 0, length, 1)[:, None]
@@ -92,7 +161,8 @@ def vector_topk(queries: DataFrame, stories: DataFrame, k: int, unit: bool = Tru
     found = together(queries.sparkSession, (part(*block) for block in _blocks(queries, scope)), schema, "best")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "story_id"))
     similarity = F.round(F.greatest(F.lit(0.0), F.col("score")) if unit else F.col("score"), 4)
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "story_id", similarity.alias("similarity"), "rank")
+    best = found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "story_id", similarity.alias("similarity"), "rank")
+    return best if least is None else best.filter(F.col("similarity") >= least)
 
 
 def multi_vector_topk(queries: DataFrame, stories: DataFrame, fields: Sequence[str], k: int, digits: int = 6) -> DataFrame:
@@ -133,21 +203,25 @@ def multi_vector_topk(queries: DataFrame, stories: DataFrame, fields: Sequence[s
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def vector_pairs(queries: DataFrame, stories: DataFrame, least: float) -> DataFrame:
-    """query_id, story_id, similarity of all pairs of unit vectors that are `least` alike or more, block by block."""
+def vector_pairs(queries: DataFrame, stories: DataFrame, least: float, later: bool = False) -> DataFrame:
+    """query_id, story_id, similarity of all pairs of unit vectors that are `least` alike or more, block by block.
+
+    later: only pairs whose story_id is the larger id; where both tables are sorted by id, half of the tiles are passed over.
+    """
     read = stories.filter(F.col("embedding").isNotNull()).select(F.col("story_id").cast("long").alias("story_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     schema = "query_id long, story_id long, similarity double"
 
     def part(ids: np.ndarray, matrix: np.ndarray, _: list) -> DataFrame:
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            close = _Near(matrix, least - 1e-4)
+            first = np.minimum.reduceat(ids, np.arange(0, len(ids), ROWS))
             for batch in _slices(batches):
-                vectors = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).T
-                for at in range(0, len(ids), ROWS):
-                    scores = matrix[at : at + ROWS] @ vectors
-                    q, s = np.divmod(np.flatnonzero(scores >= least - 1e-4), scores.shape[1])
-                    score = np.round(scores[q, s], 4)
-                    q, s, score = (x[score >= least] for x in (q, s, score))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + q].astype(np.int64)), batch.column(0).take(pa.array(s)), pa.array(score)], names=["query_id", "story_id", "similarity"])
+                story = batch.column(0).to_numpy()
+                vectors = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                for q, s, score in close.pairs(vectors, first >= story.max() if later else None):
+                    score = np.round(score, 4)
+                    keep = (score >= least) & (story[s] > ids[q]) if later else score >= least
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q[keep]]), pa.array(story[s[keep]]), pa.array(score[keep])], names=["query_id", "story_id", "similarity"])
 
         return read.mapInArrow(near, schema)
 

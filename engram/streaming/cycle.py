@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import text as T
 from engram.operators import consolidate, graph
-from engram.operators.representations import hashed_vectors
+from engram.operators.representations import with_hashed_vectors
 from engram.params import DEFAULTS, Params
 from engram.sources import snapshots
 from engram.sources.stage_tables import materialize
@@ -38,8 +38,7 @@ def drafts(sessions: DataFrame) -> DataFrame:
         F.col("s.asked").alias("problem"), F.col("s.answered").alias("outcome"), none.alias("actions"), none.alias("evidence"), F.array(F.concat(F.lit("session:"), "session_id")).alias("sources"), none.alias("applies"),
         F.slice(T.lexical_terms(F.col("s.asked")), 1, 5).alias("keywords"),
     )
-    vectors = hashed_vectors(fields.select("query_id", F.concat_ws("\n", "problem", "outcome").alias("text")), ["query_id"])
-    return fields.join(vectors.hint("merge"), "query_id", "left")
+    return with_hashed_vectors(fields, F.concat_ws("\n", "problem", "outcome"))
 
 
 def consolidated(sessions: DataFrame, root: str, before: snapshots.State, params: Params = DEFAULTS) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
@@ -56,8 +55,11 @@ def consolidated(sessions: DataFrame, root: str, before: snapshots.State, params
     new = materialize(drafts(pending), "drafts")
 
     with_vector = new.filter("vector is not null").select("query_id", "vector")
-    found = materialize(consolidate.candidates(with_vector, stories, params), "found")
-    decided = consolidate.consolidated(with_vector, found, params)
+    copies = materialize(consolidate.equal_vectors(with_vector), "copies")
+    firsts = with_vector.join(copies.filter("query_id = first").select("query_id").hint("merge"), "query_id", "left_semi")
+    near = materialize(consolidate.candidates(firsts, stories, params, near=True).withColumnRenamed("query_id", "first"), "near-firsts")
+    found = materialize(copies.join(near.hint("merge"), "first").drop("first"), "found")
+    decided = consolidate.consolidated(with_vector, found, params, copies)
     mute = new.filter("vector is null").select("query_id", F.lit("create").alias("branch"), F.lit(None).cast("long").alias("target"))
     decided = materialize(decided.select("query_id", "branch", "target").unionByName(mute), "decided")
 
