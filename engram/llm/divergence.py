@@ -3,9 +3,9 @@
 White space never stands inside a term, so a text is first cut into white-space chunks, which are counted per document
 inside the tasks. Every globally distinct chunk is then tokenised once, and what its terms are is joined back to the counts.
 How many documents hold a term lies between the most that hold one of its chunks and the sum over its chunks, which rules
-out nearly all terms. Only chunks of the terms that are left are counted by source, and only where the bound of `min_docs`
-lies between the two do documents meet one another again; such chunks are rare, so that a word of all documents never
-stands in one group of rows.
+out nearly all terms. Only chunks of the terms that are left are counted by source, each for all of its terms, so that a
+task sends on counts of terms; only where the bound of `min_docs` lies between the two does it count documents too, which
+it holds whole. A word of all documents never stands in one group of rows.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.llm.stages import materialize
-from engram.llm.textbatch import SPACE_LUT, map_batches, slices
+from engram.llm.textbatch import LOWER_LUT, SPACE_LUT, map_batches, slices, spread
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: The bytes of which terms consist: all of a character's bytes or none.
+_TERM_LUT = np.array([chr(b).isalpha() or b > 127 for b in range(256)])
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that are counted together before they are emitted.
 _SLICE = 4 << 20
@@ -58,10 +60,11 @@ def _chunks(column: pa.Array) -> Iterator[tuple[range, pa.Array, np.ndarray, np.
 
 
 class _Tally:
-    """Counts by group and chunk over the slices of one task. Groups are tuples of strings, which are numbered."""
+    """Counts by group and item (chunk or term) over the slices of one task, a column for each of `values`. Groups are tuples
+    of strings, which are numbered."""
 
-    def __init__(self, names: tuple[str, ...], value: str):
-        self.names, self.value = names, value
+    def __init__(self, names: tuple[str, ...], item: str, values: tuple[str, ...]):
+        self.names, self.item, self.values = names, item, values
         self.numbers: dict[tuple, int] = {}
         self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
         self.rows = 0
@@ -76,9 +79,10 @@ class _Tally:
         keys = zip(*(batch.column(name).take(pa.array(first)).to_pylist() for name in self.names), strict=True)
         return np.array([self.numbers.setdefault(k, len(self.numbers)) for k in keys], np.int64)[back]
 
-    def add(self, chunks: pa.Array, code: np.ndarray, group: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, items: pa.Array, code: np.ndarray, group: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         used, code = np.unique(code, return_inverse=True)
-        self.parts.append((chunks.take(pa.array(used)), *_summed(code, group, n, len(used))))
+        code, group, n = _summed(code, group, n, len(used))
+        self.parts.append((items.take(pa.array(used)), code.astype(np.int32), group.astype(np.int32), n))
         self.rows += len(self.parts[-1][1])
         if self.rows >= _HELD:
             yield from self.emit()
@@ -86,32 +90,37 @@ class _Tally:
     def emit(self) -> Iterator[pa.RecordBatch]:
         if not self.rows:
             return
-        coded = pa.chunked_array([pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), chunks) for chunks, code, _, _ in self.parts]).unify_dictionaries()
-        code = np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype(np.int64)
+        coded = pa.chunked_array([pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), items) for items, code, _, _ in self.parts]).unify_dictionaries()
+        code = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
         group, n = (np.concatenate([p[i] for p in self.parts]) for i in (2, 3))
-        chunks = coded.chunk(0).dictionary
+        items = coded.chunk(0).dictionary
         self.parts, self.rows = [], 0
-        code, group, n = _summed(code, group, n, len(chunks))
-        of = list(self.numbers)
-        columns = {name: pa.array([k[i] for k in of], pa.string()).take(pa.array(group)) for i, name in enumerate(self.names)}
-        yield from pa.table({**columns, "chunk": chunks.take(pa.array(code)).cast(pa.string()), self.value: n}).to_batches(max_chunksize=1 << 16)
+        del coded
+        code, group, n = _summed(code, group, n, len(items))
+        of = [pa.array([k[i] for k in self.numbers], pa.string()) for i in range(len(self.names))]
+        for at in range(0, len(code), 1 << 16):  # strings of one batch at a time
+            own, its = pa.array(group[at : at + (1 << 16)]), pa.array(code[at : at + (1 << 16)])
+            columns = {name: keys.take(own) for name, keys in zip(self.names, of, strict=True)}
+            yield pa.record_batch({**columns, self.item: items.take(its).cast(pa.string()), **{v: np.ascontiguousarray(x[at : at + (1 << 16)]) for v, x in zip(self.values, n.T, strict=True)}})
+        del items, code, group, n, of
+        pa.default_memory_pool().release_unused()
 
 
 def _summed(code: np.ndarray, group: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each pair of group and chunk once, with the sum of its counts."""
-    key = group * size + code
+    """Each pair of group and item once, with the sums of its counts (a row of n for each pair)."""
+    key = group.astype(np.int64) * size + code
     order = np.argsort(key, kind="stable")
     key = key[order]
     lead = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    return key[lead] % max(size, 1), key[lead] // max(size, 1), np.add.reduceat(n[order], lead) if len(lead) else n
+    return key[lead] % max(size, 1), key[lead] // max(size, 1), np.add.reduceat(n[order], lead, axis=0) if len(lead) else n
 
 
 def _documents_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally = _Tally(("lang",), "docs")
+    tally = _Tally(("lang",), "chunk", ("docs",))
     for batch in batches:
         group = tally.groups(batch)
         for rows, chunks, owner, code, _ in _chunks(batch.column("text")):
-            yield from tally.add(chunks, code, group[rows.start : rows.stop][owner], np.ones(len(owner), np.int64))
+            yield from tally.add(chunks, code, group[rows.start : rows.stop][owner], np.ones((len(owner), 1), np.int64))
     yield from tally.emit()
 
 
@@ -152,27 +161,58 @@ class ChunkMap:
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def _terms(chunks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct terms of some chunks, the number of each term in order of chunks, and where every chunk's begin."""
+    codes, first, terms = np.zeros(0, np.int64), np.zeros(len(chunks) + 1, np.int64), pa.array([], pa.large_string())
+    for part in slices(chunks, 1 << 62):
+        starts, ends, first = part.words(_TERM_LUT)
+        offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+        np.cumsum(ends - starts, out=offsets[1:])
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(LOWER_LUT[part.data[_TERM_LUT[part.data]]])).dictionary_encode()
+        terms, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return terms, codes, first
+
+
 def _counted_again(docs: DataFrame, wanted: ChunkMap, rare: ChunkMap, common: list[str]) -> DataFrame:
-    """row, lang, source, chunk, n: occurrences of wanted chunks, by task (row -1), and by document where they are rare."""
+    """lang, source, term, n, docs by task: occurrences of the terms of wanted chunks, and how many documents hold them in
+    those that are rare. A slice works out the terms of each of its wanted chunks once, whatever the number of its occurrences."""
+
+    usual = pa.array(common, pa.string())
+
+    def terms_of(chunks: pa.Array, owner: np.ndarray, code: np.ndarray, n: np.ndarray, of: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """For a slice: its terms, and term, group and counts of every pair that occurs. of: the group of each document."""
+        hashes = _hashes(chunks)
+        held = np.flatnonzero(wanted.may_hold(hashes))
+        place = np.full(len(chunks), -1)
+        place[held] = np.arange(len(held))
+        chunks = chunks.take(pa.array(held))
+        open_ = rare.may_hold(hashes[held]) & ~pc.is_in(chunks.cast(pa.string()), usual).to_numpy(zero_copy_only=False)
+        terms, codes, first = _terms(chunks)
+        size = np.diff(first)
+        listed = place[code] >= 0
+        owner, code = owner[listed], place[code[listed]]
+
+        by_chunk, by_group, n = _summed(code, of[owner], n[listed], len(held))
+        at, nth = spread(size[by_chunk])
+        term, group, n = codes[first[by_chunk[at]] + nth], by_group[at], n[at]
+
+        owner, code = owner[open_[code]], code[open_[code]]
+        at, nth = spread(size[code])
+        own = np.unique(owner[at] * max(len(terms), 1) + codes[first[code[at]] + nth])
+        counts = np.zeros((len(term) + len(own), 2), np.int64)
+        counts[: len(term), 0], counts[len(term) :, 1] = n, 1
+        return terms, np.append(term, own % max(len(terms), 1)), np.append(group, of[own // max(len(terms), 1)]), counts
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally(("lang", "source"), "n")
-        form = lambda batch: pa.record_batch([pa.array(np.full(batch.num_rows, -1)), *batch.columns], names=["row", *batch.schema.names])
+        tally = _Tally(("lang", "source"), "term", ("n", "docs"))
         for batch in batches:
             group = tally.groups(batch)
-            for rows, chunks, owner, code, n in _chunks(batch.column("text")):
-                hashes = _hashes(chunks)
-                open_ = rare.may_hold(hashes) & ~pc.is_in(chunks.cast(pa.string()), pa.array(common, pa.string())).to_numpy(zero_copy_only=False)
-                listed = (wanted.may_hold(hashes) & ~open_)[code]
-                yield from map(form, tally.add(chunks, code[listed], group[rows.start : rows.stop][owner[listed]], n[listed]))
-                own, code, n = pa.array(owner[open_[code]] + rows.start), code[open_[code]], n[open_[code]]
-                if len(own):
-                    parts = [batch.column(c).take(own) for c in ("row", "lang", "source")]
-                    yield pa.record_batch([*parts, chunks.take(pa.array(code)).cast(pa.string()), pa.array(n.astype(np.int64))], names=["row", "lang", "source", "chunk", "n"])
-        yield from map(form, tally.emit())
+            for rows, *pairs in _chunks(batch.column("text")):
+                yield from tally.add(*terms_of(*pairs, group[rows.start : rows.stop]))
+                del pairs
+        yield from tally.emit()
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "lang", "source", "text")
-    return numbered.mapInArrow(work, "row long, lang string, source string, chunk string, n long")
+    return docs.select("lang", "source", "text").mapInArrow(work, "lang string, source string, term string, n long, docs long")
 
 
 def term_counts(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
@@ -181,22 +221,20 @@ def term_counts(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     flat = chunks.select("chunk", "terms", F.explode("langs").alias("l")).select("l.*", "chunk", "terms")
     bounds = flat.select("lang", "docs", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
     bounds = materialize(bounds.filter(F.col("most") >= min_docs).select("lang", "term", (F.col("least") >= min_docs).alias("sure")), "term-bounds")
-    pairs = flat.select("lang", "chunk", F.explode("terms").alias("term")).join(_hinted(bounds), ["lang", "term"]).groupBy("lang", "chunk", "term", "sure").agg(F.count("*").alias("k"))
-    pairs = materialize(pairs, "term-chunks")
-    open_ = pairs.filter("not sure")
+    held = flat.select("lang", "chunk", F.explode(F.array_distinct("terms")).alias("term")).join(_hinted(bounds), ["lang", "term"])
+    held = materialize(held.groupBy("chunk").agg(F.min("sure").alias("sure")), "term-chunks")
+    open_ = held.filter("not sure").select("chunk")
 
     frequent = flat.filter((F.col("docs") >= min_docs) & (F.octet_length("chunk") <= _COMMON_BYTES)).select("lang", "chunk", "docs")
     common = frequent.orderBy(F.desc("docs"), "lang", "chunk").limit(_COMMON).select("chunk", "lang")
-    common = common.join(open_.select("chunk", F.lit(True).alias("open")).distinct().hint("merge"), "chunk", "left").filter("open is null").select("chunk").distinct()
-    counts = _counted_again(docs, ChunkMap(pairs.select("chunk").distinct()), ChunkMap(open_.select("chunk").distinct()), [r["chunk"] for r in common.collect()])
-    counts = materialize(counts, "chunk-counts")
+    common = common.join(open_.withColumn("open", F.lit(True)).hint("merge"), "chunk", "left").filter("open is null").select("chunk").distinct()
+    counts = _counted_again(docs, ChunkMap(held.select("chunk")), ChunkMap(open_), [r["chunk"] for r in common.collect()])
+    counts = counts.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counts = materialize(counts.join(_hinted(bounds), ["lang", "term"]), "term-counts")
 
-    exact = counts.filter("row >= 0").select("row", "lang", "chunk").join(open_.select("lang", "chunk", "term").hint("merge"), ["lang", "chunk"])
-    exact = exact.select("lang", "term", "row").distinct().groupBy("lang", "term").count().filter(F.col("count") >= min_docs)
+    exact = counts.filter("not sure").groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
     kept = materialize(bounds.filter("sure").select("lang", "term").unionByName(exact.select("lang", "term")), "kept-terms")
-    by_source = counts.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"))
-    cells = by_source.join(pairs.select("lang", "chunk", "term", "k").hint("merge"), ["lang", "chunk"]).groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("k")).alias("n"))
-    return kept, materialize(cells.join(_hinted(kept), ["lang", "term"]).select("lang", "source", "term", "n"), "cells")
+    return kept, materialize(counts.join(_hinted(kept), ["lang", "term"]).select("lang", "source", "term", "n"), "cells")
 
 
 def _share(n: Column, total: Column, size: Column) -> Column:

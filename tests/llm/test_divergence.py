@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,28 @@ def test_counts_beyond_a_long_stay_exact(spark):
 def test_an_empty_table(spark, empty):
     assert divergence.source_divergence(empty).count() == 0
 
+
+
+def test_a_task_sends_counts_of_terms(mixed, monkeypatch):
+    """In this process: no row a document or chunk, whatever the slices; documents are counted in rare chunks only."""
+    taken = []
+
+    class Docs:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, work, schema: taken.append(work)  # noqa: E731, N815
+
+    class All:
+        may_hold = staticmethod(lambda hashes: np.ones(len(hashes), bool))
+
+    monkeypatch.setattr(divergence, "_SLICE", 300)
+    divergence._counted_again(Docs(), All, All, ["The"])
+    n, docs = Counter(), Counter()
+    for lang, source, text in mixed:
+        found = TERM.findall((text or "").translate(LOWER))
+        n.update((lang or "", source or "", t) for t in found)
+        rare = {t for c in (text or "").split() if c != "The" for t in TERM.findall(c.translate(LOWER))}
+        docs.update((lang or "", source or "", t) for t in rare)
+    batches = [pa.record_batch({"lang": [r[0] or "" for r in part], "source": [r[1] or "" for r in part], "text": [r[2] for r in part]}) for part in (mixed[:100], mixed[100:])]
+    got = [r for b in taken[0](iter(batches)) for r in b.to_pylist()]
+    assert len(got) == len(n) and Counter({(r["lang"], r["source"], r["term"]): r["n"] for r in got}) == n
+    assert Counter({(r["lang"], r["source"], r["term"]): r["docs"] for r in got if r["docs"]}) == docs
