@@ -4,6 +4,7 @@ Queries are read in blocks of a fixed size; a block goes to the tasks as one mat
 vectors it reads, a tile of queries and stories at a time, and keeps the best k per query. What is shuffled is k rows per
 query and task, whatever the number of stories, and the last choice among them is a window that stops at k. Where only
 pairs that are near count, tiles are multiplied in single precision, and what may be near is worked out again in double.
+Where only the places of known stories are asked for, a task counts what comes before them, up to k, and returns numbers.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from operator import or_
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.operators.best import ROWS, Best
-from engram.sources.stage_tables import together
+from engram.sources.stage_tables import materialize, together
 
 #: Queries in one block, and numbers in their vectors: 32 MB.
 BLOCK, NUMBERS = 32_768, 1 << 22
@@ -72,6 +73,13 @@ def _joined(parts: list[tuple[np.ndarray, np.ndarray, list]]) -> tuple[np.ndarra
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), [s for p in parts for s in p[2]]
 
 
+def _exact(matrix: np.ndarray, vectors: np.ndarray, q: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Products in double precision of the pairs q, s of a tile: pair by pair, or of the whole tile where they are many."""
+    if 8 * len(q) > len(matrix) * len(vectors):
+        return (matrix @ vectors.T)[q, s]
+    return np.concatenate([np.einsum("ij,ij->i", matrix[q[i : i + 4096]], vectors[s[i : i + 4096]]) for i in range(0, len(q), 4096)])
+
+
 class _Near:
     """The pairs of a block of queries and a slice of stories whose product is `least` or more, tile by tile.
 
@@ -95,14 +103,44 @@ class _Near:
             if not hit.any():
                 continue
             q, s = np.divmod(np.flatnonzero(hit), hit.shape[1])
-            if 8 * len(q) > hit.size:
-                score = (self.matrix[at : at + ROWS] @ vectors.T)[q, s]
-            else:
-                score = np.concatenate([np.einsum("ij,ij->i", self.matrix[at + q[i : i + 4096]], vectors[s[i : i + 4096]]) for i in range(0, len(q), 4096)])
+            score = _exact(self.matrix[at : at + ROWS], vectors, q, s)
             keep = score >= self.least
             yield at + q[keep], s[keep], score[keep]
 
 
+class _Ahead:
+    """How many stories come before a known one, for each query of a block: higher scores (rounded to `digits`) first, then
+    smaller ids. A query whose story has k before it is open no more."""
+
+    def __init__(self, matrix: np.ndarray, story: np.ndarray, steps: np.ndarray, k: int, digits: int):
+        self.matrix, self.single, self.story, self.steps, self.k, self.scale = matrix, matrix.astype(np.float32), story, steps, k, 10.0**digits
+        self.least = (steps - 0.5) / self.scale - 10.0**-DIGITS
+        self.length = np.linalg.norm(matrix, axis=1).max(initial=0.0)
+        self.n, self.open = np.zeros(len(matrix), np.int64), np.arange(len(matrix))
+
+    def count(self, story: np.ndarray, fields: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """fields: of each field which of the stories have it, and the vectors, of length 1 or 0."""
+        singles = [np.ascontiguousarray(vectors.T, dtype=np.float32) for _, vectors in fields]
+        error = (self.matrix.shape[1] + 4) * 2.0**-23 * self.length + 1e-6
+        for at in range(0, len(self.open), ROWS):
+            own = self.open[at : at + ROWS]
+            score = None
+            for (has, _), single in zip(fields, singles, strict=True):
+                product = self.single[own] @ single
+                if not has.all():
+                    product[:, ~has] = -np.inf
+                score = product if score is None else np.maximum(score, product, out=score)
+            found = np.flatnonzero(score >= (self.least[own] - error).astype(np.float32)[:, None])
+            if not len(found):
+                continue
+            q, s = np.divmod(found, len(story))
+            score = np.max([np.where(has[s], _exact(self.matrix[own], vectors, q, s), -np.inf) for has, vectors in fields], axis=0)
+            steps = np.rint(np.round(score, DIGITS) * self.scale)
+            before = (steps > self.steps[own[q]]) | ((steps == self.steps[own[q]]) & (story[s] < self.story[own[q]]))
+            self.n[own] += np.bincount(q[before], minlength=len(own))
+        self.open = self.open[self.n[self.open] < self.k]
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of SLICE rows at most, so that scores of a block and a slice take a bounded part of memory."""
     for batch in batches:
@@ -203,6 +241,55 @@ def multi_vector_topk(queries: DataFrame, stories: DataFrame, fields: Sequence[s
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a column have a vector, and the vectors scaled to length 1; those without are of zeros."""
+    has = np.asarray(column.is_valid())
+    held = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    vectors = np.zeros((len(has), len(held) // max(1, has.sum())))
+    vectors[has] = held.reshape(has.sum(), -1)
+    length = np.sqrt((vectors * vectors).sum(axis=1))
+    return length > 0, vectors / np.where(length > 0, length, 1.0)[:, None]
+
+
+def steps(similarity: Column, digits: int = 6) -> Column:
+    """A similarity rounded to `digits`, as a whole number of the last of them."""
+    return F.bround(F.bround(similarity, DIGITS) * 10.0**digits).cast("long")
+
+
+def known_ranks(pairs: DataFrame, stories: DataFrame, fields: Sequence[str], k: int, digits: int = 6) -> DataFrame:
+    """query_id, story_id, rank: the places of known stories among all, in the order of multi_vector_topk, where they are k
+    at most.
+
+    pairs: query_id, story_id, vector (of length 1) and similarity, that of the nearest of the story's fields. stories:
+    story_id and a vector per field, scaled to length 1 where it is read, null where a story has none. What comes before a
+    story is counted, not gathered: a task counts up to k and then asks no more, and returns a number for a pair. Pairs
+    of the same vector and story are one, and of those of one vector only the k best are asked for, since all others have
+    these before them.
+    """
+    same = pairs.filter("similarity is not null").groupBy("vector", F.col("story_id").cast("long").alias("story_id"), steps(F.col("similarity"), digits).alias("steps")).agg(F.min("query_id").alias("query_id"), F.collect_set("query_id").alias("all"))
+    place = F.row_number().over(Window.partitionBy("vector").orderBy(F.desc("steps"), "story_id"))
+    asked = materialize(same.withColumn("place", place).filter(F.col("place") <= k).withColumn("known", F.array("story_id", "steps")), "known")
+    read = stories.select(F.col("story_id").cast("long").alias("story_id"), *fields)
+    schema = "query_id long, story_id long, n long"
+
+    def part(ids: np.ndarray, matrix: np.ndarray, known: list) -> DataFrame:
+        story, own = np.array(known, np.int64).reshape(-1, 2).T
+
+        def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            count = _Ahead(matrix, story, own, k, digits)
+            for batch in _slices(batches):
+                count.count(batch.column(0).to_numpy(), [_unit_rows(column) for column in batch.columns[1:]])
+            some = count.n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(story[some]), pa.array(np.minimum(count.n[some], k))], names=["query_id", "story_id", "n"])
+
+        return read.mapInArrow(ahead, schema)
+
+    found = together(pairs.sparkSession, (part(*block) for block in _blocks(asked, "known")), schema, "ahead")
+    before = found.groupBy("query_id", "story_id").agg(F.sum("n").alias("n"))
+    ranked = asked.select("query_id", "story_id", "all").join(before.hint("merge"), ["query_id", "story_id"], "left").withColumn("rank", F.coalesce("n", F.lit(0)) + 1)
+    return ranked.filter(F.col("rank") <= k).select(F.explode("all").alias("query_id"), "story_id", "rank")
+
+
 def vector_pairs(queries: DataFrame, stories: DataFrame, least: float, later: bool = False) -> DataFrame:
     """query_id, story_id, similarity of all pairs of unit vectors that are `least` alike or more, block by block.
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.operators import lifecycle, representations, stories
+from engram.operators import lifecycle, representations
 from engram.plans import retrieval_queries as R
 from engram.plans import views
 from engram.plans.views import ctes
+from engram.sources.stage_tables import materialize
 
 #: Variants of a query in one id.
 _SLOTS = 4
@@ -19,10 +20,9 @@ def representation_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = lifecycle.expand_queries(views.queries(spark, sf_dir))
     place = F.when(F.col("variant") == "exact", 0).when(F.col("variant") == "cross_tool", 1).otherwise(2)
     asked = asked.select((F.col("query_id") * _SLOTS + place).alias("query_id"), "variant", "text")
-    queries = asked.select("query_id", "variant").join(representations.hashed_vectors(asked, ["query_id"]).hint("merge"), "query_id")
-    qrels = asked.select("query_id", F.floor(F.col("query_id") / _SLOTS).alias("story_id"))
-    texts = stories.embedding_texts(R.stories(spark, sf_dir).withColumn("keywords", F.array("lang", "source")))
-    embedded = representations.hashed_vectors(texts, ["story_id", "representation"])
+    queries = materialize(representations.with_hashed_vectors(asked, F.col("text")), "asked")
+    qrels = queries.select("query_id", F.floor(F.col("query_id") / _SLOTS).alias("story_id"))
+    embedded = representations.counted_texts(R.texts(spark, sf_dir).withColumn("keywords", F.array("lang", "source")))
     return representations.representation_ablation(queries, qrels, embedded, 0.3)
 
 
