@@ -23,7 +23,8 @@ def ranked(df: DataFrame, *order: Column | str, k: int | None = None, name: str
 
 
 def vector_lane(queries: DataFrame, stories: DataFrame, k: int, floor: float) -> DataFrame:
-    return vector_topk(queries, stories, k).filter(F.col("similarity") >= floor)
+    """The k best stories of every query whose similarity is `floor` or more; what is below a floor above 0 isn't gathered."""
+    return vector_topk(queries, stories, k, least=floor) if floor > 0 else vector_topk(queries, stories, k).filter(F.col("similarity") >= floor)
 
 
 def reciprocal_fusion(vector: DataFrame, lexical: DataFrame, k: int, params: Params = DEFAULTS) -> DataFrame:

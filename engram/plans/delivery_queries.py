@@ -126,7 +126,7 @@ def exact_term_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = views.frame(spark, sf_dir, "query_pairs")
     q, s = pairs.select("query_id", "text", vectors.l2_normalize(F.col("b")).alias("vector")), R.stories(spark, sf_dir)
     v = fusion.vector_lane(q, s, R.K, 0.5)
-    hybrid = fusion.reciprocal_fusion(v, lexical.lexical_topk(q, s, R.K), R.K)
+    hybrid = fusion.reciprocal_fusion(v, lexical.lexical_topk(q, R.texts(spark, sf_dir), R.K), R.K)
     return delivery.lane_comparison({"vector": v, "hybrid": hybrid}, pairs.select("query_id", F.col("query_id").alias("story_id")))
 
 
@@ -135,7 +135,7 @@ def expanded_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = views.queries(spark, sf_dir)
     words = F.split("text", " ")
     variants = q.select("query_id", "vector", F.posexplode(F.array(F.concat(F.lit("  "), "text"), words[0], F.concat_ws(" ", words[1], words[2]))).alias("i", "variant")).select("query_id", (F.col("i") + 1).alias("query_index"), F.col("variant").alias("text"), "vector")
-    return delivery.expanded_recall(q, variants, R.stories(spark, sf_dir), 10, R.K).select("query_id", "story_id", F.round("fusion", 6).alias("fusion"), "rank")
+    return delivery.expanded_recall(q, variants, R.stories(spark, sf_dir), 10, R.K, texts=R.texts(spark, sf_dir)).select("query_id", "story_id", F.round("fusion", 6).alias("fusion"), "rank")
 
 
 _N = f"WITH {R._PAIRS}, {R.VECTOR_LANE}, decided AS (SELECT query_id, story_id, CASE WHEN similarity >= 0.92 THEN 'update' WHEN similarity >= 0.85 THEN 'merge' ELSE 'create' END AS branch FROM vector_lane WHERE rank = 1)"
